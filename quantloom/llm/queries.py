@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chunk_dedup, token_counts, url_filter
+from quantloom.llm import bpe, chunk_dedup, secret_scan, token_counts, url_filter
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": _on("documents", token_counts.op1),
         "op3_chunk_recipe_dedup": _on("documents", chunk_dedup.op3),
         "op6_url_filter": _on("pages", url_filter.op6),
+        "op9_secret_scan": _on("documents", secret_scan.op9),
         "op10_byte_bpe": _on("documents", bpe.op10),
     }
 
