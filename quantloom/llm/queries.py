@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chunk_dedup, packing, secret_scan, token_counts, url_filter
+from quantloom.llm import bpe, chunk_dedup, packing, secret_scan, token_counts, toxicity, url_filter
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _on("documents", token_counts.op1),
         "op3_chunk_recipe_dedup": _on("documents", chunk_dedup.op3),
+        "op4_toxicity": toxicity.query,
         "op5_pattern_packing": _on("documents", packing.op5),
         "op6_url_filter": _on("pages", url_filter.op6),
         "op9_secret_scan": _on("documents", secret_scan.op9),
