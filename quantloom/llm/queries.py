@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chunk_dedup, near_dup, packing, secret_scan, token_counts, toxicity, url_filter
+from quantloom.llm import bpe, chunk_dedup, multi_index, near_dup, packing, secret_scan, token_counts, toxicity, url_filter
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _on("documents", token_counts.op1),
+        "op2_multi_index": _on("embeddings", multi_index.op2),
         "op3_chunk_recipe_dedup": _on("documents", chunk_dedup.op3),
         "op4_toxicity": toxicity.query,
         "op5_pattern_packing": _on("documents", packing.op5),
