@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chunk_dedup, multi_index, near_dup, packing, secret_scan, token_counts, toxicity, url_filter
+from quantloom.llm import bpe, chunk_dedup, html_text, multi_index, near_dup, packing, secret_scan, token_counts, toxicity, url_filter
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxicity.query,
         "op5_pattern_packing": _on("documents", packing.op5),
         "op6_url_filter": _on("pages", url_filter.op6),
+        "op7_html_text": _on("pages", html_text.op7),
         "op8_near_dup": _on("documents", near_dup.op8),
         "op9_secret_scan": _on("documents", secret_scan.op9),
         "op10_byte_bpe": _on("documents", bpe.op10),
