@@ -1,15 +1,553 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, each with the DuckDB text that must give the same rows.
+
+All of them run over whole test tables, through the deterministic panel of sources.fixtures. Numbers are rounded alike in
+both engines; z is rounded before it meets a threshold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.functions.rolling import rounded
+from quantloom.operators import calendar, clusters, context, discovery, features, fold, hedge, metrics, signals
+from quantloom.params import Filters, Params
+from quantloom.plans import walkforward
+from quantloom.sources import fixtures, panels
+from quantloom.sources.fixtures import duck
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+REFIT, BURN, BLACKOUT = 63, 252, 3
+#: The panel's residuals revert within days, so the half-life's lower bound is loosened.
+LOOSE = Filters(min_hl=0.05)
+#: What the richer simulation query switches on.
+FULL = Params(borrow_apr_bps=50.0, enable_adv_cap=True, enable_impact=True, earnings_blackout_days=BLACKOUT, month_end_forceclose=True, cooldown_days=5, min_adv_usd=1.0)
+
+
+# Dates are compared as text, which both engines print alike.
+def query(name: str, oracle: str | None = None, dates: tuple[str, ...] = ()):
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "date"})
+
+        QUERIES[name] = run
+        if oracle:
+            replaced = ", ".join(f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in dates)
+            ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM ({oracle}) AS whole" if dates else oracle
+        return f
+
+    return keep
+
+
+def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
+    out = rounded(F.col(c) if isinstance(c, str) else c, digits)
+    return out.alias(name or c) if name or isinstance(c, str) else out
+
+
+# ---------------------------------------------------------------------------------------------- shared inputs
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.prices(fixtures.panel(spark, sf_dir))
+
+
+def ticker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.ticker_features(prices(spark, sf_dir))
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ticker_rows(spark, sf_dir)
+    return features.align(own, features.all_pairs(own.select("ticker").distinct()))
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.pair_features(aligned(spark, sf_dir), Params())
+
+
+def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.segments(calendar.calendar(prices(spark, sf_dir)), REFIT, BURN)
+
+
+def every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair in every segment."""
+    tickers = prices(spark, sf_dir).select("ticker").distinct()
+    names = features.all_pairs(tickers)
+    return names.crossJoin(F.broadcast(segment_table(spark, sf_dir)))  # a list of names by a list of segments
+
+
+def trading(spark: SparkSession, sf_dir: str, p: Params) -> walkforward.Backtest:
+    own = prices(spark, sf_dir)
+    rich = p.earnings_blackout_days > 0
+    panel = fixtures.panel(spark, sf_dir)
+    earnings = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel)) if rich else None
+    regime = panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel)) if rich else None
+    return walkforward.backtest(own, every_pair(spark, sf_dir), p, earnings, regime)
+
+
+# ---------------------------------------------------------------------------------------------- shared oracle text
+
+_PANEL = f"WITH RECURSIVE panel AS MATERIALIZED ({duck(fixtures.PANEL_SQL)})"
+_TICKER = f"""{_PANEL}, px AS MATERIALIZED (
+  SELECT ticker, date, close, volume, ln(close) AS lp, close / lag(close) OVER w - 1 AS ret,
+         CASE WHEN count(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) = 63
+              THEN avg(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) END AS adv
+  FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
+_ALIGN = f"""{_TICKER}, al AS MATERIALIZED (
+  SELECT x.ticker AS a, y.ticker AS b, x.date, x.lp AS pa, y.lp AS pb, x.ret AS ra, y.ret AS rb, x.adv AS adva, y.adv AS advb
+  FROM px x JOIN px y ON x.date = y.date AND x.ticker < y.ticker)"""
+_OLS = f"""{_ALIGN}, ols AS MATERIALIZED (
+  SELECT *, CASE WHEN count(pa) OVER w = 63 THEN regr_slope(pa, pb) OVER w END AS beta,
+            CASE WHEN count(pa) OVER w = 63 THEN regr_intercept(pa, pb) OVER w END AS alpha
+  FROM al WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
+_SERIES = f"""{_OLS}, sp AS (
+  SELECT *, pa - (beta * pb + alpha) AS s, lag(beta) OVER (PARTITION BY a, b ORDER BY date) AS beta1 FROM ols
+), sr AS (SELECT *, ra - beta1 * rb AS rp FROM sp
+), ser AS MATERIALIZED (
+  SELECT *, CASE WHEN count(s) OVER w = 63 THEN avg(s) OVER w END AS mu, nullif(CASE WHEN count(s) OVER w = 63 THEN stddev_samp(s) OVER w END, 0) AS sd,
+         nullif(CASE WHEN count(rp) OVER w = 63 THEN stddev_samp(rp) OVER w END, 0) AS sigma
+  FROM sr WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)
+), zz AS MATERIALIZED (SELECT *, (s - mu) / sd AS z FROM ser)"""
+_SEGMENTS = f"""cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn FROM (SELECT DISTINCT date FROM panel)),
+  seg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS segment_id, date AS d0,
+                 coalesce(lead(date) OVER (ORDER BY date), (SELECT max(date) FROM cal)) AS d1
+          FROM cal WHERE rn >= {BURN} AND (rn - {BURN}) % {REFIT} = 0)"""
+_EARN = f"""ern AS (SELECT ticker, CAST(earnings_date AS DATE) AS earnings_date FROM ({duck(fixtures.EARNINGS_SQL, panel='panel')})),
+  blk AS MATERIALIZED (SELECT DISTINCT e.ticker, c.date FROM ern e JOIN cal c ON c.date BETWEEN e.earnings_date - {BLACKOUT} AND e.earnings_date + {BLACKOUT})"""
+_REGIME = f"reg AS MATERIALIZED ({duck(fixtures.REGIME_SQL, panel='panel')})"
+
+
+def _rd(c: str, digits: int = 6, name: str | None = None) -> str:
+    return f"round({c}, {digits}) + 0.0 AS {name or c}"
+
+
+def _fold_sql(p: Params) -> str:
+    """The simulation as a recursion over a segment's rows, written independently of the fold."""
+    rich = p.earnings_blackout_days > 0
+    bps = p.cost_bps / 1e4
+    w0 = f"({p.target_spread_vol_bps / 1e4!r} / sigma)"
+    part = lambda adv: f"CASE WHEN {adv} > 0 THEN {w0} * {p.portfolio_notional_usd!r} / {adv} END"
+    w = f"{w0} * coalesce(least(1.0, {p.adv_cap_pct!r} / greatest({part('adva')}, {part('advb')})), 1.0)" if p.enable_adv_cap else w0
+    leg = lambda adv: f"coalesce(CASE WHEN {adv} > 0 THEN sqrt({p.portfolio_notional_usd!r} / {adv}) END, 0.0)"
+    imp = f"{p.impact_k_bps / 1e4!r} * ({leg('adva')} + {leg('advb')})" if p.enable_impact else "0.0"
+    c5 = "OVER (PARTITION BY segment_id, a, b ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    low = f"coalesce(coalesce(ra, 0), 0.0)"
+    floor = f" OR coalesce(adva, 0) < {p.min_adv_usd!r} OR coalesce(advb, 0) < {p.min_adv_usd!r}" if p.min_adv_usd > 0 else ""
+    extra = f", {_EARN}, {_REGIME}" if rich else ""
+    ctx = "LEFT JOIN blk ba ON ba.ticker = zz.a AND ba.date = zz.date LEFT JOIN blk bb ON bb.ticker = zz.b AND bb.date = zz.date LEFT JOIN reg ON reg.date = zz.date" if rich else ""
+    flags = "(ba.ticker IS NOT NULL OR bb.ticker IS NOT NULL) AS blk, coalesce(reg.scale, 1.0) AS rscale" if rich else "FALSE AS blk, 1.0 AS rscale"
+    borrow = f"{p.borrow_apr_bps / 1e4 / 252!r} * size"
+    close_pos = "pos <> 0" if p.month_end_forceclose else "FALSE"
+    return f"""{_SERIES}, {_SEGMENTS}{extra}, raw AS (
+  SELECT segment_id, a, b, zz.date, round(z, 9) AS z, s, beta1, rp, sigma, {w} AS w, {imp} AS imp, {low} AS x5, coalesce(rb, 0.0) AS y5, adva, advb, {flags}
+  FROM zz JOIN seg ON zz.date BETWEEN seg.d0 AND seg.d1 {ctx}
+), m5 AS (
+  SELECT *, avg(x5) {c5} AS mx, avg(y5) {c5} AS my, avg(x5 * x5) {c5} AS mxx, avg(y5 * y5) {c5} AS myy, avg(x5 * y5) {c5} AS mxy, covar_pop(x5, y5) {c5} AS cv, stddev_pop(x5) {c5} AS sx, stddev_pop(y5) {c5} AS sy, count(*) {c5} AS n5
+  FROM raw
+), fr AS MATERIALIZED (
+  SELECT segment_id, a, b, date, row_number() OVER g AS rn, count(*) OVER (PARTITION BY segment_id, a, b) AS last, z, lag(z) OVER g AS zprev, s, beta1, rp, w, imp, blk, rscale,
+         coalesce(n5 = 5 AND round(cv / nullif(sx * sy, 0), 9) < 0.5, FALSE) AS brk,
+         (z IS NOT NULL AND rp IS NOT NULL AND coalesce(sigma > 0, FALSE)) AS valid, (rscale < 0.05 OR blk{floor}) AS shut
+  FROM m5 WINDOW g AS (PARTITION BY segment_id, a, b ORDER BY date)
+), sim AS (
+  SELECT segment_id, a, b, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS date, 0 AS pos, 0 AS days, {p.cooldown_days} AS since, CAST(NULL AS DOUBLE) AS es, CAST(NULL AS DOUBLE) AS eb,
+         CAST(1.0 AS DOUBLE) AS er, CAST(0.0 AS DOUBLE) AS pnl, CAST(0.0 AS DOUBLE) AS cost, 0 AS trip, 0 AS win, 0 AS held, CAST(0.0 AS DOUBLE) AS lw
+  FROM (SELECT DISTINCT segment_id, a, b FROM fr)
+  UNION ALL
+  SELECT segment_id, a, b, rn, date,
+    CASE WHEN out OR (rn = last AND close) THEN 0 ELSE pos2 END, CASE WHEN out OR enter <> 0 THEN 0 ELSE days2 END, CASE WHEN out THEN 0 ELSE since2 END, es2, eb2, CASE WHEN out THEN 1.0 ELSE er2 END,
+    gain - c - CASE WHEN close THEN {2 * bps!r} * lw2 * er2 ELSE 0 END, c + CASE WHEN close THEN {2 * bps!r} * lw2 * er2 ELSE 0 END,
+    CASE WHEN out OR close THEN 1 ELSE 0 END, CASE WHEN (out AND coalesce((s - es2) * pos * size > 0, FALSE)) OR (close AND coalesce((s - es2) * pos2 * lw2 * er2 > 0, FALSE)) THEN 1 ELSE 0 END,
+    CASE WHEN out THEN days2 WHEN close THEN CASE WHEN enter <> 0 THEN 0 ELSE days2 END ELSE 0 END, lw2
+  FROM (
+    SELECT *, CASE WHEN out THEN 0 WHEN enter <> 0 THEN enter ELSE pos END AS pos2, rn = last AND NOT out AND ({close_pos.replace('pos', '(CASE WHEN enter <> 0 THEN enter ELSE pos END)')}) AS close,
+      CASE WHEN enter <> 0 THEN s ELSE es END AS es2, CASE WHEN enter <> 0 THEN beta1 ELSE eb END AS eb2, CASE WHEN enter <> 0 THEN rscale ELSE er END AS er2, CASE WHEN valid THEN w ELSE lw END AS lw2,
+      CASE WHEN hold THEN size * pos * rp ELSE 0 END AS gain,
+      CASE WHEN enter <> 0 THEN {2 * bps!r} * ew + sqrt(ew) * imp ELSE 0 END + CASE WHEN out THEN {2 * bps!r} * size + sqrt(size) * imp ELSE 0 END + CASE WHEN hold THEN {borrow} ELSE 0 END AS c
+    FROM (
+      SELECT *, w * rscale AS ew, w * er AS size,
+        hold AND (abs(z) <= {p.z_exit!r} OR days2 >= {p.time_stop} OR abs(z) > {p.hard_stop!r} OR brk OR coalesce(abs(eb) > 1e-6 AND abs((beta1 - eb) / eb) > 0.30, FALSE) OR blk) AS out,
+        CASE WHEN free AND z >= {p.z_entry!r} AND coalesce(z < zprev, FALSE) THEN -1 WHEN free AND z <= -{p.z_entry!r} AND coalesce(z > zprev, FALSE) THEN 1 ELSE 0 END AS enter
+      FROM (
+        SELECT f.segment_id, f.a, f.b, f.rn, f.last, f.date, f.z, f.zprev, f.s, f.beta1, f.rp, f.w, f.imp, f.blk, f.rscale, f.brk, f.valid, t.pos, t.es, t.eb, t.er, t.lw,
+          f.valid AND t.pos <> 0 AS hold, t.days + CASE WHEN f.valid AND t.pos <> 0 THEN 1 ELSE 0 END AS days2, t.since + CASE WHEN f.valid AND t.pos = 0 THEN 1 ELSE 0 END AS since2,
+          f.valid AND t.pos = 0 AND NOT f.shut AND ({p.cooldown_days} = 0 OR t.since + 1 >= {p.cooldown_days}) AS free
+        FROM sim t JOIN fr f ON f.segment_id = t.segment_id AND f.a = t.a AND f.b = t.b AND f.rn = t.rn + 1) q1) q2) q3
+), done AS MATERIALIZED (SELECT * FROM sim WHERE rn > 0), tot AS (
+  SELECT segment_id, a, b, CAST(sum(trip) AS INTEGER) AS trips, sum(win) AS wins, sum(held) AS held, sum(abs(pnl)) AS moved FROM done GROUP BY ALL
+), trd AS (SELECT * FROM tot WHERE trips > 0 OR moved > 0), port AS MATERIALIZED (
+  SELECT segment_id, date, sum(pnl) AS pnl, sum(cost) AS cost, sum(pnl) + sum(cost) AS pnl_gross FROM done JOIN trd USING (segment_id, a, b) GROUP BY ALL)"""
+
+
+_BASE = _fold_sql(Params())
+_RICH = _fold_sql(FULL)
+
+# ---------------------------------------------------------------------------------------------- per ticker
+
+
+@query("log_returns", f"{_TICKER} SELECT ticker, date, {_rd('lp')}, {_rd('ret', 8)} FROM px", dates=('date',))
+def log_returns(spark, sf_dir):
+    return ticker_rows(spark, sf_dir).select("ticker", "date", r("lp"), r("ret", 8))
+
+
+@query("weekly_panel", f"WITH p AS ({duck(fixtures.WEEKLY_SQL)}) SELECT ticker, date, {_rd('close')}, volume FROM p", dates=('date',))
+def weekly_panel(spark, sf_dir):
+    return panels.prices(fixtures.weekly(spark, sf_dir)).select("ticker", "date", r("close"), "volume")
+
+
+@query("adv63", f"{_TICKER} SELECT ticker, date, {_rd('adv', 4)} FROM px", dates=('date',))
+def adv63(spark, sf_dir):
+    return ticker_rows(spark, sf_dir).select("ticker", "date", r("adv", 4))
+
+
+@query(
+    "factor_zscore",
+    f"""{_PANEL}, fac AS (SELECT * FROM ({duck(fixtures.FACTORS_SQL, panel='panel')}) WHERE factor <> 'FF_RF')
+SELECT date, factor, round(coalesce(CASE WHEN count(ret) OVER w >= 63 AND ret IS NOT NULL THEN (ret - avg(ret) OVER w) / (stddev_samp(ret) OVER w + 1e-8) END, 0.0), 6) + 0.0 AS z
+FROM fac WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""", dates=('date',))
+def factor_zscore(spark, sf_dir):
+    raw = fixtures.derived(fixtures.FACTORS_SQL, fixtures.panel(spark, sf_dir))
+    return features.factor_zscore(panels.factor_returns(raw)).select("date", "factor", r("z"))
+
+
+# ---------------------------------------------------------------------------------------------- per pair
+
+
+@query("pair_align", f"{_ALIGN} SELECT a, b, count(*) AS n, min(date) AS first_date, max(date) AS last_date, {_rd('sum(pa - pb)', 5, 'gap')} FROM al GROUP BY a, b HAVING count(*) >= 84", dates=('first_date', 'last_date'))
+def pair_align(spark, sf_dir):
+    own = features.long_enough(aligned(spark, sf_dir), Params())
+    return own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), r(F.sum(F.col("pa") - F.col("pb")), 5).alias("gap"))
+
+
+@query("rolling_ols", f"{_OLS} SELECT a, b, date, {_rd('beta', 5)}, {_rd('alpha', 5)} FROM ols", dates=('date',))
+def rolling_ols(spark, sf_dir):
+    return features.rolling_ols(aligned(spark, sf_dir), 63).select("a", "b", "date", r("beta", 5), r("alpha", 5))
+
+
+@query("spread_zscore", f"{_SERIES} SELECT a, b, date, {_rd('s', 5)}, {_rd('z', 4)} FROM zz WHERE abs(round(z, 9)) >= 2", dates=('date',))
+def spread_zscore(spark, sf_dir):
+    own = features.zscore(features.spread(features.rolling_ols(aligned(spark, sf_dir), 63)), 63)
+    return own.where(F.abs(F.round("z", 9)) >= 2).select("a", "b", "date", r("s", 5), r("z", 4))
+
+
+@query("pair_return_vol", f"{_SERIES} SELECT a, b, date, {_rd('rp')}, {_rd('sigma', 7)} FROM zz", dates=('date',))
+def pair_return_vol(spark, sf_dir):
+    own = features.pair_returns(features.rolling_ols(aligned(spark, sf_dir), 63), 63)
+    return own.select("a", "b", "date", r("rp"), r("sigma", 7))
+
+
+_W0 = "0.001 / sigma"
+_CAPPED = f"{_W0} * coalesce(least(1.0, 0.01 / greatest(CASE WHEN adva > 0 THEN {_W0} * 1e7 / adva END, CASE WHEN advb > 0 THEN {_W0} * 1e7 / advb END)), 1.0)"
+
+
+@query("vol_target_weight", f"{_SERIES} SELECT a, b, date, {_rd(_CAPPED, 7, 'w')} FROM zz WHERE sigma IS NOT NULL", dates=('date',))
+def vol_target_weight(spark, sf_dir):
+    return features.vol_weight(series(spark, sf_dir), Params(enable_adv_cap=True)).where("sigma IS NOT NULL").select("a", "b", "date", r("w", 7))
+
+
+@query(
+    "impact_borrow_cost",
+    f"""{_SERIES} SELECT a, b, date, {_rd(f'2 * 0.0003 * {_W0}', 9, 'explicit')}, {_rd(f'sqrt({_W0}) * 0.0015 * (coalesce(sqrt(1e7 / nullif(adva, 0)), 0) + coalesce(sqrt(1e7 / nullif(advb, 0)), 0))', 7, 'impact')},
+{_rd(f'0.005 / 252 * {_W0}', 9, 'borrow')} FROM zz WHERE sigma IS NOT NULL""", dates=('date',))
+def impact_borrow_cost(spark, sf_dir):
+    p = Params(enable_impact=True, borrow_apr_bps=50.0)
+    own = signals.impact_factor(features.vol_weight(series(spark, sf_dir), p), p).where("sigma IS NOT NULL")
+    w = F.col("w")
+    return own.select("a", "b", "date", r(2 * p.cost_bps / 1e4 * w, 9, "explicit"), r(F.sqrt(w) * F.col("imp"), 7, "impact"), r(F.lit(p.borrow_apr_bps / 1e4 / 252) * w, 9, "borrow"))
+
+
+@query(
+    "price_anchor",
+    f"""{_ALIGN}, s0 AS (SELECT date AS d FROM (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM panel)) WHERE n = 253)
+SELECT a, b, round(coalesce(arg_max(pa, date) FILTER (date < d), arg_min(pa, date)), 6) + 0.0 AS na, round(coalesce(arg_max(pb, date) FILTER (date < d), arg_min(pb, date)), 6) + 0.0 AS nb,
+       round(sum(pa) / coalesce(arg_max(pa, date) FILTER (date < d), arg_min(pa, date)), 4) + 0.0 AS total FROM al, s0 GROUP BY a, b""",
+)
+def price_anchor(spark, sf_dir):
+    own = aligned(spark, sf_dir)
+    start = calendar.calendar(prices(spark, sf_dir)).where("rn = 252").first()
+    start = str(start["date"]) if start else "1900-01-01"
+    raw = own.groupBy("a", "b").agg(F.sum("pa").alias("raw"), F.sum("pb").alias("raw_b"))
+    done = features.anchors(own, start).groupBy("a", "b").agg(F.sum("pa").alias("total"), F.sum("pb").alias("total_b"))
+    return raw.join(done, ["a", "b"]).select("a", "b", r(F.col("raw") / F.col("total"), 6, "na"), r(F.col("raw_b") / F.col("total_b"), 6, "nb"), r("total", 4))
+
+
+@query("kalman_beta")
+def kalman_beta(spark, sf_dir):
+    own = hedge.kalman(aligned(spark, sf_dir), Params().kalman_delta)
+    return own.select("a", "b", "date", r("beta"), r("alpha"), r("beta_std"))
+
+
+# ---------------------------------------------------------------------------------------------- calendar and context
+
+
+@query("refit_segments", f"{_PANEL}, {_SEGMENTS} SELECT * FROM seg", dates=('d0', 'd1'))
+def refit_segments(spark, sf_dir):
+    return segment_table(spark, sf_dir)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by rule, for queries that need some: tickers in four clusters, by the last digit and the length of their name and by segment."""
+    own = prices(spark, sf_dir).select("ticker").distinct()
+    parts = segment_table(spark, sf_dir)
+    return own.crossJoin(F.broadcast(parts)).select("segment_id", F.col("d0").alias("refit_date"), "ticker", F.pmod(F.ascii(F.substring("ticker", -1, 1)) * (1 + F.col("segment_id") % 3) + F.length("ticker"), F.lit(4)).cast("int").alias("cluster"))
+
+
+_LABELS = "lab AS (SELECT segment_id, d0 AS refit_date, ticker, CAST((ascii(right(ticker, 1)) * (1 + segment_id % 3) + length(ticker)) % 4 AS INTEGER) AS cluster FROM (SELECT DISTINCT ticker FROM panel), seg)"
+_MEMBERS = f"mem AS ({duck(fixtures.MEMBERSHIP_DUCK, panel='panel')})"
+
+
+@query(
+    "membership_point_in_time",
+    f"""{_PANEL}, {_SEGMENTS}, {_LABELS}, {_MEMBERS} SELECT l.* FROM lab l WHERE EXISTS (SELECT 1 FROM mem m WHERE m.ticker = l.ticker AND m.start_date <= l.refit_date AND (m.end_date IS NULL OR m.end_date >= l.refit_date))""", dates=('refit_date',))
+def membership_point_in_time(spark, sf_dir):
+    members = panels.membership(fixtures.derived(fixtures.MEMBERSHIP_SQL, fixtures.panel(spark, sf_dir)))
+    return context.active(_labelled(spark, sf_dir), members)
+
+
+@query("earnings_blackout", f"{_PANEL}, {_SEGMENTS}, {_EARN} SELECT ticker, date FROM blk", dates=('date',))
+def earnings_blackout(spark, sf_dir):
+    panel = fixtures.panel(spark, sf_dir)
+    earnings = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel))
+    return context.blackout(earnings, panel.select("ticker").distinct(), panel.select("date").distinct(), BLACKOUT)
+
+
+@query("regime_join", f"{_PANEL}, {_REGIME} SELECT panel.date, ticker, CAST(coalesce(scale, 1.0) AS DOUBLE) AS rscale FROM panel LEFT JOIN reg ON reg.date = panel.date", dates=('date',))
+def regime_join(spark, sf_dir):
+    panel = fixtures.panel(spark, sf_dir)
+    return context.with_regime(panel.select("date", "ticker"), panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel))).select("date", "ticker", "rscale")
+
+
+# ---------------------------------------------------------------------------------------------- signals and simulation
+
+
+@query("corr5_break", f"{_BASE} SELECT segment_id, a, b, count(*) AS rows_in, count(*) FILTER (brk) AS breaks FROM fr GROUP BY ALL")
+def corr5_break(spark, sf_dir):
+    rows = signals.corr_break(signals.segment_rows(aligned(spark, sf_dir), every_pair(spark, sf_dir)))
+    return rows.groupBy("segment_id", "a", "b").agg(F.count(F.lit(1)).alias("rows_in"), F.sum(F.col("brk").cast("long")).alias("breaks"))
+
+
+@query(
+    "signal_gates",
+    f"""{_RICH} SELECT segment_id, a, b, count(*) FILTER (valid) AS valid, count(*) FILTER (shut) AS shut, count(*) FILTER (blk) AS blk, count(*) FILTER (zprev IS NOT NULL) AS with_prev, {_rd('sum(w)', 5, 'w')} FROM fr GROUP BY ALL""",
+)
+def signal_gates(spark, sf_dir):
+    panel = fixtures.panel(spark, sf_dir)
+    earnings, regime = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel)), panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel))
+    blocked = context.blackout(earnings, panel.select("ticker").distinct(), panel.select("date").distinct(), BLACKOUT)
+    rows = signals.gates(signals.segment_rows(series(spark, sf_dir), every_pair(spark, sf_dir)), FULL, blocked, regime)
+    count = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("segment_id", "a", "b").agg(count(F.col("valid")).alias("valid"), count(F.col("shut")).alias("shut"), count(F.col("blk")).alias("blk"), count(F.col("zprev").isNotNull()).alias("with_prev"), r(F.sum("w"), 5).alias("w"))
+
+
+_SIM_ROWS = "segment_id, a, b, date, round(pnl, 8) + 0.0 AS pnl, round(cost, 8) + 0.0 AS cost, CAST(pos AS INTEGER) AS pos FROM done JOIN trd USING (segment_id, a, b) WHERE pos <> 0 OR pnl <> 0"
+
+
+@query("trade_fold", f"{_BASE} SELECT {_SIM_ROWS}", dates=('date',))
+def trade_fold(spark, sf_dir):
+    own = trading(spark, sf_dir, Params()).daily
+    return own.where("pos != 0 OR pnl != 0").select("segment_id", "a", "b", "date", r("pnl", 8), r("cost", 8), "pos")
+
+
+@query("trade_fold_full", f"{_RICH} SELECT {_SIM_ROWS}", dates=('date',))
+def trade_fold_full(spark, sf_dir):
+    own = trading(spark, sf_dir, FULL).daily
+    return own.where("pos != 0 OR pnl != 0").select("segment_id", "a", "b", "date", r("pnl", 8), r("cost", 8), "pos")
+
+
+@query("trade_stats", f"{_BASE} SELECT segment_id, a || '|' || b AS pair, trips AS round_trips, {_rd('CAST(wins AS DOUBLE) / nullif(trips, 0)', 6, 'hit_rate')}, {_rd('CAST(held AS DOUBLE) / nullif(trips, 0)', 6, 'avg_hold_days')} FROM trd")
+def trade_stats(spark, sf_dir):
+    return trading(spark, sf_dir, Params()).stats.select("segment_id", "pair", "round_trips", r("hit_rate"), r("avg_hold_days"))
+
+
+@query("portfolio_daily", f"{_BASE} SELECT segment_id, date, {_rd('pnl', 7)}, {_rd('cost', 7)}, {_rd('pnl_gross', 7)} FROM port", dates=('date',))
+def portfolio_daily(spark, sf_dir):
+    return trading(spark, sf_dir, Params()).portfolio.select("segment_id", "date", r("pnl", 7), r("cost", 7), r("pnl_gross", 7))
+
+
+_EQUITY = f"""{_BASE}, eq AS (SELECT segment_id, date, pnl, pnl_gross, sum(pnl) OVER w AS equity, sum(pnl_gross) OVER w AS equity_gross FROM port WINDOW w AS (ORDER BY date, segment_id ROWS UNBOUNDED PRECEDING)),
+  dd AS (SELECT *, equity - max(equity) OVER (ORDER BY date, segment_id ROWS UNBOUNDED PRECEDING) AS drawdown FROM eq)"""
+
+
+@query("equity_drawdown", f"{_EQUITY} SELECT segment_id, date, {_rd('equity')}, {_rd('equity_gross')}, {_rd('drawdown')} FROM dd", dates=('date',))
+def equity_drawdown(spark, sf_dir):
+    return metrics.equity(trading(spark, sf_dir, Params()).portfolio).select("segment_id", "date", r("equity"), r("equity_gross"), r("drawdown"))
+
+
+@query(
+    "perf_metrics",
+    f"""{_EQUITY}, st AS (SELECT sum(trips) AS trips, avg(CAST(held AS DOUBLE) / nullif(trips, 0)) AS hold, avg(CAST(wins AS DOUBLE) / nullif(trips, 0)) AS hit FROM trd)
+SELECT round(avg(pnl) * 252, 6) + 0.0 AS ann_mu, round(stddev_samp(pnl) * sqrt(252), 6) + 0.0 AS ann_sd, round(avg(pnl) * 252 / (stddev_samp(pnl) * sqrt(252)), 5) + 0.0 AS sharpe,
+       round(avg(pnl_gross) * 252, 6) + 0.0 AS ann_mu_gross, round(avg(pnl_gross) * 252 / (stddev_samp(pnl_gross) * sqrt(252)), 5) + 0.0 AS sharpe_gross, round(min(drawdown), 6) + 0.0 AS max_drawdown,
+       CAST(any_value(trips) AS BIGINT) AS total_round_trips, round(any_value(hold), 6) AS avg_hold_days, round(any_value(hit), 6) AS avg_hit_rate FROM dd, st""",
+)
+def perf_metrics(spark, sf_dir):
+    own = trading(spark, sf_dir, Params())
+    out = metrics.performance(own.portfolio).crossJoin(F.broadcast(metrics.trade_totals(own.stats)))
+    return out.select(r("ann_mu"), r("ann_sd"), r("sharpe", 5), r("ann_mu_gross"), r("sharpe_gross", 5), r("max_drawdown"), "total_round_trips", r("avg_hold_days"), r("avg_hit_rate"))
+
+
+@query("trade_fold_kalman")
+def trade_fold_kalman(spark, sf_dir):
+    return trading(spark, sf_dir, Params(use_kalman=True)).stats
+
+
+# ---------------------------------------------------------------------------------------------- selection
+
+_CANDIDATES = "cand AS (SELECT x.segment_id, x.cluster, x.ticker AS a, y.ticker AS b FROM lab x JOIN lab y ON x.segment_id = y.segment_id AND x.cluster = y.cluster AND x.ticker < y.ticker)"
+_FORM = f"""{_ALIGN}, {_SEGMENTS}, {_LABELS}, {_CANDIDATES}, fw AS MATERIALIZED (
+  SELECT c.segment_id, c.cluster, c.a, c.b, al.date, pa, pb, CASE WHEN r0.rn - cal.rn < 63 AND rb IS NOT NULL THEN ra END AS x, CASE WHEN r0.rn - cal.rn < 63 AND ra IS NOT NULL THEN rb END AS y
+  FROM cand c JOIN seg ON seg.segment_id = c.segment_id JOIN cal r0 ON r0.date = seg.d0 JOIN al ON al.a = c.a AND al.b = c.b JOIN cal ON cal.date = al.date AND cal.rn BETWEEN r0.rn - 251 AND r0.rn
+), lv AS (SELECT segment_id, a, b, regr_slope(pa, pb) AS beta, regr_intercept(pa, pb) AS alpha, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS corr63 FROM fw GROUP BY ALL
+), rs AS (SELECT segment_id, cluster, a, b, date, beta, alpha, corr63, pa - beta * pb - alpha AS e FROM fw JOIN lv USING (segment_id, a, b)
+), ls AS (SELECT *, lag(e) OVER (PARTITION BY segment_id, a, b ORDER BY date) AS e1 FROM rs
+), ag AS (SELECT segment_id, cluster, a, b, any_value(beta) AS beta, any_value(alpha) AS alpha, any_value(corr63) AS corr63, count(e - e1) AS n, regr_sxx(e - e1, e1) AS sxx, regr_syy(e - e1, e1) AS syy, regr_sxy(e - e1, e1) AS sxy FROM ls GROUP BY segment_id, cluster, a, b
+), fs AS MATERIALIZED (SELECT *, sxy / sxx AS rho, (sxy / sxx) / sqrt(greatest(syy - sxy / sxx * sxy, 0) / ((n - 2) * sxx)) AS adf FROM ag
+), st AS MATERIALIZED (SELECT segment_id, cluster, a, b, n, beta, alpha, corr63, adf, CASE WHEN rho < 0 AND rho > -1 THEN -ln(2.0) / ln(1 + rho) END AS half_life FROM fs)"""
+_JUDGED = f"""{_FORM}, jd AS (SELECT *, coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.70 AND adf <= -3.33613 - 6.1101 / n - 6.823 / (n * n), FALSE) AS passes FROM st),
+  rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, cluster ORDER BY round(corr63, 9) DESC NULLS LAST, a, b) AS corr_rank FROM jd) WHERE corr_rank <= 40),
+  tp AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment_id, cluster ORDER BY passes DESC, round(adf, 9) ASC NULLS LAST, a, b) AS INTEGER) AS pair_rank FROM rk) WHERE passes AND pair_rank <= 5)"""
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = LOOSE
+    own = prices(spark, sf_dir)
+    labels = _labelled(spark, sf_dir)
+    pairs = discovery.candidates(labels)
+    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), f.formation)
+    return discovery.ranked(discovery.judged(discovery.formation_stats(rows, pairs), f), pairs, f)
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few pairs chosen, kept: the queries below look at them several times."""
+    return discovery.top_pairs(_ranking(spark, sf_dir), LOOSE).persist()
+
+
+@query("formation_stats", f"{_FORM} SELECT segment_id, a, b, n, {_rd('beta', 5)}, {_rd('alpha', 5)}, {_rd('corr63', 6)}, {_rd('adf', 5)}, {_rd('half_life', 4)} FROM st")
+def formation_stats(spark, sf_dir):
+    own = prices(spark, sf_dir)
+    pairs = discovery.candidates(_labelled(spark, sf_dir))
+    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), 252)
+    return discovery.formation_stats(rows, pairs).select("segment_id", "a", "b", "n", r("beta", 5), r("alpha", 5), r("corr63"), r("adf", 5), r("half_life", 4))
+
+
+@query("top_pairs", f"{_JUDGED} SELECT segment_id, cluster, a, b, pair_rank, {_rd('adf', 5)} FROM tp")
+def top_pairs(spark, sf_dir):
+    return _top(spark, sf_dir).select("segment_id", "cluster", "a", "b", "pair_rank", r("adf", 5))
+
+
+_PICKED = "pk AS (SELECT *, (ascii(right(a, 1)) + ascii(right(b, 1))) % 3 = 0 AS maintenance FROM tp)"
+
+
+@query(
+    "new_pair_cap",
+    f"""{_JUDGED}, {_PICKED}, cp AS (SELECT *, greatest(CAST(floor(sum(CAST(maintenance AS INTEGER)) OVER (PARTITION BY segment_id) / 0.65::DOUBLE * 0.35::DOUBLE) AS INTEGER) + 1, 2) AS cap,
+  row_number() OVER (PARTITION BY segment_id, maintenance ORDER BY pair_rank, a, b) AS rr FROM pk) SELECT segment_id, a, b, maintenance, CAST(cap AS INTEGER) AS cap FROM cp WHERE maintenance OR rr <= cap""",
+)
+def new_pair_cap(spark, sf_dir):
+    own = _top(spark, sf_dir)
+    own = own.withColumn("maintenance", (F.ascii(F.substring("a", -1, 1)) + F.ascii(F.substring("b", -1, 1))) % 3 == 0)
+    return discovery.new_pair_cap(own, 2).select("segment_id", "a", "b", "maintenance", "cap")
+
+
+_ORD = "od AS (SELECT segment_id, row_number() OVER (ORDER BY segment_id) AS ord FROM (SELECT DISTINCT segment_id FROM tp)), pp AS (SELECT DISTINCT segment_id, ord, a || '|' || b AS pair FROM tp JOIN od USING (segment_id))"
+
+
+@query("pair_overlap", f"{_JUDGED}, {_ORD} SELECT y.segment_id, count(*) AS pairs, count(x.pair) AS shared, {_rd('count(x.pair) / count(*)', 6, 'overlap')} FROM pp y LEFT JOIN pp x ON x.ord = y.ord - 1 AND x.pair = y.pair WHERE y.ord > 1 GROUP BY y.segment_id")
+def pair_overlap(spark, sf_dir):
+    own = metrics.pair_overlap(_top(spark, sf_dir))
+    return own.select("segment_id", "pairs", "shared", r("overlap"))
+
+
+@query(
+    "maintenance_history",
+    f"""{_JUDGED}, {_ORD}, fo AS (SELECT pair, min(ord) AS f FROM pp GROUP BY pair), gr AS (SELECT fo.pair, od.ord, od.segment_id, (pp.pair IS NOT NULL) AS passed FROM fo JOIN od ON od.ord >= fo.f LEFT JOIN pp ON pp.pair = fo.pair AND pp.ord = od.ord)
+SELECT segment_id, pair, passed, CAST(sum(CAST(passed AS INTEGER)) OVER w AS BIGINT) AS passes, sum(CAST(passed AS INTEGER)) OVER w >= 2 AS held_over FROM gr WINDOW w AS (PARTITION BY pair ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+)
+def maintenance_history(spark, sf_dir):
+    return metrics.pass_history(_top(spark, sf_dir))
+
+
+@query(
+    "frozen_formation_stats",
+    f"""{_JUDGED}, ck AS (SELECT DISTINCT tp.segment_id, d0, a, b, beta, alpha FROM tp JOIN seg USING (segment_id)), sq AS (SELECT ck.segment_id, ck.a, ck.b, al.date, d0, pa - (ck.beta * pb + ck.alpha) AS s FROM ck JOIN al ON al.a = ck.a AND al.b = ck.b),
+  sl AS (SELECT *, lag(s) OVER (PARTITION BY segment_id, a, b ORDER BY date) AS s1 FROM sq)
+SELECT segment_id, a, b, {_rd('CASE WHEN count(s1) FILTER (date < d0) >= 5 THEN avg(s1) FILTER (date < d0) ELSE 0 END', 6, 'mu')}, {_rd('CASE WHEN count(s1) FILTER (date < d0) >= 5 THEN nullif(stddev_samp(s1) FILTER (date < d0), 0) END', 6, 'sd')} FROM sl GROUP BY ALL""",
+)
+def frozen_formation_stats(spark, sf_dir):
+    chosen = _top(spark, sf_dir).join(segment_table(spark, sf_dir), "segment_id")
+    own = ticker_rows(spark, sf_dir)
+    out = hedge.frozen_features(features.align(own, chosen), chosen, Params(freeze_beta=True, freeze_spread_stats=True))
+    return out.groupBy("segment_id", "a", "b").agg(r(F.first("mu"), 6).alias("mu"), r(F.first("sd"), 6).alias("sd"))
+
+
+# ---------------------------------------------------------------------------------------------- clusters and walk
+
+
+@query(
+    "adjusted_rand",
+    f"""{_PANEL}, {_SEGMENTS}, {_LABELS}, ct AS (SELECT y.segment_id, x.cluster AS p, y.cluster AS c, count(*) AS n FROM lab x JOIN lab y ON y.segment_id = x.segment_id + 1 AND x.ticker = y.ticker GROUP BY ALL),
+  bo AS (SELECT segment_id, sum(n * (n - 1) / 2.0) AS bth, sum(n) AS t FROM ct GROUP BY 1), sx AS (SELECT segment_id, sum(n * (n - 1) / 2.0) AS x FROM (SELECT segment_id, p, sum(n) AS n FROM ct GROUP BY ALL) GROUP BY 1),
+  sy AS (SELECT segment_id, sum(n * (n - 1) / 2.0) AS y FROM (SELECT segment_id, c, sum(n) AS n FROM ct GROUP BY ALL) GROUP BY 1)
+SELECT segment_id, round(coalesce((bth - x * y / (t * (t - 1) / 2.0)) / nullif((x + y) / 2.0 - x * y / (t * (t - 1) / 2.0), 0), 1.0), 6) + 0.0 AS ari FROM bo JOIN sx USING (segment_id) JOIN sy USING (segment_id)""",
+)
+def adjusted_rand(spark, sf_dir):
+    return clusters.adjusted_rand(_labelled(spark, sf_dir)).select("segment_id", r("ari"))
+
+
+@query(
+    "cluster_persistence",
+    f"""{_PANEL}, {_SEGMENTS}, {_LABELS}, ct AS (SELECT y.segment_id, x.cluster AS p, y.cluster AS c, count(*) AS n FROM lab x JOIN lab y ON y.segment_id = x.segment_id + 1 AND x.ticker = y.ticker GROUP BY ALL),
+  k AS (SELECT unnest([0, 1, 2, 3]) AS k), pm AS (SELECT a.k AS p0, b.k AS p1, c.k AS p2, d.k AS p3 FROM k a, k b, k c, k d WHERE a.k NOT IN (b.k, c.k, d.k) AND b.k NOT IN (c.k, d.k) AND c.k <> d.k),
+  sc AS (SELECT segment_id, p0, p1, p2, p3, sum(n) FILTER (c = CASE p WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS good, sum(n) AS t FROM ct, pm GROUP BY ALL)
+SELECT segment_id, round(max(coalesce(good, 0) / t), 6) + 0.0 AS persistence FROM sc GROUP BY segment_id""",
+)
+def cluster_persistence(spark, sf_dir):
+    return clusters.persistence(_labelled(spark, sf_dir)).select("segment_id", r("persistence"))
+
+
+def _clustered(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        panel = fixtures.panel(spark, sf_dir)
+        own = panels.prices(panel)
+        factors = features.factor_zscore(panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel)))
+        control = factors.where(F.col("factor") == "SPY").select("date", "factor", F.col("z").alias("ret"))
+        c = clusters.ClusterParams(method=method)
+        return clusters.freeze(clusters.rolling_labels(features.ticker_features(own), factors, calendar.calendar(own), segment_table(spark, sf_dir), c, control), c.ari_threshold)
+
+    return run
+
+
+for _m in clusters.METHODS:
+    QUERIES[f"cluster_labels_{_m}"] = _clustered(_m)
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> walkforward.WalkForward:
+    panel = fixtures.panel(spark, sf_dir)
+    factors = panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel))
+    return walkforward.walk_forward(panels.prices(panel), factors, f=LOOSE, refit=REFIT)
+
+
+@query("walk_forward_pairs")
+def walk_forward_pairs(spark, sf_dir):
+    return _walk(spark, sf_dir).result.segment_pairs
+
+
+@query("walk_forward_summary")
+def walk_forward_summary(spark, sf_dir):
+    return _walk(spark, sf_dir).summary()
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_zscore(spark, sf_dir)
