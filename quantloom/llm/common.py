@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; with long texts Spark's own byte bound cuts batches further.
 ARROW_ROWS = 1000
+#: Files for each core: of tables that grow with the corpus, and of those that hold a small part of it.
+MANY, FEW = 8, 2
 #: The white space of the contracts, as a Java class body: space and tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -42,10 +44,15 @@ def _shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def written(df: DataFrame, label: str = "part") -> DataFrame:
+def written(df: DataFrame, label: str = "part", files: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut, a lost executor costs nothing
-    already written, and later plans see true sizes. The files go when the driver's Python ends."""
+    already written, and later plans see true sizes. The files go when the driver's Python ends.
+
+    files: at most so many files for each core of the cluster. A task then works through several shuffle partitions, one
+    after another, so its memory stays that of one; each file costs the executor a few calls to the system."""
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files * spark.sparkContext.defaultParallelism)
     path = f"{_shared_dir(spark)}/quantloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import written
+from quantloom.llm.common import FEW, written
 
 ROUNDS = 60
 _MARK = 0x5DEECE66D
@@ -37,7 +37,7 @@ def _star(near: DataFrame, keep: Column) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """pairs: a long, b long. Returns id, component: the least id reachable, for every id in a pair of two ids."""
-    edges = written(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", FEW)
     last = None
     for _ in range(ROUNDS):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -45,7 +45,7 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         rest = spread_join(down, least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = written(rest.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        edges = written(rest.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges", FEW)
         # A star forest: nothing moves any more once the same edges come out again.
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == last:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_arrow, text_of, written
+from quantloom.llm.common import FEW, MANY, bounded_arrow, text_of, written
 from quantloom.llm.components import components, spread_join
 
 #: Minhash values in a band of either collection.
@@ -155,7 +155,7 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
     own = own.withColumn("component", F.coalesce("component", "doc_id"))
     several = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("print"), F.count(F.lit(1)).alias("size"))
     several = several.where("lo != hi").groupBy("print", "size").agg(F.min("key").alias("key"))  # same members, once
-    own = written(spread_join(own, several.select("key"), "key"), "several")
+    own = written(spread_join(own, several.select("key"), "key"), "several", FEW)
     by = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("nv"))
     main = main.select("key", F.col("main.component").alias("main"), F.ceil((F.col("nv") - F.col("main.k")) / BLOCK_U).cast("int").alias("ublocks"), F.ceil(F.col("nv") / BLOCK_V).cast("int").alias("vblocks"))
@@ -175,34 +175,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     m = bands_for(percent)
     signed = written(_signatures(docs, text, width, m), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("n", "f1", "f2", "least.doc_id", "least.keys"), "classes")
+    classes = written(usable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("n", "f1", "f2", "least.doc_id", "least.keys"), "classes", MANY)
 
     rows = classes.select("doc_id", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(spread_join(rows, buckets, "key"), "members")
+    members = written(spread_join(rows, buckets, "key"), "members", MANY)
     pairs = members.where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     # A document id may stand for several classes (rows that repeat it); the largest size decides nothing then.
     size = classes.groupBy("doc_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
     pairs = pairs.join(size.select(F.col("doc_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
     alike = (100 * F.least("ahi", "bhi") >= percent * F.greatest("alo", "blo")) & (100 * F.col("ahi") >= percent * F.col("blo")) & (100 * F.col("bhi") >= percent * F.col("alo"))
-    pairs = written(pairs.where(alike).select("a", "b"), "pairs")
+    pairs = written(pairs.where(alike).select("a", "b"), "pairs", FEW)
 
     involved = members.where("size > 2").select("doc_id").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    sets = written(_sets(docs, involved, text, width), "sets")
+    sets = written(_sets(docs, involved, text, width), "sets", MANY)
     one = spread_join(pairs.withColumnRenamed("a", "doc_id"), sets, "doc_id").withColumnsRenamed({"doc_id": "a", "set": "one", "b": "doc_id"})
     two = spread_join(one, sets, "doc_id")
     inter = F.size(F.array_intersect("one", "set"))
     links = two.where(linked(inter, F.size("one"), F.size("set"), percent)).select("a", F.col("doc_id").alias("b"))
-    comps = written(components(links), "components")
+    comps = written(components(links), "components", FEW)
 
-    across = written(_rest(members, comps, sets, percent), "across")
+    across = written(_rest(members, comps, sets, percent), "across", FEW)
     if not across.isEmpty():
         name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"{side}c"))
         ends = across.join(name("a"), "a", "left").join(name("b"), "b", "left")
         joined = components(ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")))
         every = comps.unionByName(across.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("component")))
-        comps = written(_renamed(every, joined), "components")
+        comps = written(_renamed(every, joined), "components", FEW)
 
     # From classes to documents: a class has the component of its least id, a repeated id that of any of its classes.
     named = classes.select("n", "f1", "f2", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
