@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch handed to Python; with long texts Spark's own byte bound cuts batches further.
 ARROW_ROWS = 1000
 #: Files for each core: of tables that grow with the corpus, and of those that hold a small part of it.
-MANY, FEW = 8, 2
+MANY, FEW = 2, 1
 #: The white space of the contracts, as a Java class body: space and tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -52,13 +52,18 @@ def written(df: DataFrame, label: str = "part", files: int | None = None) -> Dat
     after another, so its memory stays that of one; each file costs the executor a few calls to the system."""
     spark = df.sparkSession
     if files:
-        df = df.coalesce(files * spark.sparkContext.defaultParallelism)
+        df = few_tasks(df, files)
     path = f"{_shared_dir(spark)}/quantloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame, files: int = MANY) -> DataFrame:
+    """df in at most so many tasks for each core; shuffled partitions are put behind one another, not together."""
+    return df.coalesce(files * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

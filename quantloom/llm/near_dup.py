@@ -10,7 +10,7 @@ MISS at most; pairs above it are missed far more rarely.
 3. Verified links give components. A bucket whose classes are all in one component is done.
 4. In the other buckets each class outside the bucket's largest component is held against all classes of other
    components, in bounded blocks (BLOCK_U by BLOCK_V classes) and on whole sets. Only links found leave a block, so no
-   list of all pairs is made. Buckets with the same members are done once.
+   list of all pairs is made. Buckets with the same largest component are done together.
 5. Links of step 4 join components.
 
 No bucket is capped or sampled: whatever shares a table key and is not in the same component anyhow is compared.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import FEW, MANY, bounded_arrow, text_of, written
+from quantloom.llm.common import FEW, MANY, bounded_arrow, few_tasks, text_of, written
 from quantloom.llm.components import components, spread_join
 
 #: Minhash values in a band of either collection.
@@ -150,23 +150,27 @@ def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within buckets, beyond those to the bucket's least member."""
+    """Links between components within buckets, beyond those to the bucket's least member.
+
+    Buckets with the same largest component are taken together: a class that lies in many of them is sent and compared
+    once, not once for each bucket. Of two classes of different components at least one is outside the largest, so
+    holding those outside against all members leaves out no pair of any bucket."""
     own = spread_join(members.where("size > 2").select("key", "doc_id"), comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    own = own.withColumn("component", F.coalesce("component", "doc_id"))
-    several = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("print"), F.count(F.lit(1)).alias("size"))
-    several = several.where("lo != hi").groupBy("print", "size").agg(F.min("key").alias("key"))  # same members, once
-    own = written(spread_join(own, several.select("key"), "key"), "several", FEW)
+    own = written(own.withColumn("component", F.coalesce("component", "doc_id")), "several", FEW)
     by = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("nv"))
-    main = main.select("key", F.col("main.component").alias("main"), F.ceil((F.col("nv") - F.col("main.k")) / BLOCK_U).cast("int").alias("ublocks"), F.ceil(F.col("nv") / BLOCK_V).cast("int").alias("vblocks"))
-    rows = spread_join(own, main, "key")
+    main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = spread_join(own, main.select("key", F.col("main.component").alias("main")), "key").select("main", "doc_id", "component").distinct()
+    rows = written(rows, "bundles", FEW)
+    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(F.col("component") != F.col("main")).alias("nu"))
+    sizes = sizes.select("main", F.ceil(F.col("nu") / BLOCK_U).cast("int").alias("ublocks"), F.ceil(F.col("nv") / BLOCK_V).cast("int").alias("vblocks"))
+    rows = spread_join(rows, sizes, "main")
     other = rows.where("component != main").withColumn("u", F.lit(True)).withColumn("ub", F.pmod(F.xxhash64("doc_id"), "ublocks").cast("int"))
     other = other.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
     every = rows.withColumn("u", F.lit(False)).withColumn("vb", F.pmod(F.xxhash64("doc_id"), "vblocks").cast("int"))
     every = every.withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)))
-    names = ["key", "ub", "vb", "u", "doc_id", "component"]
+    names = ["main", "ub", "vb", "u", "doc_id", "component"]
     blocks = spread_join(other.select(*names).unionByName(every.select(*names)), sets, "doc_id")
-    return blocks.groupBy("key", "ub", "vb").applyInPandas(lambda f: block_links(f, percent), "a long, b long").distinct()
+    return blocks.groupBy("main", "ub", "vb").applyInPandas(lambda f: block_links(f, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -194,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     two = spread_join(one, sets, "doc_id")
     inter = F.size(F.array_intersect("one", "set"))
     links = two.where(linked(inter, F.size("one"), F.size("set"), percent)).select("a", F.col("doc_id").alias("b"))
-    comps = written(components(links), "components", FEW)
+    comps = components(links)
 
     across = written(_rest(members, comps, sets, percent), "across", FEW)
     if not across.isEmpty():
@@ -202,14 +206,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         ends = across.join(name("a"), "a", "left").join(name("b"), "b", "left")
         joined = components(ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")))
         every = comps.unionByName(across.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("component")))
-        comps = written(_renamed(every, joined), "components", FEW)
+        comps = _renamed(every, joined)
 
     # From classes to documents: a class has the component of its least id, a repeated id that of any of its classes.
     named = classes.select("n", "f1", "f2", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     named = named.select((F.col("f1").bitwiseXOR(1)).alias("g1"), "f2", "n", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n", (F.col("f1").bitwiseXOR(1)).alias("g1"), "f2").join(named, ["g1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return few_tasks(out)
 
 
 def _renamed(every: DataFrame, joined: DataFrame) -> DataFrame:

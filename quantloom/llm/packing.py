@@ -1,7 +1,7 @@
 """Operator 5, best-fit packing by length patterns and non-negative least squares.
 
-Pieces are counted by length, which is all the driver sees: at most `capacity` counts. Patterns of one to three lengths
-that fill a sequence exactly are enumerated; non-negative least squares (accelerated projected gradient) fits how often
+Pieces are counted by length, which is all the driver sees: at most `capacity` counts. Patterns of two or three lengths
+that fill a sequence (nearly) are enumerated; non-negative least squares (accelerated projected gradient) fits how often
 to repeat each so that the patterns use up the histogram; repeats are rounded within what is there; what remains is
 packed best-fit decreasing, on counts. The plan is a table of ranges: of the pieces with some length, those ranked r to
 s go to sequences q, q+1, ... at some offset. Its size depends on the capacity, not on the documents.
@@ -37,8 +37,8 @@ CAPACITY = 1024
 END = 2
 SPECIAL = "<|endoftext|>"
 LEAST_BUCKETS, RANK_ROWS = 64, 200_000
-#: Rounds of the least squares fit.
-ROUNDS = 400
+#: Rounds of the least squares fit; tokens a pattern may leave free, and their price in the fit.
+ROUNDS, WASTE, PRICE = 400, 16, 2.0
 
 
 @lru_cache(maxsize=2)
@@ -77,30 +77,48 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
     return written(own.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
 
 
-def patterns(capacity: int, most: int = 3) -> np.ndarray:
-    """Rows (a, b, c) with a <= b <= c and a + b + c = capacity, where a, or a and b, may be 0 (no piece)."""
-    b = np.arange(1, capacity // 2 + 1)
-    two = np.stack([np.zeros_like(b), b, capacity - b], axis=1)
-    a, b = np.meshgrid(np.arange(1, capacity // 3 + 1), np.arange(1, capacity // 2 + 1), indexing="ij")
-    c = capacity - a - b
-    ok = (a <= b) & (b <= c)
-    three = np.stack([a[ok], b[ok], c[ok]], axis=1)
-    return np.concatenate([two, three] if most >= 3 else [two])
-
-
-def fit_repeats(counts: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative x that nearly minimises the squared gap between counts and what the patterns use."""
+def patterns(counts: np.ndarray, capacity: int, waste: int | None = None) -> np.ndarray:
+    """Rows (a, b, c) with a >= b >= c of lengths that occur, 0 for none, that leave at most `waste` tokens free; c is the
+    longest that still fits. A length that no such row holds gets the rows of least waste it has."""
+    have = np.flatnonzero(counts[:capacity] > 0)
+    have = have[have > 0]
+    if not len(have):
+        return np.zeros((0, 3), dtype=np.int64)
+    longest = np.zeros(capacity + 1, dtype=np.int64)  # the longest length that occurs and is at most the index
+    longest[have] = have
+    longest = np.maximum.accumulate(longest)
+    a, b = np.meshgrid(have, have, indexing="ij")
+    ok = (b <= a) & (a + b <= capacity)
+    a, b = a[ok], b[ok]
+    c = longest[np.minimum(b, capacity - a - b)]
+    two = longest[np.minimum(have, capacity - have)]
+    table = np.concatenate([np.stack([a, b, c], axis=1), np.stack([have, two, np.zeros_like(have)], axis=1)])
+    free = capacity - table.sum(axis=1)
+    good = free <= (WASTE if waste is None else waste)
+    held = np.zeros(capacity + 1, dtype=bool)
+    held[table[good].ravel()] = True
+    best = np.full(capacity + 1, capacity)
+    np.minimum.at(best, table[:, 0], free)
+    good |= ~held[table[:, 0]] & (free == best[table[:, 0]])
+    return np.unique(table[good], axis=0)
+
+
+def fit_repeats(counts: np.ndarray, table: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Non-negative x that nearly minimises the squared relative gaps between counts and what the patterns use, with a
+    price on what a pattern leaves free."""
     size = len(counts)
+    if not len(table):
+        return np.zeros(0)
     flat = table.ravel()
     used = lambda x: np.bincount(flat, weights=np.repeat(x, 3), minlength=size)
-    weight = 1.0 / np.sqrt(counts + 1.0)  # relative gaps, or long rare lengths would not matter
+    weight = 1.0 / (counts + 1.0)
     weight[0] = 0.0
-    scale = lambda v: v * weight * weight
     back = lambda v: v[table].sum(axis=1)
+    price = PRICE * (capacity - table.sum(axis=1)) / capacity
     probe = np.ones(len(table))
     norm = 1.0
     for _ in range(12):  # largest singular value, by power iteration
-        probe = back(scale(used(probe)))
+        probe = back(weight * used(probe))
         norm = np.linalg.norm(probe)
         if not norm:
             return np.zeros(len(table))
@@ -108,7 +126,7 @@ def fit_repeats(counts: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) ->
     x = y = np.zeros(len(table))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0.0, y - back(scale(used(y) - counts)) / (1.05 * norm))
+        new = np.maximum(0.0, y - (back(weight * (used(y) - counts)) + price) / (1.05 * norm))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / after * (new - x)
         x, t = new, after
@@ -131,8 +149,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
         rank[length] += n
         left[length] -= n
 
-    table = patterns(capacity)
-    repeats = fit_repeats(left.astype(float), table)
+    table = patterns(left, capacity)
+    repeats = fit_repeats(left.astype(float), table, capacity)
     for rounded in (np.floor(repeats), np.ceil(repeats - 0.02)):
         for i in np.argsort(-repeats, kind="stable"):
             want = int(rounded[i])
@@ -144,7 +162,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
             n = min(want, int((left[lengths] // need).min()))
             if n > 0:
                 offset = 0
-                for length in table[i][table[i] > 0][::-1]:
+                for length in table[i][table[i] > 0]:
                     place(int(length), n, sequences, offset)
                     offset += int(length)
                 sequences += n
