@@ -194,9 +194,9 @@ def log_returns(spark, sf_dir):
     return ticker_rows(spark, sf_dir).select("ticker", "date", r("lp"), r("ret", 8))
 
 
-@query("weekly_panel", f"WITH p AS ({duck(fixtures.WEEKLY_SQL)}) SELECT ticker, date, {_rd('close')}, volume FROM p", dates=('date',))
+@query("weekly_panel", f"WITH p AS ({duck(fixtures.WEEKLY_SQL)}) SELECT ticker, date, {_rd('ln(close)', 7, 'log_close')}, volume FROM p", dates=('date',))
 def weekly_panel(spark, sf_dir):
-    return panels.prices(fixtures.weekly(spark, sf_dir)).select("ticker", "date", r("close"), "volume")
+    return panels.prices(fixtures.weekly(spark, sf_dir)).select("ticker", "date", r(F.log("close"), 7, "log_close"), "volume")
 
 
 @query("adv63", f"{_TICKER} SELECT ticker, date, {_rd('adv', 4)} FROM px", dates=('date',))

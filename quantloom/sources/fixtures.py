@@ -26,7 +26,7 @@ from ks cross join fx cross join st left join px on px.k = ks.k and px.d = fx.d
 
 #: A sparse weekly panel by brand.
 WEEKLY_SQL = """
-select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as date, round(avg(l_extendedprice/l_quantity), 4) as close, sum(l_quantity) as volume
+select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as date, avg(l_extendedprice/l_quantity) as close, sum(l_quantity) as volume
 from {lineitem} join {part} on l_partkey = p_partkey group by 1, 2
 """
 
