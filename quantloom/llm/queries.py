@@ -32,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chunk_recipe_dedup": chunk_dedup.OP3_SQL, "op6_url_filter": url_filter.OP6_SQL}
+    return {"op3_chunk_recipe_dedup": chunk_dedup.OP3_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_near_dup": near_dup.OP8_SQL}
