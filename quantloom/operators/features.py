@@ -46,8 +46,11 @@ def align(features: DataFrame, pairs: DataFrame) -> DataFrame:
     own = features.where("lp IS NOT NULL")
     left = own.select(F.col("ticker").alias("a"), "date", F.col("lp").alias("pa"), F.col("ret").alias("ra"), F.col("adv").alias("adva"))
     right = own.select(F.col("ticker").alias("b"), "date", F.col("lp").alias("pb"), F.col("ret").alias("rb"), F.col("adv").alias("advb"))
-    # Pairs meet the first leg, then the second by (ticker, date): two equi joins, nothing quadratic in the dates.
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "date"]).select("a", "b", "date", "pa", "pb", "ra", "rb", "adva", "advb")
+    # Pairs meet the first leg, then the second by (ticker, date): two equi joins, nothing quadratic in the dates. The
+    # short list of pairs is dealt out by (a, b) first: where the legs are broadcast, the joined rows are in place for
+    # the windows over (a, b) then, and only the list has been shuffled.
+    spread = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("a", "b").distinct().repartition(spread, "a", "b").join(left, "a").join(right, ["b", "date"]).select("a", "b", "date", "pa", "pb", "ra", "rb", "adva", "advb")
 
 
 def long_enough(aligned: DataFrame, p: Params) -> DataFrame:

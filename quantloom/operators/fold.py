@@ -97,10 +97,14 @@ def simulate(rows: DataFrame, p: Params) -> DataFrame:
     return gathered.select("segment_id", "a", "b", folded.alias("f")).select("segment_id", "a", "b", "f.*")
 
 
+def _moved() -> Column:
+    """Whether the pair had a round trip or any profit or loss."""
+    return (F.col("trips") > 0) | (F.aggregate("out", F.lit(0.0), lambda acc, x: acc + F.abs(x["pnl"])) > 0)
+
+
 def traded(sim: DataFrame) -> DataFrame:
     """Pairs with a round trip or any profit or loss."""
-    moved = F.aggregate("out", F.lit(0.0), lambda acc, x: acc + F.abs(x["pnl"]))
-    return sim.where((F.col("trips") > 0) | (moved > 0))
+    return sim.where(_moved())
 
 
 def pair_daily(sim: DataFrame) -> DataFrame:
@@ -108,10 +112,15 @@ def pair_daily(sim: DataFrame) -> DataFrame:
     return sim.select("segment_id", "a", "b", F.inline("out"))
 
 
+def traded_daily(sim: DataFrame) -> DataFrame:
+    """The same of the pairs that traded. The condition chooses what is unfolded: as a filter it would be pushed below the
+    simulation and run it a second time."""
+    return sim.select("segment_id", "a", "b", F.inline(F.when(_moved(), F.col("out")).otherwise(F.array().cast(_OUT))))
+
+
 def trade_stats(sim: DataFrame) -> DataFrame:
     """segment_id, pair, round_trips, hit_rate, avg_hold_days of the pairs that traded."""
     trips = F.nullif("trips", F.lit(0))
-    return traded(sim).select(
-        "segment_id", F.concat_ws("|", "a", "b").alias("pair"), F.col("trips").alias("round_trips"),
-        F.try_divide("wins", trips).alias("hit_rate"), F.try_divide("held", trips).alias("avg_hold_days"),
-    )
+    row = F.struct(F.col("trips").alias("round_trips"), F.try_divide("wins", trips).alias("hit_rate"), F.try_divide("held", trips).alias("avg_hold_days"))
+    none = F.array().cast("array<struct<round_trips:int,hit_rate:double,avg_hold_days:double>>")
+    return sim.select("segment_id", F.concat_ws("|", "a", "b").alias("pair"), F.inline(F.when(_moved(), F.array(row)).otherwise(none)))

@@ -17,9 +17,12 @@ def segment_rows(series: DataFrame, selected: DataFrame) -> DataFrame:
     """series of the selected pairs (segment_id, d0, d1, a, b) within [d0, d1], both ends included: a boundary date
     belongs to two segments. Applied after all windows over history."""
     own = selected.select("segment_id", "d0", "d1", "a", "b").distinct()
-    on = ["segment_id", "a", "b"] if "segment_id" in series.columns else ["a", "b"]
-    rows = series.join(own, on)
-    return rows.where((F.col("date") >= F.col("d0")) & (F.col("date") <= F.col("d1"))).drop("d0", "d1")
+    if "segment_id" in series.columns:
+        rows = series.join(own, ["segment_id", "a", "b"])
+        return rows.where((F.col("date") >= F.col("d0")) & (F.col("date") <= F.col("d1"))).drop("d0", "d1")
+    # The range join as an equi join: a row meets the one or two segments of its date before the pairs, not all of them.
+    spans = own.select("segment_id", "d0", "d1").distinct().select("segment_id", F.explode(F.sequence("d0", "d1")).alias("date"))
+    return series.join(spans, "date").join(own.select("segment_id", "a", "b"), ["segment_id", "a", "b"], "left_semi")
 
 
 def corr_break(rows: DataFrame) -> DataFrame:

@@ -52,8 +52,13 @@ def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
 # ---------------------------------------------------------------------------------------------- shared inputs
 
 
+def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, kept while a query looks at it several times: tickers by dates, a small table at any scale factor."""
+    return fixtures.panel(spark, sf_dir).persist()
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.prices(fixtures.panel(spark, sf_dir))
+    return panels.prices(panel_of(spark, sf_dir))
 
 
 def ticker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trading(spark: SparkSession, sf_dir: str, p: Params) -> walkforward.Backtest:
     own = prices(spark, sf_dir)
     rich = p.earnings_blackout_days > 0
-    panel = fixtures.panel(spark, sf_dir)
+    panel = panel_of(spark, sf_dir)
     earnings = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel)) if rich else None
     regime = panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel)) if rich else None
     return walkforward.backtest(own, every_pair(spark, sf_dir), p, earnings, regime)
@@ -210,7 +215,7 @@ def adv63(spark, sf_dir):
 SELECT date, factor, round(coalesce(CASE WHEN count(ret) OVER w >= 63 AND ret IS NOT NULL THEN (ret - avg(ret) OVER w) / (stddev_samp(ret) OVER w + 1e-8) END, 0.0), 6) + 0.0 AS z
 FROM fac WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""", dates=('date',))
 def factor_zscore(spark, sf_dir):
-    raw = fixtures.derived(fixtures.FACTORS_SQL, fixtures.panel(spark, sf_dir))
+    raw = fixtures.derived(fixtures.FACTORS_SQL, panel_of(spark, sf_dir))
     return features.factor_zscore(panels.factor_returns(raw)).select("date", "factor", r("z"))
 
 
@@ -304,20 +309,20 @@ _MEMBERS = f"mem AS ({duck(fixtures.MEMBERSHIP_DUCK, panel='panel')})"
     "membership_point_in_time",
     f"""{_PANEL}, {_SEGMENTS}, {_LABELS}, {_MEMBERS} SELECT l.* FROM lab l WHERE EXISTS (SELECT 1 FROM mem m WHERE m.ticker = l.ticker AND m.start_date <= l.refit_date AND (m.end_date IS NULL OR m.end_date >= l.refit_date))""", dates=('refit_date',))
 def membership_point_in_time(spark, sf_dir):
-    members = panels.membership(fixtures.derived(fixtures.MEMBERSHIP_SQL, fixtures.panel(spark, sf_dir)))
+    members = panels.membership(fixtures.derived(fixtures.MEMBERSHIP_SQL, panel_of(spark, sf_dir)))
     return context.active(_labelled(spark, sf_dir), members)
 
 
 @query("earnings_blackout", f"{_PANEL}, {_SEGMENTS}, {_EARN} SELECT ticker, date FROM blk", dates=('date',))
 def earnings_blackout(spark, sf_dir):
-    panel = fixtures.panel(spark, sf_dir)
+    panel = panel_of(spark, sf_dir)
     earnings = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel))
     return context.blackout(earnings, panel.select("ticker").distinct(), panel.select("date").distinct(), BLACKOUT)
 
 
 @query("regime_join", f"{_PANEL}, {_REGIME} SELECT panel.date, ticker, CAST(coalesce(scale, 1.0) AS DOUBLE) AS rscale FROM panel LEFT JOIN reg ON reg.date = panel.date", dates=('date',))
 def regime_join(spark, sf_dir):
-    panel = fixtures.panel(spark, sf_dir)
+    panel = panel_of(spark, sf_dir)
     return context.with_regime(panel.select("date", "ticker"), panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel))).select("date", "ticker", "rscale")
 
 
@@ -335,7 +340,7 @@ def corr5_break(spark, sf_dir):
     f"""{_RICH} SELECT segment_id, a, b, count(*) FILTER (valid) AS valid, count(*) FILTER (shut) AS shut, count(*) FILTER (blk) AS blk, count(*) FILTER (zprev IS NOT NULL) AS with_prev, {_rd('sum(w)', 5, 'w')} FROM fr GROUP BY ALL""",
 )
 def signal_gates(spark, sf_dir):
-    panel = fixtures.panel(spark, sf_dir)
+    panel = panel_of(spark, sf_dir)
     earnings, regime = panels.earnings(fixtures.derived(fixtures.EARNINGS_SQL, panel)), panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel))
     blocked = context.blackout(earnings, panel.select("ticker").distinct(), panel.select("date").distinct(), BLACKOUT)
     rows = signals.gates(signals.segment_rows(series(spark, sf_dir), every_pair(spark, sf_dir)), FULL, blocked, regime)
@@ -386,6 +391,7 @@ SELECT round(avg(pnl) * 252, 6) + 0.0 AS ann_mu, round(stddev_samp(pnl) * sqrt(2
 )
 def perf_metrics(spark, sf_dir):
     own = trading(spark, sf_dir, Params())
+    own.sim = own.sim.persist()  # looked at twice: for the portfolio and for the trips
     out = metrics.performance(own.portfolio).crossJoin(F.broadcast(metrics.trade_totals(own.stats)))
     return out.select(r("ann_mu"), r("ann_sd"), r("sharpe", 5), r("ann_mu_gross"), r("sharpe_gross", 5), r("max_drawdown"), "total_round_trips", r("avg_hold_days"), r("avg_hit_rate"))
 
@@ -511,7 +517,7 @@ def cluster_persistence(spark, sf_dir):
 
 def _clustered(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        panel = fixtures.panel(spark, sf_dir)
+        panel = panel_of(spark, sf_dir)
         own = panels.prices(panel)
         factors = features.factor_zscore(panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel)))
         control = factors.where(F.col("factor") == "SPY").select("date", "factor", F.col("z").alias("ret"))
@@ -526,7 +532,7 @@ for _m in clusters.METHODS:
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> walkforward.WalkForward:
-    panel = fixtures.panel(spark, sf_dir)
+    panel = panel_of(spark, sf_dir)
     factors = panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel))
     return walkforward.walk_forward(panels.prices(panel), factors, f=LOOSE, refit=REFIT)
 

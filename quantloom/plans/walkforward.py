@@ -25,7 +25,7 @@ class Backtest:
 
     @property
     def daily(self) -> DataFrame:
-        return fold.pair_daily(fold.traded(self.sim))
+        return fold.traded_daily(self.sim)
 
     @property
     def portfolio(self) -> DataFrame:
@@ -41,6 +41,7 @@ class Backtest:
 
     def summary(self) -> DataFrame:
         """One row of all metrics."""
+        self.sim, self.selected = self.sim.persist(), self.selected.persist()
         out = metrics.performance(self.portfolio)
         for part in (metrics.trade_totals(self.stats), metrics.diagnostics(self.selected), metrics.pair_overlap(self.selected).agg(F.avg("overlap").alias("overlap_rate"))):
             out = out.crossJoin(F.broadcast(part))  # one row each: aggregates without keys
