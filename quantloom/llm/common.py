@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; with long texts Spark's own byte bound cuts batches further.
 ARROW_ROWS = 1000
-#: Files for each core: of tables that grow with the corpus, and of those that hold a small part of it.
-MANY, FEW = 2, 1
+#: Written tables have at most so many files for each core, or this share of the shuffle partitions if that is more:
+#: those that grow with the corpus, and those that hold a small part of it.
+MANY, FEW = (2, 8), (1, 16)
 #: The white space of the contracts, as a Java class body: space and tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -44,12 +45,12 @@ def _shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def written(df: DataFrame, label: str = "part", files: int | None = None) -> DataFrame:
+def written(df: DataFrame, label: str = "part", files: tuple[int, int] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut, a lost executor costs nothing
     already written, and later plans see true sizes. The files go when the driver's Python ends.
 
-    files: at most so many files for each core of the cluster. A task then works through several shuffle partitions, one
-    after another, so its memory stays that of one; each file costs the executor a few calls to the system."""
+    files: MANY or FEW. A task then works through several shuffle partitions, one after another, so its memory stays that
+    of one; each file costs the executor a few calls to the system."""
     spark = df.sparkSession
     if files:
         df = few_tasks(df, files)
@@ -59,9 +60,19 @@ def written(df: DataFrame, label: str = "part", files: int | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few_tasks(df: DataFrame, files: int = MANY) -> DataFrame:
-    """df in at most so many tasks for each core; shuffled partitions are put behind one another, not together."""
-    return df.coalesce(files * df.sparkSession.sparkContext.defaultParallelism)
+def cut(df: DataFrame) -> DataFrame:
+    """A small table with its lineage cut by a checkpoint in the shared folder: the lighter way for steps of a loop."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(_shared_dir(df.sparkSession))
+    return few_tasks(df, FEW).checkpoint()
+
+
+def few_tasks(df: DataFrame, files: tuple[int, int] = MANY) -> DataFrame:
+    """df in fewer tasks; shuffled partitions are put behind one another, not together."""
+    spark = df.sparkSession
+    per_core, share = files
+    return df.coalesce(max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
 
 
 def remove(spark: SparkSession, path: str) -> None:

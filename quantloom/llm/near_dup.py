@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import FEW, MANY, bounded_arrow, few_tasks, text_of, written
+from quantloom.llm.common import FEW, MANY, bounded_arrow, cut, few_tasks, text_of, written
 from quantloom.llm.components import components, spread_join
 
 #: Minhash values in a band of either collection.
@@ -156,21 +156,21 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
     once, not once for each bucket. Of two classes of different components at least one is outside the largest, so
     holding those outside against all members leaves out no pair of any bucket."""
     own = spread_join(members.where("size > 2").select("key", "doc_id"), comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    own = written(own.withColumn("component", F.coalesce("component", "doc_id")), "several", FEW)
+    own = cut(own.withColumn("component", F.coalesce("component", "doc_id")))
     by = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = spread_join(own, main.select("key", F.col("main.component").alias("main")), "key").select("main", "doc_id", "component").distinct()
-    rows = written(rows, "bundles", FEW)
-    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(F.col("component") != F.col("main")).alias("nu"))
+    bundles = cut(rows)
+    sizes = bundles.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(F.col("component") != F.col("main")).alias("nu"))
     sizes = sizes.select("main", F.ceil(F.col("nu") / BLOCK_U).cast("int").alias("ublocks"), F.ceil(F.col("nv") / BLOCK_V).cast("int").alias("vblocks"))
-    rows = spread_join(rows, sizes, "main")
+    rows = spread_join(bundles, sizes, "main")
     other = rows.where("component != main").withColumn("u", F.lit(True)).withColumn("ub", F.pmod(F.xxhash64("doc_id"), "ublocks").cast("int"))
     other = other.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
     every = rows.withColumn("u", F.lit(False)).withColumn("vb", F.pmod(F.xxhash64("doc_id"), "vblocks").cast("int"))
     every = every.withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)))
     names = ["main", "ub", "vb", "u", "doc_id", "component"]
     blocks = spread_join(other.select(*names).unionByName(every.select(*names)), sets, "doc_id")
-    return blocks.groupBy("main", "ub", "vb").applyInPandas(lambda f: block_links(f, percent), "a long, b long").distinct()
+    return written(blocks.groupBy("main", "ub", "vb").applyInPandas(lambda f: block_links(f, percent), "a long, b long").distinct(), "across", FEW)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     pairs = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
     pairs = pairs.join(size.select(F.col("doc_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
     alike = (100 * F.least("ahi", "bhi") >= percent * F.greatest("alo", "blo")) & (100 * F.col("ahi") >= percent * F.col("blo")) & (100 * F.col("bhi") >= percent * F.col("alo"))
-    pairs = written(pairs.where(alike).select("a", "b"), "pairs", FEW)
+    pairs = cut(pairs.where(alike).select("a", "b"))
 
     involved = members.where("size > 2").select("doc_id").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
     sets = written(_sets(docs, involved, text, width), "sets", MANY)
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     links = two.where(linked(inter, F.size("one"), F.size("set"), percent)).select("a", F.col("doc_id").alias("b"))
     comps = components(links)
 
-    across = written(_rest(members, comps, sets, percent), "across", FEW)
+    across = _rest(members, comps, sets, percent)
     if not across.isEmpty():
         name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"{side}c"))
         ends = across.join(name("a"), "a", "left").join(name("b"), "b", "left")
