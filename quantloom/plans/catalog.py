@@ -326,6 +326,17 @@ def regime_join(spark, sf_dir):
     return context.with_regime(panel.select("date", "ticker"), panels.regime(fixtures.derived(fixtures.REGIME_SQL, panel))).select("date", "ticker", "rscale")
 
 
+@query(
+    "regime_scale",
+    f"""{_PANEL}, {_REGIME}, st AS (SELECT date, CASE scale WHEN 1.0 THEN 0.9 WHEN 0.5 THEN 0.4 ELSE 0.1 END AS scale FROM reg) SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS days, {_rd('avg(CAST(scale AS DOUBLE))', 6, 'mean_scale')} FROM st GROUP BY 1""",
+)
+def regime_scale(spark, sf_dir):
+    raw = fixtures.derived(fixtures.REGIME_SQL, panel_of(spark, sf_dir))
+    states = raw.select("date", F.when(F.col("scale") == 1.0, "calm").when(F.col("scale") == 0.5, "stressed").otherwise("crisis").alias("state"))
+    own = panels.regime(states, calm=0.9, stressed=0.4, crisis=0.1)
+    return own.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("days"), r(F.avg("scale")).alias("mean_scale"))
+
+
 # ---------------------------------------------------------------------------------------------- signals and simulation
 
 
@@ -404,7 +415,7 @@ def trade_fold_kalman(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- selection
 
 _CANDIDATES = "cand AS (SELECT x.segment_id, x.cluster, x.ticker AS a, y.ticker AS b FROM lab x JOIN lab y ON x.segment_id = y.segment_id AND x.cluster = y.cluster AND x.ticker < y.ticker)"
-_FORM = f"""{_ALIGN}, {_SEGMENTS}, {_LABELS}, {_CANDIDATES}, fw AS MATERIALIZED (
+_FORM_STEPS = f"""{_LABELS}, {_CANDIDATES}, fw AS MATERIALIZED (
   SELECT c.segment_id, c.cluster, c.a, c.b, al.date, pa, pb, CASE WHEN r0.rn - cal.rn < 63 AND rb IS NOT NULL THEN ra END AS x, CASE WHEN r0.rn - cal.rn < 63 AND ra IS NOT NULL THEN rb END AS y
   FROM cand c JOIN seg ON seg.segment_id = c.segment_id JOIN cal r0 ON r0.date = seg.d0 JOIN al ON al.a = c.a AND al.b = c.b JOIN cal ON cal.date = al.date AND cal.rn BETWEEN r0.rn - 251 AND r0.rn
 ), lv AS (SELECT segment_id, a, b, regr_slope(pa, pb) AS beta, regr_intercept(pa, pb) AS alpha, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS corr63 FROM fw GROUP BY ALL
@@ -413,9 +424,11 @@ _FORM = f"""{_ALIGN}, {_SEGMENTS}, {_LABELS}, {_CANDIDATES}, fw AS MATERIALIZED
 ), ag AS (SELECT segment_id, cluster, a, b, any_value(beta) AS beta, any_value(alpha) AS alpha, any_value(corr63) AS corr63, count(e - e1) AS n, regr_sxx(e - e1, e1) AS sxx, regr_syy(e - e1, e1) AS syy, regr_sxy(e - e1, e1) AS sxy FROM ls GROUP BY segment_id, cluster, a, b
 ), fs AS MATERIALIZED (SELECT *, sxy / sxx AS rho, (sxy / sxx) / sqrt(greatest(syy - sxy / sxx * sxy, 0) / ((n - 2) * sxx)) AS adf FROM ag
 ), st AS MATERIALIZED (SELECT segment_id, cluster, a, b, n, beta, alpha, corr63, adf, CASE WHEN rho < 0 AND rho > -1 THEN -ln(2.0) / ln(1 + rho) END AS half_life FROM fs)"""
-_JUDGED = f"""{_FORM}, jd AS (SELECT *, coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.70 AND adf <= -3.33613 - 6.1101 / n - 6.823 / (n * n), FALSE) AS passes FROM st),
+_FORM = f"{_ALIGN}, {_SEGMENTS}, {_FORM_STEPS}"
+_JUDGED_STEPS = f"""{_FORM_STEPS}, jd AS (SELECT *, coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.70 AND adf <= -3.33613 - 6.1101 / n - 6.823 / (n * n), FALSE) AS passes FROM st),
   rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, cluster ORDER BY round(corr63, 9) DESC NULLS LAST, a, b) AS corr_rank FROM jd) WHERE corr_rank <= 40),
   tp AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment_id, cluster ORDER BY passes DESC, round(adf, 9) ASC NULLS LAST, a, b) AS INTEGER) AS pair_rank FROM rk) WHERE passes AND pair_rank <= 5)"""
+_JUDGED = f"{_ALIGN}, {_SEGMENTS}, {_JUDGED_STEPS}"
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,6 +458,27 @@ def top_pairs(spark, sf_dir):
     return _top(spark, sf_dir).select("segment_id", "cluster", "a", "b", "pair_rank", r("adf", 5))
 
 
+@query("candidate_pairs", f"{_PANEL}, {_SEGMENTS}, {_LABELS}, {_CANDIDATES} SELECT segment_id, cluster, a, b FROM cand")
+def candidate_pairs(spark, sf_dir):
+    return discovery.candidates(_labelled(spark, sf_dir))
+
+
+@query("traded_universe", f"{_JUDGED} SELECT a AS ticker FROM tp UNION SELECT b FROM tp")
+def traded_universe(spark, sf_dir):
+    own = _top(spark, sf_dir)
+    return own.select(F.col("a").alias("ticker")).union(own.select("b")).distinct()
+
+
+@query(
+    "segment_pair_stats",
+    f"""{_BASE}, {_JUDGED_STEPS} SELECT tp.segment_id, tp.a || '|' || tp.b AS pair, pair_rank, coalesce(trips, 0) AS round_trips, {_rd('CAST(wins AS DOUBLE) / nullif(trips, 0)', 6, 'hit_rate')}, {_rd('CAST(held AS DOUBLE) / nullif(trips, 0)', 6, 'avg_hold_days')}
+FROM tp LEFT JOIN trd ON trd.segment_id = tp.segment_id AND trd.a = tp.a AND trd.b = tp.b""",
+)
+def segment_pair_stats(spark, sf_dir):
+    own = metrics.attach_stats(_top(spark, sf_dir), trading(spark, sf_dir, Params()).stats)
+    return own.select("segment_id", "pair", "pair_rank", F.coalesce("round_trips", F.lit(0)).alias("round_trips"), r("hit_rate"), r("avg_hold_days"))
+
+
 _PICKED = "pk AS (SELECT *, (ascii(right(a, 1)) + ascii(right(b, 1))) % 3 = 0 AS maintenance FROM tp)"
 
 
@@ -459,6 +493,12 @@ def new_pair_cap(spark, sf_dir):
     return discovery.new_pair_cap(own, 2).select("segment_id", "a", "b", "maintenance", "cap")
 
 
+@query("selection_diagnostics", f"{_JUDGED}, {_PICKED} SELECT count(*) AS pairs, count(DISTINCT a || '|' || b) AS unique_pairs, count(*) FILTER (maintenance) AS maintenance, count(DISTINCT segment_id) AS segments FROM pk")
+def selection_diagnostics(spark, sf_dir):
+    own = _top(spark, sf_dir)
+    return metrics.diagnostics(own.withColumn("maintenance", (F.ascii(F.substring("a", -1, 1)) + F.ascii(F.substring("b", -1, 1))) % 3 == 0))
+
+
 _ORD = "od AS (SELECT segment_id, row_number() OVER (ORDER BY segment_id) AS ord FROM (SELECT DISTINCT segment_id FROM tp)), pp AS (SELECT DISTINCT segment_id, ord, a || '|' || b AS pair FROM tp JOIN od USING (segment_id))"
 
 
