@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import boosting
-from quantloom.llm.common import bounded_arrow, table, text_of
+from quantloom.llm.common import FEW, bounded_arrow, table, text_of, written
 
 TRAIN = 12_000
 LEXICON = 2_000
@@ -55,7 +55,7 @@ _DIGIT = np.zeros(256)
 _DIGIT[48:58] = 1
 WIDTH = 24
 #: Distinct words a worker remembers before it forgets them all.
-MEMORY = 300_000
+MEMORY = 100_000
 NEAR = 4
 
 
@@ -222,7 +222,7 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str], kinds
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRAIN) -> Model:
     """Learn from labels (doc_id, toxic) of docs."""
     bounded_arrow(docs.sparkSession)
-    rows = _training_rows(docs, labels, text, limit)
+    rows = written(_training_rows(docs, labels, text, limit), "sample", FEW)  # looked at several times, the corpus once
     lexicon = learn_lexicon(rows)
     got = _featured(rows, lexicon, ["y"], "y int").toPandas()  # at most `limit` rows of WIDTH numbers
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, WIDTH)
