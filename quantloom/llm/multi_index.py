@@ -7,9 +7,9 @@ double precision. How many are enough is learned too: on the sample, the share o
 true neighbours are found. Data with structure need little; vectors without any need most of the table, and get it.
 
 Every row is indexed. Shards are groups of first centroids, cut into blocks of some BLOCK vectors, so that a cell that
-holds a third of all rows is many tasks; queries come to each block with the set of cells they want, in groups of
-QUERIES. A block hands on its `k` best for each query, so what is shuffled last is small. The driver sees the sample,
-the centroids and one count for each cell.
+holds a third of all rows is many tasks. Queries come to each block they walk into with the set of cells they want, in
+groups of QUERIES that lie near each other, and a block goes only where it is wanted. It hands on its `k` best for each
+query, so what is shuffled last is small. The driver sees the sample, the centroids and one count for each cell.
 
 Vectors that are null, zero, or hold a null or a non-finite number take no part, and neither do those whose length is not
 the most common one. Ids that are null take no part. A candidate with the query's own id is never returned; rows that
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import written
+from quantloom.llm.common import MANY, written
 
 CENTROIDS = 64
 SAMPLE = 20_000
@@ -72,7 +72,9 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         sums = np.zeros_like(c)
         np.add.at(sums, a, x)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
-    return c
+    # Along the main axis of their spread, so that those of one shard are near each other.
+    axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
+    return c[np.argsort(c @ axis, kind="stable")]
 
 
 def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, enough: float) -> list[tuple[int, int]]:
@@ -173,8 +175,9 @@ def search(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
     enough = min(total, max(index.share * total, 4.0 * k))
     by_shard = np.add.reduceat(counts.sum(1), np.arange(0, len(counts), GROUP))
     blocks = np.maximum(1, -(-by_shard // BLOCK)).tolist()
-    queries = placed.where(asks).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
-    parts = max(1, -(-queries.count() // QUERIES))
+    queries = placed.where(asks).groupBy("vec_id").agg(F.min(F.struct("v", "shard")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", F.col("q.shard").alias("home"))
+    homes = {r["home"]: -(-r["n"] // QUERIES) for r in queries.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
+    most = max(homes.values(), default=1)
 
     def wants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each query, a row for each block of each shard it walks into, with the cells it wants as bits."""
@@ -182,21 +185,25 @@ def search(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
             x = np.array(frame["v"].tolist(), dtype=np.float64).reshape(len(frame), -1)
             one, two = distances(x[:, : own_index.half], own_index.first), distances(x[:, own_index.half :], own_index.second)
             out = []
-            for q, v, a, b in zip(frame["query_id"], frame["v"], one, two):
+            for q, v, home, a, b in zip(frame["query_id"], frame["v"], frame["home"], one, two):
                 bits = np.zeros((len(blocks), GROUP * width), dtype=bool)
                 for i, j in walk(a, b, counts, enough):
                     bits[i // GROUP, (i % GROUP) * width + j] = True
                 for s in np.flatnonzero(bits.any(1)):
                     cells = np.packbits(bits[s]).tobytes()
-                    out += [(q, v, int(s), block, cells) for block in range(blocks[s])]
-            yield pd.DataFrame(out, columns=["query_id", "v", "shard", "block", "cells"])
+                    out += [(q, v, home, int(s), block, cells) for block in range(blocks[s])]
+            yield pd.DataFrame(out, columns=["query_id", "v", "home", "shard", "block", "cells"])
 
     kind = own.schema["v"].dataType.simpleString()
-    asked = queries.mapInPandas(wants, f"query_id long, v {kind}, shard int, block int, cells binary")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    # Queries that lie in one shard form parts of at most some QUERIES; a block's vectors go only to parts that want them.
+    asked = queries.mapInPandas(wants, f"query_id long, v {kind}, home int, shard int, block int, cells binary")
+    spread = F.array(*[F.lit(homes.get(s, 1)) for s in range(len(blocks))])
+    asked = asked.withColumn("part", (F.col("home") * most + F.pmod(F.xxhash64("query_id"), F.element_at(spread, F.col("home") + 1))).cast("int"))
+    asked = written(asked.drop("home"), "asked", MANY)
     many = F.array(*[F.lit(b) for b in blocks])
     held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(many, F.col("shard") + 1)).cast("int"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    wanted = asked.select("shard", "block", F.col("part").alias("to")).distinct()
+    held = held.join(wanted, ["shard", "block"]).withColumnRenamed("to", "part")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
