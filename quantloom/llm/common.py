@@ -1,23 +1,26 @@
-"""What the text operators share: table access, written intermediates and bounded Arrow batches."""
+"""What the text operators share: table access, written intermediates and what becomes of them."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; with long texts Spark's own byte bound cuts batches further.
-ARROW_ROWS = 1000
-#: Written tables have at most so many files for each core, or this share of the shuffle partitions if that is more:
-#: those that grow with the corpus, and those that hold a small part of it.
-MANY, FEW = (2, 8), (1, 16)
+#: Rows that Python code turns into objects at once. An Arrow batch itself is bounded in bytes by Spark.
+SLICE = 500
+#: Bytes of input for which a coalesced step has one task.
+PART_BYTES = 4 << 20
 #: The white space of the contracts, as a Java class body: space and tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,51 +31,68 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def bounded_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep a Python worker's share of memory small: few rows a batch, so that long texts do not add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != rows:
-        spark.conf.set(key, str(rows))
+def slices(frames: Iterator, rows: int = SLICE) -> Iterator:
+    """The same rows in frames or record batches of at most `rows`."""
+    for frame in frames:
+        n = len(frame) if hasattr(frame, "iloc") else frame.num_rows
+        for at in range(0, n, rows):
+            yield frame.iloc[at : at + rows] if hasattr(frame, "iloc") else frame.slice(at, rows)
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is set (tests)."""
+    """The folder all executors share, as the session names it. A local master's threads share the machine's folder for
+    temporary files; any other master without spark.checkpoint.dir is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "quantloom-checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
-def written(df: DataFrame, label: str = "part", files: tuple[int, int] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What written() has put down inside goes at the end of the block: the block's result must be written elsewhere by
+    then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, label: str = "part", like: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut, a lost executor costs nothing
-    already written, and later plans see true sizes. The files go when the driver's Python ends.
+    already written, and later plans see true sizes. The files go with the enclosing scratch(), or else when the
+    driver's Python ends.
 
-    files: MANY or FEW. A task then works through several shuffle partitions, one after another, so its memory stays that
-    of one; each file costs the executor a few calls to the system."""
-    spark = df.sparkSession
-    if files:
-        df = few_tasks(df, files)
-    path = f"{_shared_dir(spark)}/quantloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    like: a written table; df is then written by as many tasks as its size asks for (see sized)."""
+    out, path = saved(sized(df, like) if like is not None else df, label)
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, path))
+    else:
+        atexit.register(remove, df.sparkSession, path)
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A small table with its lineage cut by a checkpoint in the shared folder: the lighter way for steps of a loop."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(_shared_dir(df.sparkSession))
-    return few_tasks(df, FEW).checkpoint()
+def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The written table and its path, for the caller to remove()."""
+    path = f"{_shared_dir(df.sparkSession)}/quantloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def few_tasks(df: DataFrame, files: tuple[int, int] = MANY) -> DataFrame:
-    """df in fewer tasks; shuffled partitions are put behind one another, not together."""
+def sized(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df in one task for each PART_BYTES of the written table `like`, but two for each core at least. Shuffled partitions
+    are put behind one another, not together, so a task's memory stays that of one; and each file costs the executor a few
+    calls to the system."""
     spark = df.sparkSession
-    per_core, share = files
-    return df.coalesce(max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -3,40 +3,48 @@
 Two collections of m short bands are made from 2 * m * ROWS minhash values. Each pair of a band of the first and one of
 the second is the key of a table, so there are m * m tables for the cost of 2 * m bands: about the square root of the
 hashing that separate tables would need. m is the least with which a pair at the threshold is missed with probability
-MISS at most; pairs above it are missed far more rarely.
+MISS at most; pairs above it are missed far more rarely. One byte of each minhash value is kept as a sketch: of two sets
+at the threshold fewer than `least_matches` bytes agree with probability SKETCH_MISS at most.
 
-1. Documents with equal shingle sets (128-bit digests of the whole sorted sets) are one class, its least id stands for it.
-2. In each table's bucket every class is paired with the least one. Distinct pairs of like size are verified on whole sets.
+1. Rows with equal shingle sets (128-bit digests of the whole sorted sets) are one class, a node with a number of its own.
+2. In each table's bucket every class is paired with the least one. Distinct pairs that size and sketch admit are
+   verified on whole sets, which only they fetch.
 3. Verified links give components. A bucket whose classes are all in one component is done.
 4. In the other buckets each class outside the bucket's largest component is held against all classes of other
-   components, in bounded blocks (BLOCK_U by BLOCK_V classes) and on whole sets. Only links found leave a block, so no
-   list of all pairs is made. Buckets with the same largest component are done together.
+   components, in bounded blocks. Blocks hold sizes and sketches first; only classes with a partner that these admit
+   fetch their sets, and meet again in the same blocks. Only links found leave a block, so no list of all pairs is made.
+   Buckets with the same largest component are done together.
 5. Links of step 4 join components.
 
 No bucket is capped or sampled: whatever shares a table key and is not in the same component anyhow is compared.
 
-Null and empty texts, and those of white space only, have empty sets and are linked with nothing. Rows that repeat a
-document id are one node and get one row each. A null id is never linked; its component is null and it is kept. Extra
-columns are ignored.
+Null and empty texts, and those of white space only, have empty sets and are linked with nothing; they are kept. Rows
+are judged by their text, each by itself: rows that repeat an id with other texts may lie in other components. A
+component's name is the smallest id in it; the row kept is the one with that id, the first such if the id is repeated.
+Rows with a null id are never linked; their component is null and they are kept. Very long texts are read whole; blocks
+have fewer classes the longer these are. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import FEW, MANY, bounded_arrow, cut, few_tasks, text_of, written
+from quantloom.llm.common import sized, slices, text_of, written
 from quantloom.llm.components import components, spread_join
 
 #: Minhash values in a band of either collection.
 ROWS = 2
-MISS = 1e-4
-BLOCK_U, BLOCK_V = 256, 1024
+MISS, SKETCH_MISS = 1e-4, 1e-6
+#: Classes of a block, and hashes of all sets of a block's side.
+BLOCK_U, BLOCK_V, BLOCK_HASHES = 128, 512, 2_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -50,6 +58,16 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return m
 
 
+def least_matches(percent: int, values: int, miss: float = SKETCH_MISS) -> int:
+    """The most c for which fewer than c of the values agree with probability `miss` at most, at this similarity."""
+    p, below = percent / 100, 0.0
+    for c in range(values + 1):
+        below += math.comb(values, c) * p**c * (1 - p) ** (values - c)
+        if below > miss:
+            return c
+    return values
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -76,13 +94,18 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:count, None], seeds[count:, None] | np.uint64(1)
 
 
-def table_keys(own: np.ndarray, m: int, rows: int = ROWS) -> np.ndarray:
-    """The m * m table keys of a set that is not empty."""
+def least_values(own: np.ndarray, m: int, rows: int = ROWS) -> np.ndarray:
+    """The 2 * m * rows minhash values of a set that is not empty."""
     flip, odd = _functions(2 * m * rows)
     least = np.full(len(flip), np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(own), 65_536):
         part = own[None, at : at + 65_536]
         least = np.minimum(least, ((part ^ flip) * odd).min(axis=1))
+    return least
+
+
+def table_keys(least: np.ndarray, m: int, rows: int = ROWS) -> np.ndarray:
+    """The m * m table keys of a set with these minhash values."""
     least = least.reshape(2, m, rows)
     band = np.zeros((2, m), dtype=np.uint64)
     for r in range(rows):
@@ -91,38 +114,95 @@ def table_keys(own: np.ndarray, m: int, rows: int = ROWS) -> np.ndarray:
     return mix(mix(band[0][:, None] + salt) ^ band[1][None, :]).ravel()
 
 
-def _signatures(docs: DataFrame, text: str, width: int, m: int) -> DataFrame:
-    """doc_id, n, f1, f2 (digest of the set), keys."""
+def lanes_for(m: int, rows: int = ROWS) -> int:
+    """64-bit numbers that hold a byte of each minhash value."""
+    return -(-2 * m * rows // 8)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sizes, digests, keys = [], [], []
-            for t in frame["text"]:
-                own = shingles(t, width)
-                sizes.append(len(own))
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64))
-                keys.append(table_keys(own, m).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": sizes, "f1": [d[0] for d in digests], "f2": [d[1] for d in digests], "keys": keys})
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return own.mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+def sketch(least: np.ndarray, lanes: int) -> np.ndarray:
+    """A byte of each minhash value, eight to a number; what is left over is 0 in every sketch."""
+    out = np.zeros(8 * lanes, dtype=np.uint8)
+    out[: len(least)] = (mix(least) & np.uint64(255)).astype(np.uint8)
+    return out.view(np.int64)
+
 
+def matches(lanes: int, one: str, two: str) -> Column:
+    """How many bytes of the sketches in columns one0, one1, ... and two0, two1, ... agree."""
+    unequal = F.lit(0)
+    for i in range(lanes):
+        z = F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))
+        for s in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, s))
+        unequal = unequal + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(8 * lanes) - unequal
 
-def _sets(docs: DataFrame, ids: DataFrame, text: str, width: int) -> DataFrame:
-    """doc_id, set (sorted hashes) of the documents named. A document id with several texts has a row for each."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "set": [shingles(t, width).view(np.int64) for t in frame["text"]]})
+def digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return own.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, set array<long>")
+
+def _signatures(rows: DataFrame, width: int, m: int) -> DataFrame:
+    """rows: doc_id, row, text. doc_id, row, n, f1, f2 (digest of the set), keys, s0, s1, ... (sketch)."""
+    lanes = lanes_for(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, blank = np.zeros(0, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        for batch in slices(batches):
+            sizes, digests, keys, marks = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                own = shingles(t, width)
+                sizes.append(len(own))
+                digests.append(digest(own))
+                least = least_values(own, m) if len(own) else None
+                keys.append(none if least is None else table_keys(least, m).view(np.int64))
+                marks.append(blank if least is None else sketch(least, lanes))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+            digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, lanes)
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *keys])))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(marks[:, i]) for i in range(lanes))], names=["doc_id", "row", "n", "f1", "f2", "keys", *(f"s{i}" for i in range(lanes))])
+
+    return rows.mapInArrow(run, "doc_id long, row long, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(lanes)))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, set (sorted hashes), a row for each of wanted (node, doc_id, f1, f2). An id with several texts gives the one
+    of the class; rows that repeat id and text meet before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, sets = [], []
+            for t, node, f1, f2 in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "f1", "f2"))):
+                own = shingles(t, width)
+                if tuple(digest(own).tolist()) == (f1, f2):
+                    nodes.append(node)
+                    sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    own = wanted.select("node", F.col("doc_id").alias("_id"), "f1", "f2")
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("text", "node", "f1", "f2")
+    return rows.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def linked(inter, one, two, percent: int):
     return 100 * inter >= percent * (one + two - inter)
 
 
+def block_survivors(frame: pd.DataFrame, percent: int, need: int, lanes: int) -> pd.DataFrame:
+    """Of a block's rows those with a partner of the other role and of another component that size and sketch admit."""
+    side = frame["u"].to_numpy(dtype=bool)
+    us, vs = frame[side], frame[~side]
+    names = [f"s{i}" for i in range(lanes)]
+    bytes_of = lambda f: np.ascontiguousarray(f[names].to_numpy(dtype=np.int64)).view(np.uint8)
+    one, two = bytes_of(us), np.ascontiguousarray(bytes_of(vs).T)
+    same = np.zeros((len(us), len(vs)), dtype=np.uint16)
+    for k in range(8 * lanes):
+        same += one[:, k, None] == two[k][None, :]
+    a, b = us["n"].to_numpy()[:, None], vs["n"].to_numpy()[None, :]
+    good = (same >= need) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (us["component"].to_numpy()[:, None] != vs["component"].to_numpy()[None, :])
+    out = pd.concat([us[good.any(axis=1)], vs[good.any(axis=0)]])
+    return out[["main", "ub", "vb", "u", "node", "component"]]
+
+
 def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between rows with role u and rows of other components; for each u and component, its least neighbour."""
     us, vs = frame[frame["u"]], frame[~frame["u"]]
@@ -134,8 +214,8 @@ def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         rows = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, rows = flat[order], rows[order]
-        comp, ids = vs["component"].to_numpy(), vs["doc_id"].to_numpy()
-        for uid, ucomp, uset in zip(us["doc_id"], us["component"], us["set"]):
+        comp, ids = vs["component"].to_numpy(), vs["node"].to_numpy()
+        for uid, ucomp, uset in zip(us["node"], us["component"], us["set"]):
             uset = np.asarray(uset, dtype=np.int64)
             lo, hi = np.searchsorted(flat, uset, "left"), np.searchsorted(flat, uset, "right")
             n = hi - lo
@@ -149,72 +229,88 @@ def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, fetch, percent: int, need: int, lanes: int, like: DataFrame) -> DataFrame:
     """Links between components within buckets, beyond those to the bucket's least member.
 
-    Buckets with the same largest component are taken together: a class that lies in many of them is sent and compared
-    once, not once for each bucket. Of two classes of different components at least one is outside the largest, so
-    holding those outside against all members leaves out no pair of any bucket."""
-    own = spread_join(members.where("size > 2").select("key", "doc_id"), comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    own = cut(own.withColumn("component", F.coalesce("component", "doc_id")))
+    Buckets with the same largest component are taken together: a class that lies in many of them is compared once, not
+    once for each bucket. Of two classes of different components at least one is outside the largest, so holding those
+    outside against all members leaves out no pair of any bucket. fetch gives the sets of some nodes."""
+    own = spread_join(members.where("size > 2").select("key", "node"), comps.withColumnRenamed("id", "node"), "node", "left")
+    own = written(own.withColumn("component", F.coalesce("component", "node")), "placed", like)
     by = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = spread_join(own, main.select("key", F.col("main.component").alias("main")), "key").select("main", "doc_id", "component").distinct()
-    bundles = cut(rows)
-    sizes = bundles.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(F.col("component") != F.col("main")).alias("nu"))
-    sizes = sizes.select("main", F.ceil(F.col("nu") / BLOCK_U).cast("int").alias("ublocks"), F.ceil(F.col("nv") / BLOCK_V).cast("int").alias("vblocks"))
-    rows = spread_join(bundles, sizes, "main")
-    other = rows.where("component != main").withColumn("u", F.lit(True)).withColumn("ub", F.pmod(F.xxhash64("doc_id"), "ublocks").cast("int"))
+    main = by.groupBy("key").agg(F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = spread_join(own, main.select("key", F.col("main.component").alias("main")), "key").select("main", "node", "component").distinct()
+    bundles = written(spread_join(rows, marks, "node"), "bundles", like)
+    outside = F.col("component") != F.col("main")
+    sides = bundles.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(outside).alias("nu"), F.sum("n").alias("hv"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("hu"))
+    blocks = lambda count, hashes, most: F.ceil(F.greatest(F.col(count) / most, F.col(hashes) / BLOCK_HASHES)).cast("int")
+    sides = sides.select("main", blocks("nu", "hu", BLOCK_U).alias("ublocks"), blocks("nv", "hv", BLOCK_V).alias("vblocks"))
+    rows = spread_join(bundles, sides, "main")
+    other = rows.where(outside).withColumn("u", F.lit(True)).withColumn("ub", F.pmod(F.xxhash64("node"), "ublocks").cast("int"))
     other = other.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
-    every = rows.withColumn("u", F.lit(False)).withColumn("vb", F.pmod(F.xxhash64("doc_id"), "vblocks").cast("int"))
+    every = rows.withColumn("u", F.lit(False)).withColumn("vb", F.pmod(F.xxhash64("node"), "vblocks").cast("int"))
     every = every.withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)))
-    names = ["main", "ub", "vb", "u", "doc_id", "component"]
-    blocks = spread_join(other.select(*names).unionByName(every.select(*names)), sets, "doc_id")
-    return written(blocks.groupBy("main", "ub", "vb").applyInPandas(lambda f: block_links(f, percent), "a long, b long").distinct(), "across", FEW)
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    bounded_arrow(docs.sparkSession, 500)
+    names = ["main", "ub", "vb", "u", "node", "component"]
+    full = [*names, "n", *(f"s{i}" for i in range(lanes))]
+    keys = ["main", "ub", "vb"]
+    dealt = other.select(*full).unionByName(every.select(*full))
+    schema = "main long, ub int, vb int, u boolean, node long, component long"
+    left = written(dealt.groupBy(*keys).applyInPandas(lambda f: block_survivors(f, percent, need, lanes), schema), "survivors", like)
+    sets = fetch(left.select("node").distinct())
+    found = spread_join(left, sets, "node").groupBy(*keys).applyInPandas(lambda f: block_links(f, percent), "a long, b long")
+    return written(found.distinct(), "across", like)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept: one row for each row of docs. row: a column of docs that numbers its
+    rows, if their order and place are to be known; else any numbers."""
     m = bands_for(percent)
-    signed = written(_signatures(docs, text, width, m), "signatures")
-    usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("n", "f1", "f2", "least.doc_id", "least.keys"), "classes", MANY)
-
-    rows = classes.select("doc_id", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(spread_join(rows, buckets, "key"), "members", MANY)
-    pairs = members.where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    # A document id may stand for several classes (rows that repeat it); the largest size decides nothing then.
-    size = classes.groupBy("doc_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
-    pairs = pairs.join(size.select(F.col("doc_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
-    alike = (100 * F.least("ahi", "bhi") >= percent * F.greatest("alo", "blo")) & (100 * F.col("ahi") >= percent * F.col("blo")) & (100 * F.col("bhi") >= percent * F.col("alo"))
-    pairs = cut(pairs.where(alike).select("a", "b"))
-
-    involved = members.where("size > 2").select("doc_id").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    sets = written(_sets(docs, involved, text, width), "sets", MANY)
-    one = spread_join(pairs.withColumnRenamed("a", "doc_id"), sets, "doc_id").withColumnsRenamed({"doc_id": "a", "set": "one", "b": "doc_id"})
-    two = spread_join(one, sets, "doc_id")
+    lanes = lanes_for(m)
+    need = least_matches(percent, 2 * m * ROWS) + 8 * lanes - 2 * m * ROWS  # what is left over agrees always
+    number = docs[row].cast("long") if row else F.monotonically_increasing_id()
+    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), number.alias("row"), text_of(docs, text).alias("text"))
+    signed = written(_signatures(texts, width, m), "signatures")
+    marks = ["n", *(f"s{i}" for i in range(lanes))]
+    digests = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2")
+    classes = digests.agg(F.min(F.struct("doc_id", "row", "keys", *marks[1:])).alias("least")).select("n", "f1", "f2", "least.*").withColumn("node", F.monotonically_increasing_id())
+    classes = written(classes, "classes", signed)
+
+    rows = classes.select("node", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(spread_join(rows, buckets, "key"), "members", signed)
+    pairs = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = spread_join(pairs, classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}{c}") for c in marks)), side)
+    alike = (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (matches(lanes, "as", "bs") >= need)
+    pairs = written(pairs.where(alike).select("a", "b"), "pairs", signed)
+
+    known = classes.select("node", "doc_id", "f1", "f2")
+    fetch = lambda nodes: written(_sets(texts, spread_join(nodes, known, "node"), width), "sets", signed)
+    sets = fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    one = spread_join(pairs.withColumnRenamed("a", "node"), sets, "node").withColumnsRenamed({"node": "a", "set": "one", "b": "node"})
+    two = spread_join(one, sets, "node")
     inter = F.size(F.array_intersect("one", "set"))
-    links = two.where(linked(inter, F.size("one"), F.size("set"), percent)).select("a", F.col("doc_id").alias("b"))
-    comps = components(links)
+    links = two.where(linked(inter, F.size("one"), F.size("set"), percent)).select("a", F.col("node").alias("b"))
+    comps = components(links, signed)
 
-    across = _rest(members, comps, sets, percent)
+    across = _rest(members, comps, classes.select("node", *marks), fetch, percent, need, lanes, signed)
     if not across.isEmpty():
         name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"{side}c"))
         ends = across.join(name("a"), "a", "left").join(name("b"), "b", "left")
-        joined = components(ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")))
+        joined = components(ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")), signed)
         every = comps.unionByName(across.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("component")))
-        comps = _renamed(every, joined)
+        comps = written(_renamed(every, joined), "components", signed)
 
-    # From classes to documents: a class has the component of its least id, a repeated id that of any of its classes.
-    named = classes.select("n", "f1", "f2", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    named = named.select((F.col("f1").bitwiseXOR(1)).alias("g1"), "f2", "n", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n", (F.col("f1").bitwiseXOR(1)).alias("g1"), "f2").join(named, ["g1", "f2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    return few_tasks(out)
+    # From classes to rows: a component is named after the least id in it, and keeps the first row with that id.
+    named = spread_join(classes.select("n", "f1", "f2", "node", "doc_id", "row"), comps.withColumnRenamed("id", "node"), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    best = named.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best")).select("component", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first"))
+    named = spread_join(named, best, "component").select((F.col("f1").bitwiseXOR(F.lit(1))).alias("g1"), "f2", "n", "component_id", "first")
+    out = signed.select("doc_id", "row", "n", (F.col("f1").bitwiseXOR(F.lit(1))).alias("g1"), "f2").join(named, ["g1", "f2", "n"], "left")
+    judged = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component, kept = F.when(judged, F.col("component_id")).otherwise(F.col("doc_id")), ~judged | (F.col("row") == F.col("first"))
+    out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    return sized(out, signed)
 
 
 def _renamed(every: DataFrame, joined: DataFrame) -> DataFrame:
@@ -224,7 +320,8 @@ def _renamed(every: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs.select("doc_id", "text"), width=3, percent=85)
+    out = near_duplicates(docs.select("doc_id", "text"), width=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), "kept").alias("kept"))
 
 
 #: The query's rows by an exact join of all shingles and a closure over the links.

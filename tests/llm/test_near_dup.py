@@ -70,6 +70,33 @@ def test_repeated_and_null_ids(make_docs):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("3", "3", True), ("5", "3", False), ("5", "3", False), ("None", "None", True)]
 
 
+def test_rows_that_repeat_an_id_with_another_text_are_judged_by_their_text(make_docs):
+    one, two = " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    docs = make_docs([one, one, two, two + " z", one], [3, 5, 5, 5, 3])
+    got = near_dup.near_duplicates(docs).orderBy("row").collect()
+    assert [(r.doc_id, r.component_id) for r in got] == [(3, 3), (5, 3), (5, 5), (5, 5), (3, 3)]
+    assert [r.kept for r in got] == [True, False, True, False, False]  # one row of each component
+
+
+def test_sketch_counts_equal_bytes_and_admits_pairs_at_the_threshold(spark):
+    rng = random.Random(4)
+    for percent in (80, 85):
+        m = near_dup.bands_for(percent)
+        lanes, values = near_dup.lanes_for(m), 2 * m * near_dup.ROWS
+        need, lost, rows = near_dup.least_matches(percent, values), 0, []
+        for k in range(300):
+            both = [rng.getrandbits(64) for _ in range(percent * 4)]
+            sides = [near_dup.np.array(both + [rng.getrandbits(64) for _ in range((100 - percent) * 2)], dtype=near_dup.np.uint64) for _ in range(2)]
+            one, two = (near_dup.sketch(near_dup.least_values(s, m), lanes) for s in sides)
+            same = int((one.view(near_dup.np.uint8) == two.view(near_dup.np.uint8)).sum())
+            lost += same - (8 * lanes - values) < need
+            rows.append((same, *one.tolist(), *two.tolist()))
+        names = [f"{s}{i}" for s in "ab" for i in range(lanes)]
+        df = spark.createDataFrame(rows, "same long, " + ", ".join(f"{x} long" for x in names))
+        assert df.where(near_dup.matches(lanes, "a", "b") != F.col("same")).count() == 0
+        assert not lost
+
+
 def test_bands_meet_the_stated_miss_rate():
     for percent in (80, 85):
         m = near_dup.bands_for(percent)
