@@ -10,10 +10,13 @@ No labelled pages exist, so the trees are fitted on pages made from a rule (trai
 headers, footers, side bars, notices, adverts, forms and comments, under varied tags and attribute words, many of them
 without telling names.
 
-Scripts, styles, templates, form controls and markup comments never give text. Character references are decoded, white
-space in a block becomes one space, blocks are joined by two line feeds. A null or empty page has empty text. Markup
-that is cut off or badly nested is read as far as it goes. Pages are read whole, one by one; repeated rows give repeated
-results. Extra columns are ignored.
+Scripts, styles, templates, frames, noscript, form controls and markup comments never give text; formulas, drawings and
+the like do, as inline text. Attribute quotes count only right after an equals sign, as in the HTML standard. Character
+references are decoded, white space in a block becomes one space, blocks are joined by two line feeds. A null or empty
+page has empty text. Markup that is cut off or badly nested is read as far as it goes; an element to be left out whole
+that never ends loses its tag alone. Pages are read whole, one by one, in time proportional to their length (very long
+ones and very deep ones too); repeated rows give repeated results. An empty table gives no rows. Extra columns are
+ignored, but for an own `text`, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,29 +26,37 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import boosting
-from quantloom.llm.common import bounded_arrow
 
 TRAINING_PAGES = 700
+#: Pages whose nodes are in memory at once.
+PAGES = 50
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+# A quoted value begins only right after an equals sign; the groups are atomic, so a tag is read in one pass.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_SELF = re.compile(r"(?:^|[\s\"'])/\Z")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BARE = re.compile(r"<[^>]*>")
 _SPACE = re.compile(r"\s+")
 
 # Elements by their part in a page, after the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button datalist".split())
-TEXT_ONLY = frozenset("script style textarea title xmp".split())
+#: Text up to their end tag, or the page's end, whatever it looks like; it is not shown but for the page's title bar.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Left out with all that is inside them; they may hold each other.
+LEFT_OUT = frozenset("template noscript select button datalist".split())
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "div", "section", "article", "main", "body", "nav", "header", "footer", "aside", "form", "fieldset", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "hr", "center", "html")
 _BLOCK = frozenset(BLOCKS)
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
-_WALL = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
+_PARTS = frozenset("tr td th thead tbody tfoot caption colgroup".split())
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "thead": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th")}
+#: Elements whose end tags and implied ends do not reach beyond a wall, by kind of wall: all, tables, lists, definitions.
+_CELL, _TABLE, _LIST, _TERMS = range(4)
+_KIND = {"li": _LIST, "dt": _TERMS, "dd": _TERMS} | dict.fromkeys(_PARTS | {"table"}, _TABLE)
+_WALLS = {"table": (_CELL, _TABLE, _LIST, _TERMS), "td": (_CELL, _LIST, _TERMS), "th": (_CELL, _LIST, _TERMS), "caption": (_CELL, _LIST, _TERMS), "ul": (_LIST,), "ol": (_LIST,), "dl": (_TERMS,)}
 GOOD = frozenset("article content post entry main story body text blog page prose copy read paragraph lead".split())
 BAD = frozenset("nav menu header footer foot head sidebar side ad ads advert adverts advertisement banner cookie cookies notice consent gdpr comment comments reply replies disqus discussion share sharing social related recommended promo promotion newsletter subscribe signup breadcrumb breadcrumbs widget login form copyright popup modal toolbar pagination pager tag tags meta sponsor sponsored masthead topbar bottom legal links alert search author bio hidden skip survey".split())
 
@@ -79,38 +90,73 @@ class Node:
                 self.mark = "1"
 
 
+@lru_cache(maxsize=32)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
+def tokens(page: str) -> list[tuple[str | None, bool, str, int, int]]:
+    """(tag, whether it ends an element, attributes, start, end) of the page's tags in order; tag is None for what is
+    dropped. Raw text and matched elements to be left out are one dropped token each."""
+    out: list[tuple[str | None, bool, str, int, int]] = []
+    open_at: dict[str, list[int]] = {t: [] for t in LEFT_OUT}  # places in out of those not ended yet
+    pos, size = 0, len(page)
+    while pos < size and (m := _TAG.search(page, pos)) is not None:
+        start, pos = m.span()
+        if m[2] is None:
+            out.append((None, False, "", start, pos))
+            continue
+        tag, closing = m[2].lower(), bool(m[1])
+        if (tag in RAW or tag in LEFT_OUT) and not closing and _SELF.search(m[3] or ""):
+            out.append((None, False, "", start, pos))
+        elif tag in RAW and not closing:
+            end = _end_of(tag).search(page, pos)
+            pos = end.end() if end else size
+            out.append((None, False, "", start, pos))
+        elif tag in LEFT_OUT:
+            if closing and open_at[tag]:
+                first = open_at[tag].pop()
+                start = out[first][3]
+                del out[first:]
+                for places in open_at.values():
+                    while places and places[-1] >= first:
+                        places.pop()
+            elif not closing:
+                open_at[tag].append(len(out))
+            out.append((None, False, "", start, pos))
+        else:
+            out.append((None if tag in RAW else tag, closing, m[3] or "", start, pos))
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block nodes. A node's text is a list of (string, whether inside a link) and child nodes, in order."""
     root = Node("html", None)
-    stack = [root]  # open block nodes
-    links = 0
-    at = 0
-    skip = ""
+    stack = [(root, (0, 0, 0, 0))]  # open block nodes, with the walls around them
+    walls = (0, 0, 0, 0)  # of each kind the number of the nearest wall around what comes next
+    built = 0
+    open_now: dict[tuple[str, int], int] = {}  # open nodes by tag and the wall around them
+    links = at = 0
+
+    def key(tag: str, around: tuple[int, ...]) -> tuple[str, int]:
+        return tag, around[_KIND.get(tag, _CELL)]
+
+    def pop() -> str:
+        nonlocal walls
+        node, walls = stack.pop()
+        open_now[key(node.tag, walls)] -= 1
+        return node.tag
 
     def add(raw: str) -> None:
-        if raw and not skip:
-            stack[-1].text.append((html.unescape(raw), links > 0))
+        if raw:
+            stack[-1][0].text.append((html.unescape(raw), links > 0))
 
-    pos, size = 0, len(page)
-    while pos < size:
-        m = _TAG.search(page, pos)
-        if m is None:
-            add(page[at:])
-            at = size
-            break
-        add(page[at : m.start()])
-        pos = at = m.end()
-        tag = m[2]
+    for tag, closing, attributes, start, end in tokens(page):
+        add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        closing = bool(m[1])
-        if tag == "title" or tag in RAW or tag == "head" and closing:
-            if tag in RAW | {"title"} and not closing and not (m[3] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, pos)
-                pos = at = end.end() if end else size
-            continue
-        stack[-1].tags += 1
+        stack[-1][0].tags += 1
         if tag == "a":
             links = max(0, links - 1) if closing else 1
             continue
@@ -122,26 +168,31 @@ def parse(page: str) -> Node:
         links = 0 if tag != "li" or closing else links
         if tag in ("html", "body"):
             if tag == "body" and not closing:
-                _read_attributes(root, m[3])
+                _read_attributes(root, attributes)
             continue
         if closing:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
+            if tag == "table":  # the nearest table is the nearest wall of its kind itself
+                while walls[_TABLE] and pop() != "table":
+                    pass
+            elif open_now.get(key(tag, walls)):
+                while pop() != tag:
                     pass
             continue
-        if stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # a block ends a paragraph that was left open
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in _WALL.get(tag, ()):
-                break
-            if stack[k].tag in _CLOSES.get(tag, ()):
-                del stack[k:]
-                break
+        if stack[-1][0].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # a block ends a paragraph that was left open
+            pop()
+        for other in _ENDS.get(tag, ()):
+            while open_now.get(key(other, walls)):
+                pop()
         if tag == "hr":
             continue
-        node = Node(tag, stack[-1], m[3] or "")
-        stack[-1].text.append(node)
-        stack.append(node)
+        node = Node(tag, stack[-1][0], attributes)
+        stack[-1][0].text.append(node)
+        stack.append((node, walls))
+        open_now[key(tag, walls)] = open_now.get(key(tag, walls), 0) + 1
+        if tag in _WALLS:
+            built += 1
+            walls = tuple(built if k in _WALLS[tag] else w for k, w in enumerate(walls))
+    add(page[at:])
     return root
 
 
@@ -387,12 +438,14 @@ def trained(count: int = TRAINING_PAGES) -> boosting.Boosted:
 
 def main_text(pages: DataFrame, column: str = "html", trees: boosting.Boosted | None = None) -> DataFrame:
     """pages' columns (an own `text` is replaced) and text: the page's main text, empty if there is none."""
-    bounded_arrow(pages.sparkSession, 500)
     own = trees or trained()
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series(extract(batch.tolist(), own), dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        out: list[str] = []
+        for at in range(0, len(batch), PAGES):
+            out += extract(batch.slice(at, PAGES).to_pylist(), own)
+        return pa.array(out, pa.string())
 
     return pages.withColumn("text", run(F.coalesce(pages[column].cast("string"), F.lit(""))))
 

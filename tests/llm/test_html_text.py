@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from quantloom.llm import html_text
 
@@ -49,6 +52,42 @@ def test_decoding_is_hierarchical():
         assert all(not ok or n.parent is None or kept[nodes.index(n.parent)] for n, ok in zip(nodes, kept))
 
 
+BODY = "<p>A first paragraph of prose, long enough to be one. It has two sentences.</p>{}<p>A last paragraph of prose, with some words in it. It ends the text here.</p>"
+FIRST, LAST = "A first paragraph of prose, long enough to be one. It has two sentences.", "A last paragraph of prose, with some words in it. It ends the text here."
+
+
+@pytest.mark.parametrize("inside,text", [
+    ("<p title=it's>One more paragraph comes here, said plainly. It stays.</p>", "One more paragraph comes here, said plainly. It stays."),
+    ("<p data-x=5'>One more paragraph comes here, said plainly. It stays.</p>", "One more paragraph comes here, said plainly. It stays."),
+    ('<p "a>One more paragraph comes here, said plainly. It stays.</p>', "One more paragraph comes here, said plainly. It stays."),
+    ('<p title = "a > b" lang=en>One more paragraph comes here, said plainly. It stays.</p>', "One more paragraph comes here, said plainly. It stays."),
+    ("<p>A formula <math><mi>x</mi> = <mn>2</mn></math> stands in the prose here, as it does.</p>", "A formula x = 2 stands in the prose here, as it does."),
+    ("<p>A drawing <svg><g><svg><path d='M0'/></svg></g><title/></svg> stands in the prose here, as it does.</p>", "A drawing stands in the prose here, as it does."),
+    ("<p>A template <template>no <template>no</template> no</template> stands in the prose here, as it does.</p>", "A template stands in the prose here, as it does."),
+    ("<p>A button <button>that never ends stands in the prose here, as it does.</p>", "A button that never ends stands in the prose here, as it does."),
+    ("<p>A choice <select><option>no<option>no</select> stands in the prose here, as it does.</p>", "A choice stands in the prose here, as it does."),
+    ("<!--><p>One more paragraph comes here, said plainly. It stays.</p>", "One more paragraph comes here, said plainly. It stays."),
+    ("<p>One more paragraph </3 comes here, > said plainly. It stays.</p>", "One more paragraph said plainly. It stays."),
+])
+def test_markup_out_of_the_ordinary_loses_no_text(inside, text):
+    page = f"<html><body><article><h1>Title of this page</h1>{BODY.format(inside)}</article></body></html>"
+    assert html_text.extract([page], html_text.trained()) == ["\n\n".join(["Title of this page", FIRST, text, LAST])]
+
+
+def test_cells_left_open_and_ends_that_belong_elsewhere():
+    shape = lambda n: (n.tag, "".join(t[0] if isinstance(t, tuple) else "" for t in n.text), [shape(c) for c in n.text if isinstance(c, html_text.Node)])
+    got = shape(html_text.parse("<div><table><tr><td>a</div>b<td>c<tr><td><ul><li>d<li>e<ul><li>f</ul>g</table>h</div>"))
+    assert got == ("html", "", [("div", "h", [("table", "", [("tr", "", [("td", "ab", []), ("td", "c", [])]), ("tr", "", [("td", "", [("ul", "", [("li", "d", []), ("li", "eg", [("ul", "", [("li", "f", [])])])])])])])])])
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<li><div>", "</div>", "<button>", "<template>", "<td>", "<p x=\"", "<a", "<!--", "<p title='", "=' ", "<x =", "<ul><li>", "<table>", "&amp"])
+def test_a_megabyte_of_anything_is_read_in_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.extract([page], html_text.trained())
+    assert time.process_time() - began < 20
+
+
 def test_edges(spark):
     pages = [None, "", "   ", "plain text only", "<p>cut off <b", "<div><div><div>", "</p></div>", "<p>" + "long text. " * 20_000 + "</p>", "<!-- x", "<script>", "&#0;&bogus;"]
     rows = [(i, None, p, "t") for i, p in enumerate(pages + ["<p>same</p>"] * 2)]
