@@ -1,14 +1,17 @@
 """Operator 6, URL filters: a blocked Bloom filter of listed canonical keys, then an exact hash join.
 
 A rule is (host, path prefix, verdict). A URL is judged by the longest rule whose host it has, or is a subdomain of,
-and whose path prefix its path starts with. Every (host suffix, path prefix) of a URL whose prefix length occurs in
-the list is a key; keys that the filter passes are joined with the list itself, so false positives drop out.
+and whose path prefix its path starts with. Every (host suffix, path prefix) of a URL whose number of labels and length
+of prefix occur in the list is a key, so their number follows the list and not the URL; keys that the filter passes are
+joined with the list itself, so false positives drop out. Rows meet their rule again by host and path, not by a number.
 
 The filter holds `bits_per_key` bits for each listed key in blocks of 64 bits: all probes of a key fall into one
 word. It travels to the workers only up to MAX_FILTER_BYTES; a larger list is joined without it.
 
-Null URLs and those without `://` have empty host and path and match no rule. Repeated rows give repeated results.
-An empty list lets everything through with the default verdict. Extra columns are ignored.
+Null URLs and those without `://` have empty host and path and match no rule. Very long URLs, and hosts of very many
+labels, are judged whole, in time proportional to their length. Repeated rows give repeated results, an empty table none.
+An empty list lets everything through with the default verdict. Extra columns are carried by judge(), but for those named
+like results, which are replaced; the query ignores them.
 """
 
 from __future__ import annotations
@@ -78,18 +81,21 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     """All columns of urls plus host, path, rule, verdict. rules: host string, path string, verdict string; of equal
     (host, path) with different verdicts `block` holds."""
     listed = rules.groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict"))["verdict"].alias("verdict"))
-    listed = listed.select(F.concat_ws(SEP, "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("rule_length"), F.length("path").alias("path_length"), "verdict")
-    sizes = [r[0] for r in listed.select("path_length").distinct().orderBy("path_length").collect()]  # at most a URL's length
+    listed = listed.select(
+        F.concat_ws(SEP, "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("rule_length"),
+        F.length("path").alias("path_length"), F.size(F.split("host", r"\.", -1)).alias("labels"), "verdict",
+    )
+    shapes = [tuple(r) for r in listed.select("labels", "path_length").distinct().orderBy("labels", "path_length").collect()]  # at most a rule's labels times its length
     n_keys = listed.count()
     words = build_filter(listed.select(key_hash(F.col("key")).alias("h")), n_keys) if n_keys else np.zeros(8, dtype=np.uint64)
 
     host, path = parts(F.col(url))
     clash = [c for c in ("host", "path", "rule", "verdict") if c in urls.columns]
     own = urls.drop(*clash).withColumn("host", host).withColumn("path", path)
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.col("path").substr(1, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
-    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat_ws(SEP, h, p))))
+    # substring_index gives the whole host where it has too few labels: these keys are another number of labels' then.
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    key = lambda labels, n: F.when((dots + 1 >= labels) & (F.length("path") >= n), F.concat_ws(SEP, F.substring_index("host", ".", -labels), F.substring("path", 1, n)))
+    keys = F.array_compact(F.array(*[key(*x) for x in shapes])) if shapes else F.array().cast("array<string>")
     own = own.withColumn("_keys", keys)
     if words is None:
         hits = F.col("_keys")
@@ -97,15 +103,14 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         probed = may_contain(words)(F.transform("_keys", lambda k: key_hash(k)))
         own = own.withColumn("_may", probed)
         hits = F.transform(F.filter(F.arrays_zip("_keys", "_may"), lambda x: x["_may"]), lambda x: x["_keys"])
-    own = own.withColumn("_hits", hits).withColumn("_row", F.monotonically_increasing_id()).drop("_keys", "_may")
-    # The exact step: only keys that passed move, and only as (row, key).
-    best = (
-        own.select("_row", F.explode("_hits").alias("key"))
-        .join(listed.drop("path_length"), "key")
-        .groupBy("_row")
-        .agg(F.max(F.struct("rule_length", "rule", "verdict")).alias("best"))
-    )
-    return own.join(best, "_row", "left").select(*[c for c in urls.columns if c not in clash], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    own = own.withColumn("_hits", hits).drop("_keys", "_may")
+    # The exact step: only keys that passed move, once for each host and path. The key of the way back is made anew, so
+    # that both sides of that join are shuffled and a hot URL's rows can be split.
+    found = own.where(F.size("_hits") > 0).select("host", "path", F.explode("_hits").alias("key")).distinct().join(listed.drop("path_length", "labels"), "key")
+    best = found.groupBy("host", "path").agg(F.max(F.struct("rule_length", "rule", "verdict")).alias("_best"))
+    best = best.select(F.concat(F.lit(SEP), "host", F.lit(SEP), "path").alias("_at"), "_best")
+    own = own.withColumn("_at", F.concat(F.lit(SEP), "host", F.lit(SEP), "path")).join(best, "_at", "left")
+    return own.select(*[c for c in urls.columns if c not in clash], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query, in the order given.

@@ -43,6 +43,17 @@ def test_many_rules_with_and_without_the_filter(spark, monkeypatch, limit):
     assert got == {i: ("".join(rules[i][:2]), rules[i][2]) if i < 300 else (None, "allow") for i in range(600)}
 
 
+def test_very_long_urls_and_hosts_of_many_labels(spark):
+    urls = ["http://" + "a." * 400_000 + "net/x", "http://a.net/" + "p/" * 400_000, "http://" + "x" * 900_000, "http://sub." + "b." * 9 + "example.net/en/"] * 2
+    assert judged(spark, urls) == {i: brute(u) for i, u in enumerate(urls)}
+
+
+def test_rows_keep_their_rule_when_they_were_shuffled(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.{'net' if i % 2 else 'de'}/{i}") for i in range(500)], "page_id long, url string")
+    rows = url_filter.op6(df.repartition(7)).collect()
+    assert {r.page_id: r.rule for r in rows} == {i: "net/" if i % 2 else None for i in range(500)} and len(rows) == 500
+
+
 def test_no_rules(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     urls = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
