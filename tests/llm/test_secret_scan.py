@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import time
+
+import pytest
 
 from quantloom.llm import secret_scan
 
@@ -61,3 +65,79 @@ def test_redaction(make_docs):
     texts = [None, "", "clean text stays", f"x token={'a1' * 20} y {RANDOM[0]} z", "password: hunter22", "𝒳 password: hunter22 tail"]
     got = [r.text for r in secret_scan.redact(make_docs(texts)).orderBy("doc_id").collect()]
     assert got == [None, "", "clean text stays", "x [SECRET] y [SECRET] z", "[SECRET]", "𝒳 [SECRET] tail"]
+
+
+def plain_battery(tok):
+    """The statistics of one run, spelt out."""
+    n, codes = len(tok), [ord(c) for c in tok]
+    k = 16 if re.fullmatch("[0-9a-fA-F]+", tok) else 32 if re.fullmatch("[A-Z2-7]+=*", tok) else 64
+    kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s"
+    changes = sum(kind(x) != kind(y) for x, y in zip(tok, tok[1:]))
+    squares = sum(tok.count(c) ** 2 for c in set(tok))
+    chi = sum((tok.count(c) - n / k) ** 2 / (n / k) for c in set(tok)) + (k - len(set(tok))) * n / k
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    rate = {16: 0.469, 32: 0.305, 64: 0.645}[k]
+    wide = lambda x, share: (x - (n - 1) * share) / math.sqrt((n - 1) * share * (1 - share))
+    sd = math.sqrt(2 * secret_scan.SQUARES / (n * (n - 1)) + 4 * (secret_scan.CUBES - secret_scan.SQUARES**2) / n)
+    text = ((secret_scan.SQUARES - (squares - n) / (n * (n - 1))) / sd + wide(changes, secret_scan.CHANGES)) / math.sqrt(2)
+    serial = sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / spread * math.sqrt(n) if spread else 99.0
+    return (chi - (k - 1)) / math.sqrt(2 * (k - 1)), wide(changes, rate), serial, text
+
+
+def test_battery_statistics_match_a_plain_version(make_docs):
+    own = random.Random(8)
+    toks = [*RANDOM, *PLAIN, *("".join(own.choice(a) for _ in range(own.randrange(20, 150))) for a in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abc_-", B64) for _ in range(10))]
+    rows = secret_scan.with_runs(secret_scan.with_base(make_docs(toks).withColumnRenamed("text", "_text"))).select("_text", "_runs").collect()
+    checked = 0
+    for r in rows:
+        for x in r["_runs"]:
+            want = plain_battery(r["_text"][x.start : x.end])
+            assert [x.chi_z, x.runs_z, x.serial_z, x.text_z] == pytest.approx(want, abs=1e-9)
+            assert x.random == all(v <= 4 for v in (want[0], abs(want[1]), abs(want[2])))
+            p = 0.5 * math.erfc(want[3] / math.sqrt(2))
+            assert x.bin == secret_scan.BINS or math.exp(-x.bin / 10) >= p
+            checked += 1
+    assert checked >= 45
+
+
+def test_the_tail_is_bounded_from_above_and_false_discoveries_are_controlled(spark):
+    rows = spark.range(0, 1201).selectExpr("(id - 200) / 100.0D AS z").withColumn("t", secret_scan._tail(secret_scan.F.col("z"))).collect()
+    assert all(math.exp(-r.t) >= 0.5 * math.erfc(r.z / math.sqrt(2)) * (1 - 1e-12) for r in rows)
+    own = random.Random(3)
+    for _ in range(50):
+        bins = [own.randrange(0, 140) for _ in range(own.randrange(1, 60))]
+        ranked = sorted((math.exp(-b / 10) for b in bins))
+        most = max([i for i, p in enumerate(ranked, 1) if p * len(ranked) <= 0.05 * i], default=0)  # as Benjamini and Hochberg put it
+        least = secret_scan.accepted({b: bins.count(b) for b in bins}, 0.05)
+        assert sum(b >= least for b in bins) == most
+
+
+def test_runs_apart_from_base_spans_match_brute_force(spark):
+    own, rows = random.Random(6), []
+    for i in range(60):
+        runs, at = [], 0
+        for _ in range(own.randrange(0, 12)):
+            at += own.randrange(1, 9)
+            runs.append((at, 3, at + own.randrange(1, 9), "t"))
+            at = runs[-1][2]
+        base = [(s, 0, s + own.randrange(1, 14)) for s in (own.randrange(0, 90) for _ in range(own.randrange(0, 7)))]
+        rows.append((i, runs, base))
+    span = "struct<start:int,kind:int,end:int"
+    df = spark.createDataFrame(rows, f"i int, runs array<{span},tok:string>>, base array<{span}>>")
+    got = {r.i: [(x.start, x.end) for x in r.free] for r in df.withColumn("free", secret_scan.apart(secret_scan.F.col("runs"), secret_scan.F.col("base"))).collect()}
+    assert got == {i: [(r[0], r[2]) for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in base)] for i, runs, base in rows}
+
+
+def test_very_many_matches_in_a_long_text(make_docs):
+    texts = ["token=abcdef " * 80_000, "0123456789abcdef01234567 " * 40_000, "a1B2c3D4e5F6g7H8i9J0k " * 45_000, "Zz9" * 350_000]
+    began = time.time()
+    check(make_docs(texts))
+    assert time.time() - began < 60
+    got = [r.text for r in secret_scan.redact(make_docs([texts[0] + "𝒳 end", "clean"])).orderBy("doc_id").collect()]
+    assert got == ["[SECRET] " * 80_000 + "𝒳 end", "clean"]
+
+
+def test_redaction_carries_columns_of_clashing_names(make_docs):
+    docs = make_docs(["password: hunter22"]).withColumnsRenamed({"lang": "_text", "source": "_spans"})
+    assert secret_scan.redact(docs).first().asDict() == {"doc_id": 0, "text": "[SECRET]", "_text": None, "_spans": None, "n_chars": 18}
