@@ -1,20 +1,20 @@
 """Operator 1, token counts: an exact histogram of encoded lengths answers every context limit by suffix sums.
 
-Each text is encoded once; only its length leaves the worker. The histogram (one row for each distinct length) is the
-sole thing shuffled, pre-aggregated on the map side. Suffix sums are taken in two levels, within blocks of lengths and
-over blocks, so no single task has to see the whole histogram in order.
+Each text is encoded once; only its length leaves the worker. The histogram (one row for each distinct length) is
+pre-aggregated on the map side, and written, as it is looked at several times. Suffix sums are taken in two levels, within
+blocks of lengths and over blocks, so no single task has to see the whole histogram in order.
 
-Nulls and empty texts have length 0 and count as documents. Repeated rows count as often as they occur. An empty table
-gives no rows. Other columns are ignored, whatever their names.
+Nulls and empty texts have length 0 and count as documents. Very long texts are encoded whole, one at a time. Repeated
+rows count as often as they occur. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_arrow, text_of
+from quantloom.llm.common import text_of, written
 from quantloom.llm.tokens import encoding, ranks_path
 
 #: Lengths that share a block of the two-level suffix sum.
@@ -22,19 +22,19 @@ BLOCK = 512
 
 
 def token_length(path: str) -> Column:
-    @F.pandas_udf("long")
-    def length(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def length(texts: pa.Array) -> pa.Array:
         encode = encoding(path).encode_ordinary
-        return pd.Series([len(encode(t)) for t in texts], dtype="int64")
+        return pa.array((len(encode(t.as_py())) for t in texts), pa.int64())
 
     return length
 
 
 def length_histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """n_tokens long, n_docs long: one row for each length that occurs."""
-    bounded_arrow(docs.sparkSession)
+    """n_tokens long, n_docs long: one row for each length that occurs; written to the shared folder."""
     length = token_length(path or ranks_path())
-    return docs.select(length(text_of(docs, text)).alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = docs.select(length(text_of(docs, text)).alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return written(counts, "lengths")
 
 
 def context_table(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -60,27 +60,17 @@ def context_table(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select(
         "n_tokens", "n_docs", "docs_ge", "tokens_ge", docs_le.alias("docs_le"), "total_docs", "total_tokens",
         (F.col("total_tokens") - F.col("tokens_ge") + F.col("n_tokens") * F.col("docs_ge")).alias("truncated_tokens"),
-        (docs_le / F.col("total_docs")).alias("quantile"),
+        F.try_divide(docs_le, "total_docs").alias("quantile"),
     )
 
 
-def limits(context: DataFrame, wanted: list[int]) -> DataFrame:
-    """Answers for any context limits, also those no document has: limit, truncated_tokens, docs_over (longer ones)."""
-    spark = context.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in wanted], "context_limit long")
-    total = F.max("total_tokens")
-    rows = context.join(F.broadcast(asked), F.col("n_tokens") > F.col("context_limit"), "inner")
-    over = rows.groupBy("context_limit").agg(F.max("docs_ge").alias("docs_over"), F.max("tokens_ge").alias("tokens_over"))
-    whole = context.agg(F.coalesce(total, F.lit(0)).alias("total_tokens"))
-    zero = F.lit(0).cast("long")
-    return (
-        asked.join(over, "context_limit", "left")
-        .crossJoin(F.broadcast(whole))  # one row by construction: an aggregate without keys
-        .select(
-            "context_limit", F.coalesce("docs_over", zero).alias("docs_over"),
-            (F.col("total_tokens") - F.coalesce("tokens_over", zero) + F.col("context_limit") * F.coalesce("docs_over", zero)).alias("truncated_tokens"),
-        )
-    )
+def limits(histogram: DataFrame, wanted: list[int]) -> DataFrame:
+    """Answers for any context limits, also those no document has: context_limit, docs_over (longer ones),
+    truncated_tokens. A limit is a length of no documents among those that occur, so the same suffix sums answer it."""
+    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in dict.fromkeys(wanted)], "context_limit long")
+    both = histogram.select("n_tokens", "n_docs").unionByName(asked.select(F.col("context_limit").alias("n_tokens"), F.lit(0).cast("long").alias("n_docs")))
+    own = context_table(both.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
+    return own.join(asked, F.col("n_tokens") == F.col("context_limit")).select("context_limit", (F.col("docs_ge") - F.col("n_docs")).alias("docs_over"), "truncated_tokens")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -36,3 +36,11 @@ def test_small_blocks_and_any_limit(real_docs):
 def test_empty_table_and_clashing_columns(make_docs):
     docs = make_docs([]).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "block")
     assert token_counts.op1(docs).count() == 0
+
+
+def test_each_text_is_encoded_once_and_a_very_long_one_is_whole(make_docs):
+    text = "some words, 12 and more\n" * 45_000
+    got = token_counts.op1(make_docs([text, "a"]))
+    assert {r.n_tokens for r in got.collect()} == set(lengths([text, "a"]))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # only the written counts are read
+    assert token_counts.limits(token_counts.length_histogram(make_docs([])), [5]).collect()[0].truncated_tokens == 0
