@@ -1,14 +1,22 @@
-"""Byte-level BPE by rank files, for the operators that count, encode or pack tokens."""
+"""Byte-level BPE for the operators that count, encode or pack tokens: by rank files, and by the tokenizers library."""
 
 from __future__ import annotations
 
 import base64
+import os
+import re
+import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
+from tokenizers import Tokenizer
 
-DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
+DEFAULT_RANKS, DEFAULT_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+#: Distinct pre-tokens whose ids a worker remembers.
+MEMORY = 400_000
 
 
 def ranks_path(name: str = DEFAULT_RANKS) -> str:
@@ -21,3 +29,79 @@ def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def pattern() -> regex.Pattern:
+    return regex.compile(public_tokenizers.PATTERN)
+
+
+@lru_cache(maxsize=70_000)
+def kind(c: str) -> str:
+    """What the pattern takes a character for: L a letter, N a number, S white space, O any other; empty where versions of
+    Unicode, and so implementations of the pattern, may differ: what is no white space, letter, number, mark, sign or
+    punctuation of the basic plane, alike in version 3.2 and today's."""
+    if c in " \t\n\x0b\x0c\r\xa0":
+        return "S"
+    if c < "\x80":
+        return "L" if c.isalpha() else "N" if c.isdigit() else "O" if c.isprintable() else ""
+    own, then = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]
+    return {"L": "L", "N": "N", "Z": "S", "M": "O", "S": "O", "P": "O"}.get(own, "") if own == then and c <= "￿" else ""
+
+
+def sure_boundary(left: str, right: str) -> bool:
+    """Whether any reading of the pattern, from wherever it starts, ends a match between these two characters: a letter
+    or number and what is none. (A match that holds the left one goes on to its last letter or number, and no further.)"""
+    a, b = kind(left), kind(right)
+    return a in ("L", "N") and bool(b) and a != b
+
+
+@lru_cache(maxsize=1)
+def unsure() -> re.Pattern:
+    """Characters whose kind implementations may see differently."""
+    spans, start = [], None
+    for cp in range(0x10001):
+        good = cp < 0x10000 and kind(chr(cp)) != ""
+        if good and start is None:
+            start = cp
+        elif not good and start is not None:
+            spans.append((start, cp - 1))
+            start = None
+    kind.cache_clear()
+    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
+
+
+class WordIds:
+    """Ids by the tokenizers library, which looks at each distinct pre-token once: the library takes a text apart by the
+    same pattern and encodes each part by itself. Texts with characters that implementations of the pattern may see
+    differently, and such that spell a special token, go to the library whole."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        odd, split = unsure().search, pattern().findall
+        parts = [None if odd(t) or any(s in t for s in self.special) else split(t) for t in texts]
+        known = self.known
+        fresh = [w for w in set().union(*(p for p in parts if p)) if w not in known]
+        ids = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+        flat, ends = np.array([i for x in ids for i in x], dtype="<u4").tobytes(), np.cumsum([0, *map(len, ids)]) * 4
+        now = {w: flat[a:b] for w, a, b in zip(fresh, ends, ends[1:])}
+        if len(known) + len(now) <= MEMORY:
+            known.update(now)
+            get = known.__getitem__
+        else:
+            get = lambda w: known.get(w) or now[w]
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
