@@ -6,80 +6,77 @@ to repeat each so that the patterns use up the histogram; repeats are rounded wi
 packed best-fit decreasing, on counts. The plan is a table of ranges: of the pieces with some length, those ranked r to
 s go to sequences q, q+1, ... at some offset. Its size depends on the capacity, not on the documents.
 
-Ranks among pieces of one length are taken within salted buckets of at most some RANK_ROWS rows and moved by the counts
-of the buckets before, so a length that a third of all rows share is ranked by many tasks. Pieces that fill a sequence
-alone are never ranked or moved.
+Pieces are numbered as they are written. Ranks among pieces of one length are taken within buckets of these numbers, of
+at most some RANK_ROWS rows, and moved by the counts of the buckets before, so a length that a third of all rows share, or
+a row that is repeated as often, is ranked by many tasks. Pieces that fill a sequence alone are never ranked or moved.
 
-Ids equal those of the `tokenizers` file byte_bpe_50k.json; they are computed from the rank file of the same vocabulary,
-which is three times as fast, and by `tokenizers` itself for the rare texts that spell the special token.
+Ids are those of the tokenizers library, file byte_bpe_50k.json; a worker asks it once for each distinct pre-token (see
+tokens.WordIds).
 
-A null text reads as empty and is the end token alone. Repeated rows are packed as often as they occur. An empty table
-gives no rows. Extra columns are ignored, whatever their names.
+A null text reads as empty and is the end token alone. Very long texts are read whole, one at a time. Repeated rows are
+packed as often as they occur. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from quantloom.llm.common import bounded_arrow, text_of, written
-from quantloom.llm.tokens import encoding, ranks_path
+from quantloom.llm.common import slices, text_of, written
+from quantloom.llm.tokens import DEFAULT_JSON, word_ids
 
 CAPACITY = 1024
 END = 2
-SPECIAL = "<|endoftext|>"
 LEAST_BUCKETS, RANK_ROWS = 64, 200_000
 #: Rounds of the least squares fit; tokens a pattern may leave free, and their price in the fit.
 ROUNDS, WASTE, PRICE = 400, 16, 2.0
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
 def token_ids(text: str) -> list[int]:
-    if SPECIAL in text:
-        return _tokenizer(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
-    return encoding(ranks_path()).encode_ordinary(text)
+    """The ids of one text."""
+    return np.frombuffer(word_ids(public_tokenizers.path(DEFAULT_JSON)).encode([text])[0], dtype="<u4").tolist()
 
 
-def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole ones of the capacity, the first may be shorter."""
-    first = len(ids) % capacity or capacity
-    starts = [0, *range(first, len(ids), capacity)]
-    return [(s, (starts + [len(ids)])[i + 1] - s) for i, s in enumerate(starts)]
+def cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of n ids: whole ones of the capacity, the first may be shorter."""
+    first = n % capacity or capacity
+    starts = [0, *range(first, n, capacity)]
+    return [(s, (starts + [n])[i + 1] - s) for i, s in enumerate(starts)]
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32; written to the shared folder, as it is used twice."""
-    bounded_arrow(docs.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    """doc_id, piece, start, length, ids_crc32, nr (a number of the row); written to the shared folder, as it is used
+    several times."""
+    path = public_tokenizers.path(DEFAULT_JSON)
+    end = np.array([END], dtype="<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            coded = word_ids(path).encode(batch.column("text").to_pylist())
             rows = []
-            for i, t in zip(frame["doc_id"], frame["text"]):
-                ids = np.array([*token_ids(t), END], dtype="<u4")
-                rows += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(ids, capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            for i, ids in zip(batch.column("doc_id").to_pylist(), coded):
+                ids += end
+                view = memoryview(ids)
+                rows += [(i, k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return written(own.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    own = own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return written(own.withColumn("nr", F.monotonically_increasing_id()), "pieces")
 
 
 def patterns(counts: np.ndarray, capacity: int, waste: int | None = None) -> np.ndarray:
     """Rows (a, b, c) with a >= b >= c of lengths that occur, 0 for none, that leave at most `waste` tokens free; c is the
-    longest that still fits. A length that no such row holds gets the rows of least waste it has."""
+    longest that still fits. Lengths that no such row holds (short ones only, say) are left to the packing of the rest."""
     have = np.flatnonzero(counts[:capacity] > 0)
     have = have[have > 0]
     if not len(have):
@@ -95,11 +92,6 @@ def patterns(counts: np.ndarray, capacity: int, waste: int | None = None) -> np.
     table = np.concatenate([np.stack([a, b, c], axis=1), np.stack([have, two, np.zeros_like(have)], axis=1)])
     free = capacity - table.sum(axis=1)
     good = free <= (WASTE if waste is None else waste)
-    held = np.zeros(capacity + 1, dtype=bool)
-    held[table[good].ravel()] = True
-    best = np.full(capacity + 1, capacity)
-    np.minimum.at(best, table[:, 0], free)
-    good |= ~held[table[:, 0]] & (free == best[table[:, 0]])
     return np.unique(table[good], axis=0)
 
 
@@ -191,13 +183,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
 
 def assign(own: DataFrame, ranges: np.ndarray, capacity: int, total: int) -> DataFrame:
     """Adds sequence_id and offset to pieces. Pieces that fill a sequence get negative numbers of their own."""
-    full = own.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    full = own.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("nr")).withColumn("offset", F.lit(0).cast("long"))
     buckets = max(LEAST_BUCKETS, -(-total // RANK_ROWS))
-    rest = own.where(F.col("length") < capacity).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rest = own.where(F.col("length") < capacity).withColumn("_bucket", F.pmod(F.xxhash64("nr"), F.lit(buckets)))
     sizes = rest.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "_bucket").orderBy("nr")
     rest = rest.withColumn("_rank", F.row_number().over(inside) - 1).join(sizes, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
     if len(ranges):

@@ -1,13 +1,18 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from quantloom.llm import packing
+from quantloom.llm import packing, tokens
+
+
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(text):
-    return np.array([*packing.token_ids(text or ""), packing.END], dtype="<u4")
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, packing.END], dtype="<u4")
 
 
 def check(got, texts, capacity=1024):
@@ -92,11 +97,30 @@ def test_plan_places_every_piece_once(seed):
 
 
 def test_ids_equal_those_of_tokenizers():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = LIBRARY
     for cp in [*range(1, 0x3000, 7), *range(0x3000, 0x20000, 501)]:
         if not 0xD800 <= cp < 0xE000:
             text = f"a{chr(cp)}b {chr(cp)} 1{chr(cp)}  {chr(cp)}\n"
             assert packing.token_ids(text) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_documents_equal_those_of_the_library(spark, monkeypatch):
+    """Also once the memory for pre-tokens is full."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["\U0001f600 emoji\u180e and\u200b others\x1c\x85", "it's we'll 'tis ''s", " \u2003 x\u00a0\u00a0y \n\n", "a<|endoftext|>b"]
+    want = [np.array(LIBRARY.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for memory in (tokens.MEMORY, 1000):
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        own = tokens.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+        assert [x for k in range(0, len(texts), 300) for x in own.encode(texts[k : k + 300])] == want
+        assert len(own.known) <= memory
+
+
+def test_a_row_repeated_very_often_is_ranked_in_many_buckets(make_docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+    docs = make_docs(["x y z", "some other words"], [4, 5]).selectExpr("explode(sequence(1, 3000)) AS k", "*").drop("k")
+    got = packing.op5(docs).collect()
+    places = {(r.sequence_id, r.offset): r.length for r in got}
+    assert len(got) == len(places) == 6000
+    used = {q for q, _ in places}
+    assert all(sum(n for (s, _), n in places.items() if s == q) <= 1024 for q in list(used)[:20]) and len(used) <= 1.05 * sum(places.values()) / 1024 + 1
