@@ -1,25 +1,30 @@
 """Operator 2, approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut into two halves, and each half is quantised by its own CENTROIDS centroids, learned on at most SAMPLE
-vectors (those with the smallest hash of the id). A vector's cell is its pair of centroids. A query walks the pairs in
-order of summed distance with a heap, until the cells seen hold enough vectors; these are reranked by inner product in
-double precision. How many are enough is learned too: on the sample, the share of vectors within which TARGET of the
-true neighbours are found. Data with structure need little; vectors without any need most of the table, and get it.
-
-Every row is indexed. Shards are groups of first centroids, cut into blocks of some BLOCK vectors, so that a cell that
-holds a third of all rows is many tasks. Queries come to each block they walk into with the set of cells they want, in
-groups of QUERIES that lie near each other, and a block goes only where it is wanted. It hands on its `k` best for each
-query, so what is shuffled last is small. The driver sees the sample, the centroids and one count for each cell.
+Vectors are cut into two halves, and each half is quantised by its own centroids, learned on at most SAMPLE vectors (those
+with the smallest hash of the id). A vector's cell is its pair of centroids. Their number grows with the square root of
+the rows, so that a cell holds CELL vectors in the mean, as far as the sample can tell centroids apart (one for each
+PER_CENTROID of its vectors). A query walks the pairs in order of summed distance with a heap, until the cells seen hold
+enough vectors; these are reranked by inner product in double precision. How many are enough is measured, for the table at
+hand and at its size: PROBES vectors are searched exactly, and the share is taken within which TARGET of their true
+neighbours are found. Data with structure need little; vectors without any need most of the table, and get it.
+
+Every row is indexed. Cells are put behind one another, in order of their centroids, and cut into pages of some PAGE
+vectors; a cell larger than that is several pages, so one that holds a third of all rows is many tasks. Queries are walked
+in many tasks. They come to each page they walk into with the cells they want there, in parts of at most some QUERIES that
+lie near each other, and a page goes only where it is wanted; there each cell is multiplied with just the queries that
+want it. A page hands on its `k` best for each query, so what is shuffled last is small. The driver sees the sample, the
+centroids, k neighbours of each probe, and one count for each cell.
 
 Vectors that are null, zero, or hold a null or a non-finite number take no part, and neither do those whose length is not
 the most common one. Ids that are null take no part. A candidate with the query's own id is never returned; rows that
-repeat a query's id ask once. Ties go to the smaller id. Fewer candidates than k give fewer rows, an empty table none.
-Extra columns are ignored.
+repeat a query's id ask once. Ties go to the smaller id. Very long vectors are used whole. Fewer candidates than k give
+fewer rows, an empty table none. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,22 +33,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import MANY, written
+from quantloom.llm.common import slices, written
 
-CENTROIDS = 64
 SAMPLE = 20_000
-TARGET = 0.97
-#: First centroids that share a shard.
-GROUP = 8
-BLOCK, QUERIES = 4096, 1024
+CELL, PER_CENTROID = 8, 8
+TARGET, PROBES = 0.97, 256
+PAGE, QUERIES = 4096, 1024
 K = 20
+MASK = 2**64 - 1
 
 
 @dataclass
 class Index:
     first: np.ndarray
     second: np.ndarray
-    share: float
 
     @property
     def half(self) -> int:
@@ -80,10 +83,9 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, enough: float) -> list[tuple[int, int]]:
     """Pairs of centroids by summed distance until their cells hold `enough` vectors. Each step of the heap opens the
     pair's next neighbours in either sorted list, so that a pair is opened once both its predecessors were taken."""
-    i, j = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-    a, b = one[i].tolist(), two[j].tolist()
-    held = counts[np.ix_(i, j)].tolist()
-    ii, jj = i.tolist(), j.tolist()
+    ii, jj = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
+    a, b = one[ii].tolist(), two[jj].tolist()
+    ii, jj = ii.tolist(), jj.tolist()
     n, m = len(a), len(b)
     heap = [(a[0] + b[0], 0, 0)]
     reach = [0] * n  # pairs taken in each row: they are always the row's first
@@ -92,9 +94,9 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, enough: float) ->
     while heap and got < enough:
         _, r, c = heapq.heappop(heap)
         reach[r] = c + 1
-        if held[r][c]:
+        if held := int(counts[ii[r], jj[c]]):
             out.append((ii[r], jj[c]))
-            got += held[r][c]
+            got += held
         if c + 1 < m and (r == 0 or reach[r - 1] > c + 1):
             heapq.heappush(heap, (a[r] + b[c + 1], r, c + 1))
         if r + 1 < n and reach[r + 1] == c:
@@ -102,29 +104,54 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, enough: float) ->
     return out
 
 
-def learn(sample: np.ndarray, k: int = K, target: float = TARGET, most: int = CENTROIDS) -> Index:
-    """Centroids and the share to visit, from a bounded sample."""
+def learn(sample: np.ndarray, rows: int) -> Index:
+    """Centroids for a table of so many rows, from a bounded sample."""
     half = max(1, sample.shape[1] // 2)
-    count = max(1, min(most, len(sample) // 8))
-    own = Index(centroids(sample[:, :half], count), centroids(sample[:, half:], count), 1.0)
-    asked = np.arange(len(sample))[:: max(1, len(sample) // 256)][:256]
-    i, j = own.cells(sample)
-    width = len(own.second)
-    cell = i * width + j
-    counts = np.bincount(cell, minlength=len(own.first) * width)
+    count = max(1, min(math.isqrt(rows // CELL), len(sample) // PER_CENTROID))
+    return Index(centroids(sample[:, :half], count), centroids(sample[:, half:], count))
+
+
+def share_needed(index: Index, probes: np.ndarray, cells: list[np.ndarray], counts: np.ndarray, target: float = TARGET) -> float:
+    """The share of the vectors to visit so that `target` of the probes' true neighbours are met. cells: for each probe
+    the cells (i * width + j) of its neighbours."""
     need = []
-    for q in asked:
-        score = sample @ sample[q]
-        score[q] = -np.inf
-        top = np.argpartition(-score, min(k, len(score) - 1))[:k] if len(score) > 1 else np.zeros(0, dtype=int)
-        d = distances(sample[q : q + 1, :half], own.first)[0][:, None] + distances(sample[q : q + 1, half:], own.second)[0][None, :]
+    flat, total = counts.ravel(), counts.sum()
+    for x, own in zip(probes, cells):
+        d = distances(x[None, : index.half], index.first)[0][:, None] + distances(x[None, index.half :], index.second)[0][None, :]
         order = np.argsort(d.ravel(), kind="stable")
         before = np.empty(len(order))
-        before[order] = np.cumsum(counts[order])
-        need.append(before[cell[top]] / len(sample))
-    need = np.concatenate(need) if need else np.ones(1)
-    own.share = float(min(1.0, np.quantile(need, target) if len(need) else 1.0))
-    return own
+        before[order] = np.cumsum(flat[order])
+        need.append(before[own] / total)
+    need = np.concatenate(need) if need else np.zeros(0)
+    return float(min(1.0, np.quantile(need, target))) if len(need) else 1.0
+
+
+@dataclass
+class Pages:
+    """Where cells lie. first: the page of a cell, or its first one; parts: the pages it alone fills (1: it may share one);
+    start: a page's first cell."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    start: np.ndarray
+
+
+def paged(sizes: np.ndarray, page: int = PAGE) -> Pages:
+    first, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // page))
+    start: list[int] = []
+    room = 0
+    for cell, n in enumerate(sizes.tolist()):
+        if n > page:
+            first[cell] = len(start)
+            start += [cell] * int(parts[cell])
+            room = 0
+        else:
+            if n > room or not start:
+                start.append(cell)
+                room = page
+            first[cell] = len(start) - 1
+            room -= n
+    return Pages(first, parts, np.array(start))
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -136,11 +163,12 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return own.where(F.size("v") == (common["d"] if common else 0))
 
 
-def top(score_of, q: np.ndarray, ids: np.ndarray, v: np.ndarray, own: int, allowed: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k best of the allowed rows, by a sum that does not depend on what else is in the block."""
-    at = np.flatnonzero(allowed & (ids != own))
+def top(rough: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+    """The k best rows by a sum that does not depend on what else is in the page. rough: nearly their products with q, minus
+    infinity for those not wanted."""
+    at = np.flatnonzero((rough > -np.inf) & (ids != own))
     if len(at) > k:
-        s = score_of[at]
+        s = rough[at]
         least = np.partition(s, len(s) - k)[len(s) - k]
         at = at[s >= least - 1e-9 * max(1.0, abs(least))]
     exact = (v[at] * q).sum(axis=1)
@@ -148,82 +176,130 @@ def top(score_of, q: np.ndarray, ids: np.ndarray, v: np.ndarray, own: int, allow
     return [(int(ids[at[b]]), float(exact[b])) for b in best]
 
 
-def search(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, index: Index | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which `asks` (over vec_id) holds."""
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def exact_cells(placed: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each probe the cells of its k nearest vectors: every task keeps its own k best."""
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, PAGE):
+            score = probes @ matrix(frame["v"]).T
+            score[ids[:, None] == frame["vec_id"].to_numpy()[None, :]] = -np.inf
+            n = min(k, score.shape[1])
+            at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            yield pd.DataFrame({"probe": np.repeat(np.arange(len(probes)), n), "score": np.take_along_axis(score, at, axis=1).ravel(), "cell": frame["cell"].to_numpy()[at].ravel()})
+
+    rows = placed.mapInPandas(best, "probe int, score double, cell int")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "cell")
+    rows = rows.withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) & (F.col("score") > float("-inf"))).select("probe", "cell").toPandas()  # k rows for each probe
+    return [rows["cell"][rows["probe"] == p].to_numpy() for p in range(len(probes))]
+
+
+def search(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, share: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, visited (the vectors multiplied with the query): the k nearest found of every row for
+    which `asks` (over vec_id) holds. share: of the vectors to visit, measured if not given."""
     own = usable(vectors, vec_id, vector)
-    empty = own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if index is None:
-        rows = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
-        if not rows:
-            return empty
-        index = learn(np.array([r["v"] for r in rows], dtype=np.float64), k)
-    width, own_index = len(index.second), index
-
-    @F.pandas_udf("shard int, cell int")
-    def place(v: pd.Series) -> pd.DataFrame:
-        i, j = own_index.cells(np.array(v.tolist(), dtype=np.float64)) if len(v) else (np.zeros(0, int), np.zeros(0, int))
-        return pd.DataFrame({"shard": (i // GROUP).astype("int32"), "cell": ((i % GROUP) * width + j).astype("int32")})
-
-    placed = written(own.withColumn("p", place("v")).select("vec_id", "v", "p.shard", "p.cell"), "placed")
-    sizes = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each cell at most
-    counts = np.zeros((len(index.first), width), dtype=np.int64)
-    for r in sizes:
-        counts[r["shard"] * GROUP + r["cell"] // width, r["cell"] % width] = r["n"]
+    spark = own.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited long")
+    rows = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()  # bounded by SAMPLE
+    if not len(rows):
+        return empty
+    sample = matrix(rows["v"])
+    index = learn(sample, own.count())
+    width = len(index.second)
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        i, j = index.cells(matrix(v)) if len(v) else (np.zeros(0, int), np.zeros(0, int))
+        return pd.Series(i * width + j, dtype="int32")
+
+    placed = written(own.withColumn("cell", place("v")), "placed")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row for each cell
+    counts = np.zeros(len(index.first) * width, dtype=np.int64)
+    counts[sizes["cell"]] = sizes["n"]
+    grid = counts.reshape(-1, width)
     total = int(counts.sum())
-    if not total:
+    if share is None:
+        probes = sample[:PROBES]
+        share = share_needed(index, probes, exact_cells(placed, rows["vec_id"].to_numpy()[:PROBES], probes, k), grid)
+    enough = min(total, max(share * total, 4.0 * k))
+    pages = paged(counts)
+    ends = np.append(pages.start[1:], len(counts))  # a page's cells are those from its start to the next one's, or one
+    spans = np.maximum(1, ends - pages.start)
+
+    queries = placed.where(asks).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", F.col("q.cell").alias("home"))
+    asked = queries.count()
+    if not asked:
         return empty
-    enough = min(total, max(index.share * total, 4.0 * k))
-    by_shard = np.add.reduceat(counts.sum(1), np.arange(0, len(counts), GROUP))
-    blocks = np.maximum(1, -(-by_shard // BLOCK)).tolist()
-    queries = placed.where(asks).groupBy("vec_id").agg(F.min(F.struct("v", "shard")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", F.col("q.shard").alias("home"))
-    homes = {r["home"]: -(-r["n"] // QUERIES) for r in queries.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
-    most = max(homes.values(), default=1)
+    # Parts of queries that lie near each other: by the page of their own cell, several if one page holds very many.
+    per_page = placed.where(asks).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    load = np.bincount(pages.first[per_page["cell"]], weights=per_page["n"], minlength=len(pages.start))
+    group = (np.cumsum(load) - load) // QUERIES  # pages next to each other share a part while it has room
+    split = np.maximum(1, -(-load // QUERIES)).astype(np.int64)
+    most = int(split.max())
 
     def wants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each query, a row for each block of each shard it walks into, with the cells it wants as bits."""
-        for frame in frames:
-            x = np.array(frame["v"].tolist(), dtype=np.float64).reshape(len(frame), -1)
-            one, two = distances(x[:, : own_index.half], own_index.first), distances(x[:, own_index.half :], own_index.second)
+        """For each query, a row for each page it walks into, with the cells it wants there as bits."""
+        for frame in slices(frames, 64):
+            x = matrix(frame["v"])
+            one, two = distances(x[:, : index.half], index.first), distances(x[:, index.half :], index.second)
             out = []
-            for q, v, home, a, b in zip(frame["query_id"], frame["v"], frame["home"], one, two):
-                bits = np.zeros((len(blocks), GROUP * width), dtype=bool)
-                for i, j in walk(a, b, counts, enough):
-                    bits[i // GROUP, (i % GROUP) * width + j] = True
-                for s in np.flatnonzero(bits.any(1)):
-                    cells = np.packbits(bits[s]).tobytes()
-                    out += [(q, v, home, int(s), block, cells) for block in range(blocks[s])]
-            yield pd.DataFrame(out, columns=["query_id", "v", "home", "shard", "block", "cells"])
+            for q, v, home, a, b in zip(frame["query_id"], frame["v"], pages.first[frame["home"]], one, two):
+                cells = np.array([i * width + j for i, j in walk(a, b, grid, enough)], dtype=np.int64)
+                cells.sort()
+                visited = int(counts[cells].sum())
+                part = int(group[home]) * most + ((q * 0x9E3779B97F4A7C15 & MASK) >> 33) % int(split[home])
+                at = pages.first[cells]
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                for own_cells in np.split(cells, cuts):
+                    first = int(pages.first[own_cells[0]])
+                    bits = np.zeros(int(spans[first]), dtype=bool)
+                    bits[own_cells - pages.start[first]] = True
+                    packed = np.packbits(bits).tobytes()
+                    out += [(q, v, part, first + n, packed, visited) for n in range(int(pages.parts[own_cells[0]]))]
+            yield pd.DataFrame(out, columns=["query_id", "v", "part", "page", "cells", "visited"])
+
+    @F.pandas_udf("int")
+    def page_of(cell: pd.Series, vec: pd.Series) -> pd.Series:
+        return pd.Series(pages.first[cell] + vec.to_numpy() % pages.parts[cell], dtype="int32")
 
     kind = own.schema["v"].dataType.simpleString()
-    # Queries that lie in one shard form parts of at most some QUERIES; a block's vectors go only to parts that want them.
-    asked = queries.mapInPandas(wants, f"query_id long, v {kind}, home int, shard int, block int, cells binary")
-    spread = F.array(*[F.lit(homes.get(s, 1)) for s in range(len(blocks))])
-    asked = asked.withColumn("part", (F.col("home") * most + F.pmod(F.xxhash64("query_id"), F.element_at(spread, F.col("home") + 1))).cast("int"))
-    asked = written(asked.drop("home"), "asked", MANY)
-    many = F.array(*[F.lit(b) for b in blocks])
-    held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(many, F.col("shard") + 1)).cast("int"))
-    wanted = asked.select("shard", "block", F.col("part").alias("to")).distinct()
-    held = held.join(wanted, ["shard", "block"]).withColumnRenamed("to", "part")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asked // QUERIES))
+    wanted = queries.repartition(tasks, "query_id").mapInPandas(wants, f"query_id long, v {kind}, part long, page int, cells binary, visited long")
+    wanted = written(wanted, "asked")
+    held = placed.withColumn("page", page_of("cell", F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1))))
+    held = held.join(wanted.select("page", F.col("part").alias("to")).distinct(), "page").withColumnRenamed("to", "part")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            ids, cell = left["vec_id"].to_numpy(), left["cell"].to_numpy()
-            v = np.array(left["v"].tolist(), dtype=np.float64)
-            for at in range(0, len(right), 128):
-                part = right.iloc[at : at + 128]
-                x = np.array(part["v"].tolist(), dtype=np.float64)
-                rough = x @ v.T
-                for q, vec, s, cells in zip(part["query_id"], x, rough, part["cells"]):
-                    allowed = np.unpackbits(np.frombuffer(cells, dtype=np.uint8), count=GROUP * width).astype(bool)[cell]
-                    out += [(q, i, value) for i, value in top(s, vec, ids, v, q, allowed, k)]
+            left = left.sort_values("cell", kind="stable")
+            ids, cell, v = left["vec_id"].to_numpy(), left["cell"].to_numpy(), matrix(left["v"])
+            page = int(left["page"].iloc[0])
+            local = cell - pages.start[page]
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for at in range(0, len(right), 256):
+                part = right.iloc[at : at + 256]
+                x = matrix(part["v"])
+                bits = np.stack([np.unpackbits(np.frombuffer(c, dtype=np.uint8), count=int(spans[page])) for c in part["cells"]]).astype(bool)
+                rough = np.full((len(x), len(v)), -np.inf)
+                for a, b in zip(cuts, cuts[1:]):  # a cell and those who want it
+                    who = np.flatnonzero(bits[:, local[a]])
+                    if len(who):
+                        rough[who, a:b] = x[who] @ v[a:b].T
+                for q, vec, s in zip(part["query_id"], x, rough):
+                    out += [(q, i, value) for i, value in top(s, vec, ids, v, q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["shard", "block", "part"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    # At most k rows come from a block, so a query's candidates are few; the k best of them are its answer.
+    keys = ["page", "part"]
+    found = held.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    # At most k rows come from a page, so a query's candidates are few; the k best of them are its answer.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    seen = wanted.groupBy("query_id").agg(F.first("visited").alias("visited"))
+    return best.join(seen, "query_id").select("query_id", "rank", "vec_id", "score", "visited")
 
 
 def op2(vectors: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,34 @@ def test_walk_takes_pairs_by_distance():
     order = [one[i] + two[j] for i, j in multi_index.walk(one, two, counts, 35)]
     assert order == sorted(order) and len(order) == 35
     assert len(multi_index.walk(one, two, counts, 4)) == 4
+
+
+def test_pages_hold_every_cell_once_and_split_large_ones():
+    sizes = np.array([3, 0, 5, 40, 2, 2, 9, 0])
+    pages = multi_index.paged(sizes, 10)
+    assert pages.parts.tolist() == [1, 1, 1, 4, 1, 1, 1, 1]
+    load = np.zeros(len(pages.start))
+    for cell, n in enumerate(sizes):
+        for k in range(pages.parts[cell]):
+            load[pages.first[cell] + k] += n / pages.parts[cell]
+    assert load.sum() == sizes.sum() and load.max() <= 10
+    assert (np.diff(pages.first) >= 0).all() and (pages.start[pages.first] <= np.arange(8)).all()
+
+
+def test_recall_and_work_beyond_the_sample(spark):
+    """50,000 vectors, of which 20,000 are learned from: recall against brute force, and the vectors multiplied."""
+    rng = np.random.default_rng(5)
+    visits = {}
+    for name, spread in (("clusters", 0.25), ("none", None)):
+        data = rng.normal(size=(50_000, 16)) if spread is None else rng.normal(size=(400, 16))[rng.integers(400, size=50_000)] + spread * rng.normal(size=(50_000, 16))
+        data = (data / np.linalg.norm(data, axis=1, keepdims=True)).astype("float32")
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(data)), "embedding": data.tolist()}), "vec_id long, embedding array<float>")
+        got = multi_index.search(df, F.col("vec_id") % 125 == 0).toPandas()
+        asked = np.arange(0, len(data), 125)
+        score = data[asked].astype("float64") @ data.T.astype("float64")
+        score[np.arange(len(asked)), asked] = -np.inf
+        true = np.argpartition(-score, 20, axis=1)[:, :20]
+        hits = sum(len(set(got["vec_id"][got["query_id"] == q]) & set(t)) for q, t in zip(asked, true))
+        assert hits / (20 * len(asked)) >= 0.95
+        visits[name] = got.groupby("query_id")["visited"].first().mean() / len(data)
+    assert visits["clusters"] < 0.2 and visits["clusters"] < visits["none"] < 1
