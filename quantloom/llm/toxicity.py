@@ -7,13 +7,17 @@ inputs.
 
 The lexicon is a short fixed list plus words and word beginnings that the training rows show to go with the label, by a
 likelihood-ratio test that allows for the number of words tried. Word counts are taken by the workers and summed by
-groupBy; what reaches the driver is the lexicon (at most LEXICON terms) and the features of the training rows (at most
-TRAIN rows, those with the smallest hash of their id). Calibration uses scores of rows that a tree had not been fitted
-on (FOLDS folds).
+groupBy. Learned from are at most TRAIN labelled documents that are there, one row each: those with the smallest hash of
+the id. What reaches the driver is bounded by them: the terms that pass the test, and the features.
 
-Null and empty texts have all features 0 and get a score too. Rows are scored one by one; repeated rows get equal scores.
-Labels that are null or not 0 or 1 are not learned from; a document with several labels counts as often. With no usable
-label the score is 0.5. Extra columns are ignored.
+Calibration is on scores of rows that neither the trees nor the lexicon had been fitted on: the rows lie in FOLDS folds by
+a hash of their id, and for each fold a lexicon and trees of their own are learned from the others.
+
+Null and empty texts have all features 0 and get a score too. Very long texts are scored whole. Rows are scored one by
+one; repeated rows get equal scores. Labels that are null or not 0 or 1 are not learned from; a document with several
+labels is toxic if one says so. Of labelled rows that repeat an id the first text in order is learned from. With no usable
+label the score is 0.5. An empty table gives no rows. Extra columns are carried by score(), but for an own `score`, which
+is replaced; the query ignores them.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import boosting
-from quantloom.llm.common import FEW, bounded_arrow, table, text_of, written
+from quantloom.llm.common import slices, table, text_of, written
 
 TRAIN = 12_000
-LEXICON = 2_000
 FOLDS = 4
 THRESHOLD = 0.7
 STEM = 4
@@ -170,81 +174,102 @@ class Model:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, text: str, limit: int) -> DataFrame:
-    """(text, y) of at most `limit` labelled documents: those with the smallest hash of the id."""
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    """(fold, y, text) of at most `limit` labelled documents of docs: those with the smallest hash of the id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", text_of(docs, text).alias("text")).join(chosen, "doc_id").select("text", "y")
+    rows = docs.select("doc_id", text_of(docs, text).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `limit` rows
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return rows.select(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "y", "text")
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
-    """Seeds, and terms that go with the label: log odds by a smoothed count of documents."""
+def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Seeds, and terms that go with the label: log odds by a smoothed count of documents. One lexicon for each fold, from
+    the rows outside it, and one from all rows."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             toxic, every = Counter(), Counter()
-            for t, y in zip(frame["text"], frame["y"]):
-                own = {x for w in set(t.lower().split()) for x in terms(w)}
+            for t, y, f in zip(frame["text"], frame["y"], frame["fold"]):
+                own = {(x, f) for w in set(t.lower().split()) for x in terms(w)}
                 every.update(own)
                 if y:
                     toxic.update(own)
-            yield pd.DataFrame({"term": list(every), "k": [toxic[x] for x in every], "n": list(every.values())})
-
-    sums = rows.mapInPandas(count, "term string, k long, n long").groupBy("term").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    base = rows.agg(F.sum("y").alias("k"), F.count(F.lit(1)).alias("n")).first()
-    out = {w: 1.0 for w in SEEDS}
-    if not base["k"] or base["k"] == base["n"]:
-        return out
-    p = base["k"] / base["n"]
-    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+            yield pd.DataFrame({"term": [x for x, _ in every], "fold": [f for _, f in every], "k": [toxic[x] for x in every], "n": list(every.values())})
+
+    every = range(FOLDS)
+    in_fold = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+    sums = rows.mapInPandas(count, "term string, fold int, k long, n long").groupBy("term").agg(*(in_fold(c, f) for c in "kn" for f in every))
+    sums = written(sums, "terms")
+    base = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum("y").alias("k"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each fold
+    sides = [[f for f in every if f != out] for out in (*every, None)]
+    shares = [(sum(base[f]["k"] for f in side if f in base), sum(base[f]["n"] for f in side if f in base)) for side in sides]
+    plus = lambda c, side: sum((F.col(f"{c}{f}") for f in side), F.lit(0)).cast("double")
+    tried = sums.agg(*(F.count_if(plus("n", side) >= 3).alias(f"t{i}") for i, side in enumerate(sides))).first()
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    gain = 2 * (part(k, n * p) + part(n - k, n * (1 - p)))
-    tried = sums.where("n >= 3").count()
-    wanted = 2 * math.log(max(tried, 1)) + 2
-    found = sums.where((k > n * p) & (gain >= wanted)).withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(most).collect()
-    for r in found:
-        odds = math.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - math.log(p / (1 - p))
-        if odds > 1.0:
-            out[r["term"]] = odds
+
+    def passes(i: int) -> Column:
+        k, n, (toxic, rows_in) = plus("k", sides[i]), plus("n", sides[i]), shares[i]
+        if not 0 < toxic < rows_in:
+            return F.lit(False)
+        p = toxic / rows_in
+        gain = 2 * (part(k, n * p) + part(n - k, n * (1 - p)))
+        return (n > 0) & (k > n * p) & (gain >= 2 * math.log(max(tried[i], 1)) + 2)
+
+    named = sums.select("*", *(passes(i).alias(f"p{i}") for i in range(len(sides))))
+    found = named.where(" OR ".join(f"p{i}" for i in range(len(sides)))).orderBy("term").collect()
+    out = []
+    for i, side in enumerate(sides):
+        own = {w: 1.0 for w in SEEDS}
+        for r in found:
+            if r[f"p{i}"]:
+                k, n, p = sum(r[f"k{f}"] for f in side), sum(r[f"n{f}"] for f in side), shares[i][0] / shares[i][1]
+                odds = math.log((k + 0.5) / (n - k + 0.5)) - math.log(p / (1 - p))
+                if odds > 1.0:
+                    own[r["term"]] = odds
+        out.append(own)
     return out
 
 
-def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str], kinds: str) -> DataFrame:
+def _featured(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """fold, y, x: the features by each lexicon, one after another."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Lexicon(lexicon)
-        for frame in frames:
-            out = frame[keep].copy()
-            out["x"] = [features(t, own) for t in frame["text"]]
+        each = [Lexicon(x) for x in lexicons]
+        for frame in slices(frames):
+            out = frame[["fold", "y"]].copy()
+            out["x"] = [[v for own in each for v in features(t, own)] for t in frame["text"]]
             yield out
 
-    return rows.mapInPandas(run, f"{kinds}, x array<double>")
+    return rows.mapInPandas(run, "fold int, y int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRAIN) -> Model:
     """Learn from labels (doc_id, toxic) of docs."""
-    bounded_arrow(docs.sparkSession)
-    rows = written(_training_rows(docs, labels, text, limit), "sample", FEW)  # looked at several times, the corpus once
-    lexicon = learn_lexicon(rows)
-    got = _featured(rows, lexicon, ["y"], "y int").toPandas()  # at most `limit` rows of WIDTH numbers
-    x = np.array(got["x"].tolist(), dtype=float).reshape(-1, WIDTH)
-    y = got["y"].to_numpy(dtype=float)
-    order = np.lexsort((*x.T, y))  # the same model whatever the order of arrival
-    x, y = x[order], y[order]
-    fold = np.arange(len(y)) % FOLDS
+    rows = written(_training_rows(docs, labels, text, limit), "sample")  # looked at several times, the corpus once
+    lexicons = learn_lexicons(rows)
+    got = _featured(rows, lexicons).toPandas()  # at most `limit` rows of WIDTH numbers for each lexicon
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), FOLDS + 1, WIDTH)
+    y, fold = got["y"].to_numpy(dtype=float), got["fold"].to_numpy()
+    order = np.lexsort((*x[:, FOLDS].T, fold, y))  # the same model whatever the order of arrival
+    x, y, fold = x[order], y[order], fold[order]
     held = np.zeros(len(y))
     for k in range(FOLDS):
-        held[fold == k] = boosting.fit(x[fold != k], y[fold != k]).log_odds(x[fold == k])
-    return Model(lexicon, boosting.fit(x, y), boosting.calibrate(held, y))
+        own = x[:, k]
+        held[fold == k] = boosting.fit(own[fold != k], y[fold != k]).log_odds(own[fold == k])
+    return Model(lexicons[FOLDS], boosting.fit(x[:, FOLDS], y), boosting.calibrate(held, y))
 
 
 def score(model: Model, docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns (an own `score` is replaced) and score double."""
-    bounded_arrow(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         own = run_lexicon(model)
-        x = np.array([features(t, own) for t in texts], dtype=float).reshape(-1, WIDTH)
-        return pd.Series(model.score(x))
+        parts = [np.zeros(0)]
+        for part in slices([pa.RecordBatch.from_arrays([texts], names=["t"])]):
+            parts.append(model.score(np.array([features(t, own) for t in part.column(0).to_pylist()], dtype=float).reshape(-1, WIDTH)))
+        return pa.array(np.concatenate(parts), pa.float64())
 
     return docs.withColumn("score", run(text_of(docs, text)))
 

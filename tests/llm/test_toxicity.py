@@ -58,3 +58,27 @@ def test_boosting_and_calibration_learn_a_rule():
     grid = scale(np.linspace(-10, 10, 200))
     assert (np.diff(grid) >= 0).all() and grid.min() >= 0 and grid.max() <= 1
     assert boosting.calibrate(np.zeros(4), np.array([0, 1, 1, 1.0]))(np.zeros(1))[0] == 0.75
+
+
+def test_at_most_so_many_documents_are_learned_from_and_only_such_as_are_there(spark, make_docs):
+    docs = make_docs(["you idiot", "other text"], [7, 8]).selectExpr("explode(sequence(1, 500)) AS k", "*").unionByName(make_docs([f"text {i}" for i in range(60)], list(range(100, 160))).selectExpr("1 AS k", "*"))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (7, 0), (8, 0), *((i, i % 2) for i in range(100, 400))], "doc_id long, toxic int")
+    rows = toxicity._training_rows(docs, labels, "text", 50).collect()
+    assert len(rows) == 50  # absent documents take no place, repeated rows take one
+    every = toxicity._training_rows(docs, labels, "text", 1000).collect()
+    assert len(every) == 62 and [(r.y, r.text) for r in every if "idiot" in r.text] == [(1, "you idiot")]
+
+
+def test_a_fold_s_lexicon_does_not_know_the_fold(spark):
+    rows = [(f, y, f"zyx{f} common" if y else "common words") for f in range(toxicity.FOLDS) for y in (0, 1) for _ in range(60)]
+    own = toxicity.learn_lexicons(spark.createDataFrame(rows, "fold int, y int, text string"))
+    assert len(own) == toxicity.FOLDS + 1
+    for f in range(toxicity.FOLDS):
+        assert f"zyx{f}" not in own[f] and all(f"zyx{g}" in own[f] for g in range(toxicity.FOLDS) if g != f)
+        assert f"zyx{f}" in own[-1]
+
+
+def test_clashing_names_of_the_result(spark, make_docs):
+    docs = make_docs(["a", "b"]).selectExpr("*", "'x' AS predicted", "'y' AS held_out", "'z' AS score", "3 AS y")
+    got = toxicity.op4(docs, spark.createDataFrame([(0, 1)], "doc_id long, toxic int").selectExpr("*", "'q' AS text"))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 2
