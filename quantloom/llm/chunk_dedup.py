@@ -11,7 +11,9 @@ task; its members are joined back to the group by a join whose both sides are sh
 
 Null texts count as empty; all empty texts (also those of white space only) are equal to each other. Of equal texts
 the longest original stays, ties to the smallest doc_id (a null doc_id last). Rows that repeat a whole row form one
-group, and one of them (the first read) is kept. Extra columns are carried, except those named like results.
+group, and one of them (the first by the number that rows get as they are written) is kept. Very long texts are chunked
+whole; a recipe has some 16 bytes for each few hundred characters. An empty table gives no rows. Extra columns are
+carried, except those named like results.
 """
 
 from __future__ import annotations
@@ -65,14 +67,16 @@ def recipes(docs: DataFrame, text: str = "text") -> DataFrame:
     doubled = written(_shared_identifiers(cut), "doubled")
     listed = F.transform("_chunks", lambda c: identifier(c))
     if not doubled.isEmpty():
-        # Rare: number the contents of each doubled identifier, and give the documents that hold one these numbers.
+        # Rare: number the contents of each doubled identifier, and give the documents that hold one these numbers. The rows
+        # are written with numbers of their own first, as these have to be the same in both looks at them.
         ids = identifier(F.col("chunk"))
-        every = cut.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode("_chunks").alias("pos", "chunk"))
+        cut = written(cut.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        every = cut.select("_row", F.posexplode("_chunks").alias("pos", "chunk"))
         held = every.withColumn("i", ids).select("_row", "pos", "chunk", "i.a", "i.b").join(doubled, ["a", "b"], "left_semi")
         contents = held.select("a", "b", "chunk").distinct()
         lower = contents.alias("x").join(contents.alias("y"), ["a", "b"]).where("y.chunk <= x.chunk").groupBy("a", "b", "x.chunk").agg(F.count(F.lit(1)).cast("int").alias("n"))
         numbers = held.join(lower, ["a", "b", "chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("_numbers"))
-        cut = cut.withColumn("_row", F.monotonically_increasing_id()).join(written(numbers, "numbers"), "_row", "left").drop("_row")
+        cut = cut.join(written(numbers, "numbers"), "_row", "left").drop("_row")
         listed = F.transform("_chunks", lambda c, p: identifier(c, F.coalesce(F.try_element_at("_numbers", p), F.lit(0))))
     out = cut.select(*keep, "_n_cp", F.sha2(F.col("_text"), 256).alias("text_sha256"), listed.alias("_recipe")).withColumn("_row", F.monotonically_increasing_id())
     return written(out, "recipes")
