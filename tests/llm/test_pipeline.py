@@ -40,6 +40,24 @@ def test_repeated_rows_null_ids_and_extra_columns(spark, make_docs):
     assert sorted((r.text or "") for r in docs.collect()) == ["", "[SECRET]", "one  text here"]
 
 
+def test_rows_that_share_an_id_but_not_their_text_stay(spark, make_docs):
+    one, two = " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    docs = make_docs([one, one + " end", two, two, one + "  end"], [3, 5, 5, 5, 9])
+    for name in ("exact_dedup", "near_dedup"):
+        docs = written(dict(corpus_pipeline.STAGES)[name](spark, docs, DIR))
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(3, one), (5, two)]
+
+
+def test_the_run_leaves_only_what_its_result_reads(spark):
+    import pathlib
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, DIR)
+    left = sorted(p.name.split("-")[1] for p in set(shared.iterdir()) - before)
+    assert left == ["pieces", "secrets"] and out.count() > 0
+
+
 def test_empty(spark, make_docs):
     docs = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
