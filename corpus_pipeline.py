@@ -6,17 +6,21 @@
 4. secrets (9): every span found is replaced by a mark; n_chars follows. No document goes.
 5. packing (5): the rows of the packed pieces, as the packing operator gives them.
 
-Stages 1 to 4 return the columns they were given. Rows with a null id are judged by their text alone, and never linked as near
-duplicates. Of rows that repeat an id and its text one stays. An empty table gives an empty table at each stage.
+Stages 1 to 4 return the columns they were given. Rows are judged by their text, each by itself: rows that repeat an id
+with other texts stay or go as other documents do, of rows that repeat an id and its text one stays. Rows with a null id
+are never linked as near duplicates. Null and empty texts are not toxic, equal to each other in stage 2, and pack as an
+end token. Very long texts are read whole. An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import chunk_dedup, near_dup, packing, secret_scan, toxicity
-from quantloom.llm.common import table, written
+from quantloom.llm.common import remove, saved, scratch, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +31,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _nr, a number of the row. Written, so that the numbers are the same wherever they are read."""
+    return written(docs.withColumn("_nr", F.monotonically_increasing_id()), "numbered")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Numbered, so that one of several rows that repeat an id can go; a scan of written files numbers rows alike each time.
-    rows = docs.withColumn("_nr", F.monotonically_increasing_id())
+    rows = numbered(docs)
     dropped = written(chunk_dedup.dedup(rows.select("_nr", "doc_id", "text")).where("NOT kept").select("_nr"), "dropped")
-    return rows.join(dropped, "_nr", "left_anti").drop("_nr")
+    return rows.join(dropped, "_nr", "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = written(near_dup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    dropped = written(near_dup.near_duplicates(rows, row="_nr").where("NOT kept").select(F.col("row").alias("_nr")), "dropped")
+    return rows.join(dropped, "_nr", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the documents are written and read again."""
+    """All stages over documents; between stages the documents are written and read again. What a stage has put down for
+    itself goes once its result is written, and that once the next stage's is."""
     docs = table(spark, sf_dir, "documents")
+    done: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch():
+            df = stage(spark, docs, sf_dir)
+            docs, path = saved(df, name)
+        done.append(path)
+        atexit.register(remove, spark, path)
+        for old in done[:-1]:
+            remove(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
