@@ -95,3 +95,11 @@ def test_numbered_rows_of_a_shuffled_table(make_docs):
     docs = make_docs(texts).repartition(5).withColumn("more", F.lit(1))
     rows = bpe.decode(bpe.encode(docs, chunk=300, overlap=40)).collect()
     assert {r.doc_id: bytes(r.bytes).decode() for r in rows} == dict(enumerate(texts)) and len(rows) == 40 and rows[0].more == 1
+
+
+def test_the_possessive_pattern_matches_as_the_given_one_does():
+    own = random.Random(9)
+    given = tokens.regex.compile(tokens.public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(own.choice("ab's'tre'vell'd 1٣²é漢_-.\u00a0\n\t ") for _ in range(own.randrange(0, 40)))
+        assert given.findall(text) == tokens.pattern().findall(text)
