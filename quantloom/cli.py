@@ -12,7 +12,6 @@ import sys
 import time
 from collections.abc import Sequence
 from dataclasses import fields
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -128,7 +127,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     except FileNotFoundError as missing:
         log.error("%s", missing)
         return 1
-    own.result.sim = own.result.sim.persist()
+    try:
+        return report(spark, args, own, p, mean, began)
+    finally:
+        own.release()
+
+
+def report(spark: SparkSession, args: argparse.Namespace, own: WalkForward, p: Params, mean: float | None, began: float) -> int:
+    """What is said and written of a run."""
+    own.result.keep()
     portfolio = own.result.portfolio
     if portfolio.isEmpty():
         log.warning("no trades: too few pairs or too little data")
@@ -137,17 +144,17 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     log.info("net: mean %.4f, deviation %.4f, Sharpe %s, drawdown %.4f", row["ann_mu"], row["ann_sd"] or 0.0, row["sharpe"], row["max_drawdown"])
     log.info("gross: mean %.4f, Sharpe %s; %s to %s; %s pairs, %s trips", row["ann_mu_gross"], row["sharpe_gross"], row["first_date"], row["last_date"], row["unique_pairs"], row["total_round_trips"])
     if args.out_dir:
-        Path(args.out_dir).mkdir(parents=True, exist_ok=True)
         sinks.write_pnl(portfolio, args.out_dir)
         sinks.write_pairs(own.result.segment_pairs, args.out_dir)
         sinks.write_chart(portfolio, args.out_dir, f"Equity: method {args.method}, refit {args.refit}, top {args.top_k}")
         values = metric_values(args, p, row, mean)
-        sinks.write_metrics(values, args.out_dir)
-        if not sinks.append_log(values, str(Path(args.out_dir).parent / "EXPERIMENTS.md"), Path(args.out_dir).name):
+        sinks.write_metrics(spark, values, args.out_dir)
+        above, _, run_id = args.out_dir.rstrip("/").rpartition("/")
+        if not sinks.append_log(spark, values, f"{above}/EXPERIMENTS.md" if above else "EXPERIMENTS.md", run_id):
             log.warning("the research log could not be written")
     if args.log_file:
         keys = ("ann_mu", "ann_sd", "sharpe", "max_drawdown")
-        sinks.append_line({"method": args.method, "start": row["first_date"], "end": row["last_date"], "top_k": args.top_k, "refit": args.refit} | {k: row[k] for k in keys}, args.log_file)
+        sinks.append_line(spark, {"method": args.method, "start": row["first_date"], "end": row["last_date"], "top_k": args.top_k, "refit": args.refit} | {k: row[k] for k in keys}, args.log_file)
     log.info("done in %.1f s", time.time() - began)
     return 0
 

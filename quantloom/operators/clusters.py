@@ -154,8 +154,8 @@ def dbscan(distance: np.ndarray, radius: float, least: int) -> np.ndarray:
     return own
 
 
-def optics(distance: np.ndarray, least: int, xi: float) -> np.ndarray:
-    """Reachability order; a cluster ends where reachability rises by more than the share xi and falls again after."""
+def reachability(distance: np.ndarray, least: int) -> tuple[list[int], np.ndarray]:
+    """The order in which density reaches the points, and each point's reachability in that order (Ankerst et al., 1999)."""
     n = len(distance)
     core = np.sort(distance, axis=1)[:, min(least, n) - 1]
     reach, done, order = np.full(n, np.inf), np.zeros(n, dtype=bool), []
@@ -164,29 +164,83 @@ def optics(distance: np.ndarray, least: int, xi: float) -> np.ndarray:
         done[i] = True
         order.append(i)
         reach = np.where(done, reach, np.minimum(reach, np.maximum(core[i], distance[i])))
-    own, k, size = np.full(n, -1), -1, 0
-    for at, i in enumerate(order):
-        nxt = reach[order[at + 1]] if at + 1 < n else np.inf
-        if reach[i] > core[i] * (1 + xi) * 1.5 or not np.isfinite(reach[i]):
-            k, size = k + 1, 0
-        own[i], size = k, size + 1
-        if nxt == np.inf:
-            break
-    counts = np.bincount(own[own >= 0], minlength=k + 1) if k >= 0 else np.zeros(0)
-    return np.array([c if c >= 0 and counts[c] >= 2 else -1 for c in own])
+    return order, reach[order]
+
+
+def steep_areas(r: np.ndarray, xi: float, least: int, down: bool) -> list[tuple[int, int]]:
+    """Maximal stretches (first, last) of a reachability plot that begin and end with a fall (or rise) by the share xi, go
+    only one way, and hold no `least` neighbours that are not steep."""
+    lo, hi = (r[1:], r[:-1]) if down else (r[:-1], r[1:])
+    steep = lo <= hi * (1 - xi)
+    goes = lo <= hi
+    out, at, n = [], 0, len(steep)
+    while at < n:
+        if not steep[at]:
+            at += 1
+            continue
+        last, flat, k = at, 0, at + 1
+        while k < n and goes[k] and flat < least:
+            flat = 0 if steep[k] else flat + 1
+            last = k if steep[k] else last
+            k += 1
+        out.append((at, last))
+        at = last + 1
+    return out
+
+
+def optics(distance: np.ndarray, least: int, xi: float) -> np.ndarray:
+    """Clusters of the reachability plot by the xi method: between a steep fall and a later steep rise of which neither is
+    passed by what lies between, trimmed to equal height at both ends. Of clusters within clusters the innermost count;
+    points in none are -1."""
+    order, reach = reachability(distance, least)
+    n = len(order)
+    r = np.append(reach, np.inf)
+    falls, rises = steep_areas(r, xi, least, True), steep_areas(r, xi, least, False)
+    found: list[tuple[int, int]] = []
+    for up, top in rises:
+        for first, bottom in falls:
+            if bottom >= up:
+                break
+            inside = r[bottom + 1 : up + 1].max()  # the highest between the two areas
+            if inside > r[first] * (1 - xi) or inside > r[top + 1] * (1 - xi):
+                continue
+            start, end = first, top
+            if r[first] * (1 - xi) >= r[top + 1]:  # the fall begins higher: cut it at the height of the rise's end
+                start = max(k for k in range(first, bottom + 1) if r[k] > r[top + 1] or k == first)
+            elif r[top + 1] * (1 - xi) >= r[first]:  # the rise ends higher: cut it at the height of the fall's begin
+                end = min(k for k in range(up, top + 1) if r[k + 1] >= r[first] or k == top)
+            if end - start + 1 >= least:
+                found.append((start, end))
+    own, k = np.full(n, -1), 0
+    for start, end in sorted(found, key=lambda c: (c[1] - c[0], c)):
+        if (own[start : end + 1] < 0).all():
+            own[start : end + 1] = k
+            k += 1
+    out = np.full(n, -1)
+    out[order] = own
+    return out
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
-    groups = [[i] for i in range(len(distance))]
-    while len(groups) > 1:
-        d, i, j = min((distance[np.ix_(groups[i], groups[j])].mean(), i, j) for i, j in itertools.combinations(range(len(groups)), 2))
-        if d > threshold:
+    """Groups merged by mean distance up to the threshold. A merge changes one row of the means, so it costs a look at the
+    table and not at all pairs of members."""
+    n = len(distance)
+    d = distance.astype(float).copy()
+    d[np.tril_indices(n)] = np.inf  # row before column, as ties go to the first
+    mean, size, group = distance.astype(float).copy(), np.ones(n), np.arange(n)
+    while n > 1:
+        i, j = divmod(int(d.argmin()), n)
+        if not d[i, j] <= threshold:
             break
-        groups[i] += groups.pop(j)
-    own = np.zeros(len(distance), dtype=int)
-    for k, g in enumerate(sorted(groups, key=min)):
-        own[g] = k
-    return own
+        mean[i] = mean[:, i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        group[group == j] = i
+        d[j], d[:, j] = np.inf, np.inf
+        free = np.isfinite(d[i, i + 1 :])
+        d[i, i + 1 :][free] = mean[i, i + 1 :][free]
+        free = np.isfinite(d[:i, i])
+        d[:i, i][free] = mean[:i, i][free]
+    return np.unique(group, return_inverse=True)[1]
 
 
 def cluster(x: np.ndarray, factors: np.ndarray, control: np.ndarray, logs: np.ndarray, p: ClusterParams) -> np.ndarray:
@@ -284,7 +338,8 @@ def rand_index(a: dict, b: dict) -> float:
 
 def freeze(labels: DataFrame, threshold: float) -> DataFrame:
     """Labels held from the refit date before while they agree with the new ones: a pass over one small vector for each
-    refit date (universe times refit dates names in all)."""
+    refit date (universe times refit dates names in all). A ticker that is new to a labelling that is held has no label in
+    it, and gets none until the next one is taken: the rejected labelling's numbers mean nothing in the one held."""
     spark = labels.sparkSession
     rows = labels.toPandas()
     held: dict[str, int] | None = None
@@ -293,10 +348,18 @@ def freeze(labels: DataFrame, threshold: float) -> DataFrame:
         new = dict(zip(own["ticker"], own["cluster"]))
         if held is None or rand_index(held, new) < threshold:
             held = new
-        out += [(int(segment), date, t, int(held.get(t, new[t]))) for t in new]
+        out += [(int(segment), date, t, int(held[t])) for t in new if t in held]
     return spark.createDataFrame(out, "segment_id int, refit_date date, ticker string, cluster int")
 
 
+def at_refit(labels: DataFrame, segments: DataFrame) -> DataFrame:
+    """labels, once it is sure that every refit date has some: KeyError names the first that has none."""
+    missing = segments.join(labels.select("segment_id").distinct(), "segment_id", "left_anti").select("d0").orderBy("d0").first()
+    if missing is not None:
+        raise KeyError(f"no labels at the refit date {missing['d0']}")
+    return labels
+
+
 def best_assignment(gain: np.ndarray) -> float:
     """The largest sum of one entry in each row and column (shortest augmenting paths)."""
     n = max(gain.shape)

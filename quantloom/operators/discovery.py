@@ -8,6 +8,8 @@ runs on the driver over the few candidates that passed, at most cluster_cap for
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,22 +42,38 @@ def candidates(labels: DataFrame) -> DataFrame:
     return x.join(y, ["segment_id", "cluster"]).where("a < b")
 
 
-def formation_rows(aligned: DataFrame, days: DataFrame, segments: DataFrame, formation: int) -> DataFrame:
-    """aligned rows in each segment's formation window: the `formation` calendar rows up to d0, inclusive."""
+def formation_rows(aligned: DataFrame, days: DataFrame, segments: DataFrame, formation: int, pairs: DataFrame | None = None) -> DataFrame:
+    """aligned rows in each segment's formation window: the `formation` calendar rows up to d0, inclusive; with pairs, only
+    of the pairs of each segment, whose list meets the dates before it meets the prices."""
     end = segments.join(days.select(F.col("date").alias("d0"), F.col("rn").alias("rn0")), "d0").select("segment_id", "rn0")
     span = end.select("segment_id", F.explode(F.sequence(F.greatest(F.col("rn0") - formation + 1, F.lit(0)), "rn0")).alias("rn"), "rn0")
     dates = span.join(days, "rn").select("segment_id", "date", (F.col("rn0") - F.col("rn")).alias("age"))
-    return aligned.join(dates, "date")
+    if pairs is None:
+        return aligned.join(dates, "date")
+    return aligned.join(dates.join(pairs.select("segment_id", "a", "b").distinct(), "segment_id"), ["a", "b", "date"])
+
+
+def _correlation() -> Column:
+    """Of the returns of the last CORR_ROWS calendar rows, null where a side is constant."""
+    recent = F.col("age") < CORR_ROWS
+    x, y = F.when(recent & F.col("rb").isNotNull(), F.col("ra")), F.when(recent & F.col("ra").isNotNull(), F.col("rb"))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
+def most_correlated(rows: DataFrame, pairs: DataFrame, f: Filters) -> DataFrame:
+    """Of the pairs (segment_id, cluster, a, b) the cluster_cap most correlated of each cluster: one aggregate of the last
+    CORR_ROWS rows, before anything longer is looked at."""
+    corr = rows.where(F.col("age") < CORR_ROWS).groupBy("segment_id", "a", "b").agg(_correlation().alias("corr63"))
+    own = pairs.join(corr, ["segment_id", "a", "b"])
+    by_corr = Window.partitionBy("segment_id", "cluster").orderBy(F.desc_nulls_last(F.round("corr63", 9)), "a", "b")
+    return own.withColumn("corr_rank", F.row_number().over(by_corr)).where(F.col("corr_rank") <= f.cluster_cap).drop("corr63")
 
 
 def formation_stats(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each (segment_id, a, b) of pairs: corr63, beta, alpha, adf (t statistic), half_life, n."""
     keys = ["segment_id", "a", "b"]
-    own = rows.join(pairs.select(*keys).distinct(), keys)
-    recent = F.col("age") < CORR_ROWS
-    x, y = F.when(recent & F.col("rb").isNotNull(), F.col("ra")), F.when(recent & F.col("ra").isNotNull(), F.col("rb"))
-    corr = F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
-    level = own.groupBy(*keys).agg(F.regr_slope("pa", "pb").alias("beta"), F.regr_intercept("pa", "pb").alias("alpha"), corr.alias("corr63"))
+    own = rows.join(pairs.select(*keys).distinct(), keys, "left_semi")
+    level = own.groupBy(*keys).agg(F.regr_slope("pa", "pb").alias("beta"), F.regr_intercept("pa", "pb").alias("alpha"), _correlation().alias("corr63"))
     own = own.join(level, keys).withColumn("e", F.col("pa") - F.col("beta") * F.col("pb") - F.col("alpha"))
     own = own.withColumn("e1", F.lag("e").over(Window.partitionBy(*keys).orderBy("date"))).withColumn("de", F.col("e") - F.col("e1"))
     n = F.count("de")
@@ -77,51 +95,65 @@ def judged(stats: DataFrame, f: Filters) -> DataFrame:
     return stats.withColumn("passes", F.coalesce(new, false)).withColumn("passes_held", F.coalesce(held, false))
 
 
-def ranked(stats: DataFrame, pairs: DataFrame, f: Filters) -> DataFrame:
-    """Per cluster the cluster_cap most correlated candidates, then rank among those that pass: by the test, then name."""
+def ranked(stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """stats with the clusters of pairs, and pair_rank: the order of each cluster's pairs, those that pass before the
+    others, then by the test, then by name."""
     own = stats.join(pairs, ["segment_id", "a", "b"])
-    by_corr = Window.partitionBy("segment_id", "cluster").orderBy(F.desc_nulls_last(F.round("corr63", 9)), "a", "b")
-    own = own.withColumn("corr_rank", F.row_number().over(by_corr)).where(F.col("corr_rank") <= f.cluster_cap)
     by_test = Window.partitionBy("segment_id", "cluster").orderBy(F.desc("passes"), F.asc_nulls_last(F.round("adf", 9)), "a", "b")
     return own.withColumn("pair_rank", F.row_number().over(by_test))
 
 
+def ranking(aligned: DataFrame, days: DataFrame, segments: DataFrame, pairs: DataFrame, f: Filters, adjust: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The ranked candidates of every segment: correlation first, and the regression and residual test only for the pairs
+    that the cap leaves. adjust: what is done to formation rows before they are looked at; it needs whole windows."""
+    rows = lambda own, n: formation_rows(aligned, days, segments, n, own)
+    best = most_correlated(adjust(rows(pairs, f.formation)) if adjust else rows(pairs, min(f.formation, CORR_ROWS)), pairs, f)
+    formed = rows(best, f.formation)
+    return ranked(judged(formation_stats(adjust(formed) if adjust else formed, best), f), best)
+
+
 def top_pairs(ranking: DataFrame, f: Filters) -> DataFrame:
     return ranking.where(F.col("passes") & (F.col("pair_rank") <= f.top_k))
 
 
-def new_pair_cap(selected: DataFrame, top_k: int) -> DataFrame:
-    """selected: segment_id, a, b, maintenance, pair_rank. All pairs held over, and the first max(floor(m / 0.65 * 0.35)
-    + 1, top_k) new ones."""
-    m = F.sum(F.col("maintenance").cast("int")).over(Window.partitionBy("segment_id"))
-    cap = F.greatest(F.floor(m / F.lit(MAINTENANCE_SHARE) * F.lit(NEW_SHARE)) + 1, F.lit(top_k))
-    order = Window.partitionBy("segment_id", "maintenance").orderBy("pair_rank", "a", "b")
-    own = selected.withColumn("cap", cap.cast("int")).withColumn("_r", F.row_number().over(order))
-    return own.where(F.col("maintenance") | (F.col("_r") <= F.col("cap"))).drop("_r")
+def most_new(held: int, top_k: int) -> int:
+    """How many new pairs a segment may take beside so many held over."""
+    return max(int(held / MAINTENANCE_SHARE * NEW_SHARE) + 1, top_k)
+
+
+@dataclass
+class Walk:
+    """selected: the pairs traded in each segment: segment_id, d0, d1, a, b, beta, alpha, cluster, pair_rank, maintenance.
+    history: for each segment with pairs and each pair seen so far: segment_id, pair, passed (it is traded), passes (in the
+    last HISTORY such segments), held_over (it may stay in the next one by the looser test)."""
 
+    selected: DataFrame
+    history: DataFrame
 
-def walk(ranking: DataFrame, segment_table: DataFrame, f: Filters) -> DataFrame:
-    """The pairs traded in each segment: segment_id, d0, d1, a, b, beta, alpha, cluster, pair_rank, maintenance.
 
-    Segments are taken in order. A pair that passed in maint_passes of the last HISTORY segments with pairs, and passes
+def walk(ranking: DataFrame, segment_table: DataFrame, f: Filters) -> Walk:
+    """Segments are taken in order. A pair that passed in maint_passes of the last HISTORY segments with pairs, and passes
     the looser test, is held over beyond top_k; new ones follow under the cap. Segments without pairs leave no mark."""
     spark = ranking.sparkSession
+    # Names and numbers of the pairs that pass: at most cluster_cap for each cluster and segment.
     rows = ranking.where(F.col("passes") | F.col("passes_held")).select("segment_id", "cluster", "a", "b", "beta", "alpha", "passes", "passes_held", "pair_rank").toPandas()
     history: dict[tuple[str, str], list[bool]] = {}
     chosen: list[tuple] = []
+    seen: list[tuple] = []
     for segment, own in sorted(rows.groupby("segment_id"), key=lambda x: x[0]):
         held = {k for k, h in history.items() if sum(h) >= f.maint_passes}
         names = list(zip(own["a"], own["b"]))
         own = own.assign(maintenance=[bool(n in held and ok) for n, ok in zip(names, own["passes_held"])])
         new = own[~own["maintenance"] & own["passes"] & (own["pair_rank"] <= f.top_k)].sort_values(["pair_rank", "a", "b"])
         kept = own[own["maintenance"]].sort_values(["a", "b"])
-        most = max(int(len(kept) / MAINTENANCE_SHARE * NEW_SHARE) + 1, f.top_k)
-        book = pd.concat([kept, new.head(most)])
+        book = pd.concat([kept, new.head(most_new(len(kept), f.top_k))])
         if book.empty:
             continue
         chosen += [(int(segment), r.a, r.b, r.beta, r.alpha, int(r.cluster), int(r.pair_rank), bool(r.maintenance)) for r in book.itertuples()]
         now = set(zip(book["a"], book["b"]))
         for k in now | set(history):
             history[k] = [*history.get(k, []), k in now][-HISTORY:]
+        seen += [(int(segment), "|".join(k), k in now, sum(h), sum(h) >= f.maint_passes) for k, h in sorted(history.items())]
     schema = "segment_id int, a string, b string, beta double, alpha double, cluster int, pair_rank int, maintenance boolean"
-    return spark.createDataFrame(chosen, schema).join(segment_table, "segment_id")
+    selected = spark.createDataFrame(chosen, schema).join(segment_table, "segment_id")
+    return Walk(selected, spark.createDataFrame(seen, "segment_id int, pair string, passed boolean, passes long, held_over boolean"))

@@ -7,38 +7,52 @@ segments. After the legs are joined, one exchange and one sort by (a, b, date) s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.rolling import by, gated, rolling_mean, rolling_std, trailing
+from quantloom.operators import calendar
 from quantloom.params import ADV_WINDOW, Params
 
+PAIR = ("a", "b")
+
 
 def capped(df: DataFrame, end: str | None) -> DataFrame:
     """Rows up to the end date, inclusive: pushed below every window, to the scan."""
     return df.where(F.col("date") <= F.lit(end).cast("date")) if end else df
 
 
+def over_days(key: str, n: int):
+    """The rows of the last n days of the calendar (column rn): a day on which the key has no row counts as missing."""
+    return Window.partitionBy(key).orderBy("rn").rangeBetween(-(n - 1), 0)
+
+
 def ticker_features(prices: DataFrame, adv_window: int = ADV_WINDOW) -> DataFrame:
-    """Adds lp (log price, null unless positive), ret (change from the last known close) and adv (mean dollar volume)."""
+    """Adds lp (log price, null unless positive), ret (change from the last known close) and adv (mean dollar volume of the
+    last adv_window days of the calendar of all tickers, null unless it is known on each)."""
     w = by("ticker")
     last = F.last("close", ignorenulls=True).over(w.rowsBetween(-(2**31), -1))
     filled = F.coalesce("close", last)
-    own = prices.withColumn("lp", F.when(F.col("close") > 0, F.log("close"))).withColumn("ret", F.try_divide(filled, F.nullif(last, F.lit(0.0))) - 1)
+    own = prices.join(calendar.calendar(prices), "date")
+    own = own.withColumn("lp", F.when(F.col("close") > 0, F.log("close"))).withColumn("ret", F.try_divide(filled, F.nullif(last, F.lit(0.0))) - 1)
     own = own.withColumn("dollars", F.col("close") * F.col("volume"))
-    return own.withColumn("adv", rolling_mean("dollars", w, adv_window)).drop("dollars")
+    over = over_days("ticker", adv_window)
+    return own.withColumn("adv", gated(F.avg("dollars"), over, adv_window, "dollars")).drop("dollars", "rn")
 
 
 def factor_zscore(factors: DataFrame, window: int = 252, least: int = 63) -> DataFrame:
-    """Adds z: the last value against its window; 0 where it or the window is missing."""
-    over = trailing(by("factor"), window)
+    """Adds z: the last value against its window of calendar days; 0 where it or the window is missing."""
+    own = factors.join(calendar.calendar(factors), "date")
+    over = over_days("factor", window)
     z = (F.col("ret") - F.avg("ret").over(over)) / (F.stddev_samp("ret").over(over) + 1e-8)
-    return factors.withColumn("z", F.coalesce(F.when((F.count("ret").over(over) >= least) & F.col("ret").isNotNull(), z), F.lit(0.0)))
+    return own.withColumn("z", F.coalesce(F.when((F.count("ret").over(over) >= least) & F.col("ret").isNotNull(), z), F.lit(0.0))).drop("rn")
 
 
 def all_pairs(tickers: DataFrame) -> DataFrame:
-    """a, b of every two tickers, a < b: a list of names, no price rows."""
-    return tickers.select(F.col("ticker").alias("a")).join(tickers.select(F.col("ticker").alias("b")), F.col("a") < F.col("b"))
+    """a, b of every two tickers, a < b: unfolded from one sorted list of names, no price rows and no join."""
+    names = tickers.agg(F.array_sort(F.collect_set("ticker")).alias("names"))
+    each = names.select("names", F.posexplode("names").alias("i", "a"))
+    return each.select("a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
 
 
 def align(features: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -54,32 +68,35 @@ def align(features: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def long_enough(aligned: DataFrame, p: Params) -> DataFrame:
-    """Pairs with enough common rows, counted up to the end date."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
-    return aligned.withColumn("_n", n).where(F.col("_n") >= p.history_rows).drop("_n")
+    """Pairs that ever have enough common rows, with ready: the date from which on they have. A segment that ends before
+    that date does not trade the pair (see signals.segment_rows): what comes after a segment decides nothing in it."""
+    whole = Window.partitionBy(*PAIR)
+    own = aligned.withColumn("_n", F.row_number().over(whole.orderBy("date")))
+    return own.withColumn("ready", F.max(F.when(F.col("_n") == p.history_rows, F.col("date"))).over(whole)).where("ready IS NOT NULL").drop("_n")
 
 
 def rolling_ols(aligned: DataFrame, window: int) -> DataFrame:
     """Adds beta, alpha: least squares of pa on pb over the window; null before it is full, and over a constant leg."""
-    over = trailing(by("a", "b"), window)
+    over = trailing(by(*PAIR), window)
     fit = lambda f: gated(f("pa", "pb"), over, window, "pa")
     return aligned.withColumn("beta", fit(F.regr_slope)).withColumn("alpha", fit(F.regr_intercept))
 
 
-def spread(hedged: DataFrame) -> DataFrame:
-    return hedged.withColumn("s", F.col("pa") - (F.col("beta") * F.col("pb") + F.col("alpha")))
+def spread(hedged: DataFrame, a: Column | str = "pa", b: Column | str = "pb") -> DataFrame:
+    value = lambda x: F.col(x) if isinstance(x, str) else x
+    return hedged.withColumn("s", value(a) - (F.col("beta") * value(b) + F.col("alpha")))
 
 
-def zscore(spreads: DataFrame, window: int) -> DataFrame:
+def zscore(spreads: DataFrame, window: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Adds mu, sd (of the spreads before today) and z."""
-    w = by("a", "b")
+    w = by(*keys)
     own = spreads.withColumn("mu", rolling_mean("s", w, window, 1)).withColumn("sd", rolling_std("s", w, window, 1))
     return own.withColumn("z", F.try_divide(F.col("s") - F.col("mu"), F.col("sd")))
 
 
-def pair_returns(hedged: DataFrame, window: int) -> DataFrame:
+def pair_returns(hedged: DataFrame, window: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Adds beta1 (yesterday's beta), rp (return hedged with it) and sigma (its deviation up to yesterday)."""
-    w = by("a", "b")
+    w = by(*keys)
     own = hedged.withColumn("beta1", F.lag("beta").over(w)).withColumn("rp", F.col("ra") - F.col("beta1") * F.col("rb"))
     return own.withColumn("sigma", rolling_std("rp", w, window, 1))
 
@@ -90,15 +107,16 @@ def pair_features(aligned: DataFrame, p: Params) -> DataFrame:
     return zscore(own, p.roll_win).withColumn("unc", F.lit(None).cast("double"))
 
 
-def anchors(aligned: DataFrame, start: str) -> DataFrame:
-    """pa and pb divided by their value on the pair's last row before start, or its first row."""
-    before = F.col("date") < F.lit(start).cast("date")
-    at = aligned.groupBy("a", "b").agg(
-        F.coalesce(F.max_by("pa", F.when(before, F.col("date"))), F.min_by("pa", "date")).alias("na"),
-        F.coalesce(F.max_by("pb", F.when(before, F.col("date"))), F.min_by("pb", "date")).alias("nb"),
-    )
-    own = aligned.join(at, ["a", "b"])
-    return own.withColumn("pa", F.try_divide("pa", F.nullif("na", F.lit(0.0)))).withColumn("pb", F.try_divide("pb", F.nullif("nb", F.lit(0.0)))).drop("na", "nb")
+def with_anchors(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows: with d0. Adds na, nb: log prices on the last row before d0, else on the first; and qa, qb: the log prices
+    divided by them, null where that is 0."""
+    whole = Window.partitionBy(*keys)
+    before = F.when(F.col("date") < F.col("d0"), F.col("date"))
+    own = rows
+    for leg in ("a", "b"):
+        at = F.coalesce(F.max_by(f"p{leg}", before).over(whole), F.min_by(f"p{leg}", "date").over(whole))
+        own = own.withColumn(f"n{leg}", at).withColumn(f"q{leg}", F.try_divide(f"p{leg}", F.nullif(F.col(f"n{leg}"), F.lit(0.0))))
+    return own
 
 
 def vol_weight(features: DataFrame, p: Params) -> DataFrame:

@@ -1,7 +1,9 @@
 """The per-pair trading simulation as a fold over a segment's rows, in expressions only.
 
 Each (segment, a, b) group is at most a refit period long; its rows are gathered, sorted by date and folded. State kept
-from row to row: position, days held, days since exit, spread, beta and regime scale at entry, last weight, tallies.
+from row to row: position, days held, days since exit, spread, beta and regime scale at entry, last weight, tallies. An
+array that grows by a row is copied, so rows are folded in runs of RUN, and the runs' rows put together at the end: the
+work is in proportion to a segment's length as long as that is not many times RUN squared.
 """
 
 from __future__ import annotations
@@ -10,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.rolling import let
-from quantloom.params import BETA_DRIFT, YEAR, Params
+from quantloom.operators import costs
+from quantloom.params import BETA_DRIFT, Params
 
 FIELDS = ("date", "z", "zprev", "s", "beta1", "rp", "w", "imp", "brk", "blk", "rscale", "valid", "shut")
 _OUT = "array<struct<date:date,pnl:double,cost:double,pos:int>>"
+STATE = ("pos", "days", "since", "es", "eb", "er", "lw", "ls", "trips", "wins", "held")
+RUN = 32
 
 
 def _start(p: Params) -> Column:
@@ -25,7 +30,6 @@ def _start(p: Params) -> Column:
 
 
 def _step(p: Params):
-    bps = p.cost_bps / 1e4
     yes, no = F.lit(True), F.lit(False)
 
     def step(st: Column, x: Column) -> Column:
@@ -51,10 +55,10 @@ def _step(p: Params):
         )
 
         def settle(v: Column) -> Column:
-            entry = F.when(v["enter"] != 0, 2 * bps * v["ew"] + F.sqrt(v["ew"]) * x["imp"]).otherwise(0.0)
-            leave = F.when(v["out"], 2 * bps * v["size"] + F.sqrt(v["size"]) * x["imp"]).otherwise(0.0)
-            borrow = F.when(v["held"], F.lit(p.borrow_apr_bps / 1e4 / YEAR) * F.abs(v["size"])).otherwise(0.0) if p.borrow_apr_bps > 0 else F.lit(0.0)
-            cost = entry + leave + borrow
+            turn_of = lambda size: costs.explicit(size, p) + costs.impact(size, x["imp"])
+            entry = F.when(v["enter"] != 0, turn_of(v["ew"])).otherwise(0.0)
+            leave = F.when(v["out"], turn_of(v["size"])).otherwise(0.0)
+            cost = entry + leave + (F.when(v["held"], costs.borrow(v["size"], p)).otherwise(0.0) if p.borrow_apr_bps > 0 else F.lit(0.0))
             gain = F.when(v["held"], v["size"] * st["pos"] * x["rp"]).otherwise(0.0)
             won = v["out"] & F.coalesce((x["s"] - st["es"]) * st["pos"] * v["size"] > 0, no)
             inn = v["enter"] != 0
@@ -78,7 +82,7 @@ def _finish(p: Params):
         """With the force close, an open position ends on the last row: explicit cost only, by the last valid weight."""
         still = (st["pos"] != 0) if p.month_end_forceclose else F.lit(False)
         size = st["lw"] * st["er"]
-        cost = F.when(still, 2 * p.cost_bps / 1e4 * size).otherwise(0.0)
+        cost = F.when(still, costs.explicit(size, p)).otherwise(0.0)
         won = still & F.coalesce((st["ls"] - st["es"]) * st["pos"] * size > 0, F.lit(False))
         n = F.size(st["out"])
         out = F.transform(st["out"], lambda r, i: F.struct(r["date"].alias("date"), (r["pnl"] - F.when(i == n - 1, cost).otherwise(0.0)).alias("pnl"), (r["cost"] + F.when(i == n - 1, cost).otherwise(0.0)).alias("cost"), F.when((i == n - 1) & still, 0).otherwise(r["pos"]).alias("pos")))
@@ -93,8 +97,18 @@ def _finish(p: Params):
 def simulate(rows: DataFrame, p: Params) -> DataFrame:
     """One row for each (segment_id, a, b): trips, wins, held (days over all trips), out (date, pnl, cost, pos)."""
     gathered = rows.groupBy("segment_id", "a", "b").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("rows"))
-    folded = F.aggregate("rows", _start(p), _step(p), _finish(p))
-    return gathered.select("segment_id", "a", "b", folded.alias("f")).select("segment_id", "a", "b", "f.*")
+    start, step, finish = _start(p), _step(p), _finish(p)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / RUN).cast("int")), lambda i: F.slice("rows", i * RUN + 1, RUN))
+    gathered = gathered.select("segment_id", "a", "b", runs.alias("runs"))
+    none = F.array().cast(_OUT)
+    state = lambda st, out: F.struct(*[st[c].alias(c) for c in STATE], out.alias("out"))
+
+    def run(st: Column, part: Column) -> Column:
+        done = F.aggregate(part, state(st, none), step)
+        return let(done, lambda d: state(d, F.concat(st["out"], F.array(d["out"]))))
+
+    whole = F.aggregate("runs", state(start, F.array().cast(f"array<{_OUT}>")), run, lambda st: let(state(st, F.flatten(st["out"])), finish))
+    return gathered.select("segment_id", "a", "b", whole.alias("f")).select("segment_id", "a", "b", "f.*")
 
 
 def _moved() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.params import HISTORY, YEAR
+from quantloom.params import YEAR
 
 
 def portfolio_daily(daily: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def equity(portfolio: DataFrame) -> DataFrame:
     """Adds equity, equity_gross, peak (the first value is the first peak) and drawdown. The portfolio has a row a day
     and segment, so one ordered window is bounded by the calendar."""
     w = Window.orderBy("date", "segment_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = portfolio.withColumn("equity", F.sum("pnl").over(w)).withColumn("equity_gross", F.sum("pnl_gross").over(w))
+    own = with_defaults(portfolio).withColumn("equity", F.sum("pnl").over(w)).withColumn("equity_gross", F.sum("pnl_gross").over(w))
     own = own.withColumn("peak", F.max("equity").over(w))
     return own.withColumn("drawdown", F.col("equity") - F.col("peak"))
 
@@ -68,18 +68,3 @@ def pair_overlap(selected: DataFrame) -> DataFrame:
     shared = own.join(earlier, ["ord", "pair"], "left_semi").groupBy("ord").agg(F.count(F.lit(1)).alias("k"))
     out = size.where("ord > 1").join(shared, "ord", "left").join(order, "ord")
     return out.select("segment_id", F.col("n").alias("pairs"), F.coalesce("k", F.lit(0)).cast("long").alias("shared"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("overlap"))
-
-
-def pass_history(selected: DataFrame, history: int = HISTORY, required: int = 2) -> DataFrame:
-    """For each processed segment and each pair seen so far: passes in the last `history` processed segments, and whether
-    the pair would be held over to the next."""
-    own = selected.select("segment_id", F.concat_ws("|", "a", "b").alias("pair")).distinct()
-    order = own.select("segment_id").distinct().select("segment_id", F.row_number().over(Window.orderBy("segment_id")).alias("ord"))
-    first = own.join(order, "segment_id").groupBy("pair").agg(F.min("ord").alias("from_ord"))
-    # From its first pass on a pair has an entry in every processed segment: an equi join on the list of segments.
-    last = order.agg(F.max("ord").alias("last"))
-    grid = first.crossJoin(F.broadcast(last)).select("pair", F.explode(F.sequence("from_ord", "last")).alias("ord"))  # one row on the right
-    seen = own.join(order, "segment_id").select("pair", "ord", F.lit(1).alias("passed"))
-    own = grid.join(seen, ["pair", "ord"], "left").join(order, "ord").withColumn("passed", F.coalesce("passed", F.lit(0)))
-    w = Window.partitionBy("pair").orderBy("ord").rowsBetween(-(history - 1), 0)
-    return own.withColumn("passes", F.sum("passed").over(w)).select("segment_id", "pair", (F.col("passed") == 1).alias("passed"), "passes", (F.col("passes") >= required).alias("held_over"))

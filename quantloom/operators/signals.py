@@ -15,14 +15,21 @@ Z_DIGITS = 9
 
 def segment_rows(series: DataFrame, selected: DataFrame) -> DataFrame:
     """series of the selected pairs (segment_id, d0, d1, a, b) within [d0, d1], both ends included: a boundary date
-    belongs to two segments. Applied after all windows over history."""
-    own = selected.select("segment_id", "d0", "d1", "a", "b").distinct()
+    belongs to two segments. Applied after all windows over history. If series tells from which date on a pair has enough
+    history (ready), segments that end before it are left out; if it has several seeds of a pair, each segment gets its
+    own."""
+    keys = ["segment_id", "a", "b", *(["seed"] if "seed" in series.columns and "seed" in selected.columns else [])]
+    own = selected.select("d0", "d1", *keys).distinct()
     if "segment_id" in series.columns:
-        rows = series.join(own, ["segment_id", "a", "b"])
-        return rows.where((F.col("date") >= F.col("d0")) & (F.col("date") <= F.col("d1"))).drop("d0", "d1")
-    # The range join as an equi join: a row meets the one or two segments of its date before the pairs, not all of them.
-    spans = own.select("segment_id", "d0", "d1").distinct().select("segment_id", F.explode(F.sequence("d0", "d1")).alias("date"))
-    return series.join(spans, "date").join(own.select("segment_id", "a", "b"), ["segment_id", "a", "b"], "left_semi")
+        rows = series.join(own, keys)
+        rows = rows.where((F.col("date") >= F.col("d0")) & (F.col("date") <= F.col("d1")))
+    else:
+        # The range join as an equi join: a row meets the one or two segments of its date before the pairs, not all of them.
+        spans = own.select("segment_id", "d0", "d1").distinct().select("segment_id", "d1", F.explode(F.sequence("d0", "d1")).alias("date"))
+        rows = series.join(spans, "date").join(own.select(*keys), keys, "left_semi")
+    if "ready" in series.columns:
+        rows = rows.where(F.col("ready") <= F.col("d1")).drop("ready")
+    return rows.drop("d0", "d1", "seed")
 
 
 def corr_break(rows: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Outputs of a run: daily series and pairs as CSV, metrics as JSON, an equity chart, a research log and a summary line."""
+"""Outputs of a run: daily series and pairs as CSV, metrics as JSON, an equity chart, a research log and a summary line.
+All go through the file systems that Spark knows, so one output folder is one place, on a cluster too."""
 
 from __future__ import annotations
 
 import datetime
 import importlib.util
+import io
 import json
 import math
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import metrics
@@ -22,6 +24,35 @@ def plain(v: Any) -> Any:
     return v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, replaced if it is there; its folders are made."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's content, empty if it is not there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return b""
+    stream = system.open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def append(spark: SparkSession, path: str, text: str) -> None:
+    """Text at the end of a log, which is written anew: not every file system can add to a file."""
+    write_bytes(spark, path, read_bytes(spark, path) + text.encode())
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One CSV file with a header under path. Only for results bounded by the calendar or the list of pairs."""
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -60,7 +91,7 @@ def write_chart(portfolio: DataFrame, out_dir: str, title: str) -> str:
     """equity.png where matplotlib is there, else the same lines as equity.svg."""
     points = equity_points(portfolio)
     if importlib.util.find_spec("matplotlib") is None:
-        Path(out_dir, "equity.svg").write_text(equity_svg(points, title), encoding="utf-8")
+        write_bytes(portfolio.sparkSession, f"{out_dir}/equity.svg", equity_svg(points, title).encode())
         return "equity.svg"
     import matplotlib
 
@@ -73,28 +104,27 @@ def write_chart(portfolio: DataFrame, out_dir: str, title: str) -> str:
     axes.axhline(0, color="gray", linewidth=0.5)
     axes.set_title(title)
     axes.legend()
-    figure.savefig(Path(out_dir, "equity.png"), dpi=150)
+    image = io.BytesIO()
+    figure.savefig(image, dpi=150, format="png")
     pyplot.close(figure)
+    write_bytes(portfolio.sparkSession, f"{out_dir}/equity.png", image.getvalue())
     return "equity.png"
 
 
-def write_metrics(values: dict[str, Any], out_dir: str) -> None:
-    Path(out_dir, "metrics.json").write_text(json.dumps({k: plain(v) for k, v in values.items()}, indent=2), encoding="utf-8")
+def write_metrics(spark: SparkSession, values: dict[str, Any], out_dir: str) -> None:
+    write_bytes(spark, f"{out_dir}/metrics.json", json.dumps({k: plain(v) for k, v in values.items()}, indent=2).encode())
 
 
-def append_line(values: dict[str, Any], path: str) -> None:
-    with open(path, "a", encoding="utf-8") as out:
-        out.write(json.dumps({k: plain(v) for k, v in values.items()}) + "\n")
+def append_line(spark: SparkSession, values: dict[str, Any], path: str) -> None:
+    append(spark, path, json.dumps({k: plain(v) for k, v in values.items()}) + "\n")
 
 
-def append_log(values: dict[str, Any], path: str, run: str) -> bool:
+def append_log(spark: SparkSession, values: dict[str, Any], path: str, run: str) -> bool:
     """A paragraph of a research log. A log that cannot be written does not spoil the run: returns False."""
     lines = [f"Date: {datetime.date.today()}", f"Run ID: {run}", *(f"{k}: {plain(v)}" for k, v in values.items()), "", "---", "", ""]
     try:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        with open(path, "a", encoding="utf-8") as out:
-            out.write("\n".join(lines))
-    except OSError:
+        append(spark, path, "\n".join(lines))
+    except Py4JJavaError:
         return False
     return True
 

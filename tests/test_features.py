@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import calendar, context, features, hedge
+from quantloom.operators import calendar, context, features, hedge, signals
 from quantloom.params import Params
+from quantloom.plans import walkforward
 from quantloom.sources import panels
 
 DAY = datetime.date(2021, 1, 4)
@@ -57,6 +58,34 @@ def test_gaps_bridge_returns_and_leave_the_pair_calendar(spark):
     assert sorted(r.date for r in aligned) == [days(4)[0], days(4)[2]]
 
 
+def test_absent_days_of_the_calendar_count_as_missing(spark):
+    """A ticker without rows on some days: its dollar volume needs every day of the calendar, its returns bridge the gap."""
+    rows = [(d, "A", 10.0 + i, 2.0) for i, d in enumerate(days(8)) if i != 3] + [(d, "B", 5.0, 1.0) for d in days(8)]
+    own = features.ticker_features(panels.prices(spark.createDataFrame(rows, "date date, ticker string, close double, volume double")), adv_window=3)
+    got = {r.date: r for r in own.where("ticker = 'A'").collect()}
+    assert [got[d].adv is not None for d in days(8) if d in got] == [False, False, True, False, False, True, True]
+    assert got[days(8)[4]].ret == pytest.approx(14 / 12 - 1) and got[days(8)[6]].adv == pytest.approx(2 * 15.0)
+    factors = spark.createDataFrame([(d, "X", float(i)) for i, d in enumerate(days(8)) if i % 2] + [(d, "Y", 1.0) for d in days(8)], "date date, factor string, ret double")
+    z = {r.date: r.z for r in features.factor_zscore(factors, 4, 2).where("factor = 'X'").collect()}
+    assert z[days(8)[7]] == pytest.approx((7 - 6) / (np.sqrt(2) + 1e-8)) and z[days(8)[1]] == 0.0
+
+
+def test_a_segment_sees_only_what_is_before_its_end(spark):
+    """The history gate and the filter's seed count rows up to the end of the segment."""
+    x, y = walk(5, 300), walk(6, 300)
+    prices = panel(spark, {"A": x, "B": y}, 1e5)
+    chosen = spark.createDataFrame([(0, days(300)[40], days(300)[70], "A", "B"), (1, days(300)[90], days(300)[110], "A", "B"), (2, days(300)[280], days(300)[299], "A", "B")], "segment_id int, d0 date, d1 date, a string, b string")
+    for p in (Params(), Params(freeze_beta=True), Params(use_kalman=True)):
+        series, seeded = walkforward.pair_series(prices, chosen, p)
+        assert sorted(r.segment_id for r in signals.segment_rows(series, seeded).select("segment_id").distinct().collect()) == [1, 2]  # 71 rows are less than 84
+    series, seeded = walkforward.pair_series(prices, chosen, Params(use_kalman=True))
+    assert {r.segment_id: r.seed for r in seeded.collect()} == {0: 20, 1: 27, 2: 63}
+    rows = {(r.segment_id, r.date): r for r in signals.segment_rows(series, seeded).collect()}
+    lx, ly = np.log(x), np.log(y)
+    for segment, at, end in ((1, 100, 111), (2, 290, 300)):  # as if the segment's end were the last day there is
+        assert rows[(segment, days(300)[at])].beta == pytest.approx(hedge.kalman_path(lx[:end], ly[:end], 1e-4)[0][at], rel=1e-9)
+
+
 def test_constant_leg_has_no_score_and_no_error(spark):
     own = features.ticker_features(panel(spark, {"A": walk(1, 60), "B": [7.0] * 60}))
     out = features.pair_features(features.align(own, spark.createDataFrame([("A", "B")], "a string, b string")), Params(roll_win=10))

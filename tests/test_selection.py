@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,14 @@ def test_formation_statistics_match_numpy(spark):
 
 
 def test_cap_on_new_pairs(spark):
+    """Pairs held over, and of the new ones at most so many, in the walk itself."""
     for held, most in ((0, 3), (1, 3), (13, 8), (26, 15)):
-        rows = [(0, f"H{i:02}", "Z", True, 1) for i in range(held)] + [(0, f"N{i:02}", "Z", False, i) for i in range(30)]
-        out = discovery.new_pair_cap(spark.createDataFrame(rows, "segment_id int, a string, b string, maintenance boolean, pair_rank int"), 3)
-        assert out.where("maintenance").count() == held and out.where("NOT maintenance").count() == most
+        assert discovery.most_new(held, 3) == most
+    parts = spark.createDataFrame([(i, days(9)[i], days(9)[i + 1]) for i in range(3)], "segment_id int, d0 date, d1 date")
+    rows = [(s, 0, f"H{i:02}", "Z", 1.0, 0.0, s < 2, True, i + 1) for s in range(3) for i in range(13)] + [(2, 1, f"N{i:02}", "Z", 1.0, 0.0, True, True, i // 10 + 1) for i in range(30)]
+    ranking = spark.createDataFrame(rows, "segment_id int, cluster int, a string, b string, beta double, alpha double, passes boolean, passes_held boolean, pair_rank int")
+    own = discovery.walk(ranking, parts, Filters(top_k=13, maint_passes=2)).selected.where("segment_id = 2")
+    assert own.where("maintenance").count() == 13 and own.where("NOT maintenance").count() == 13  # top_k, as it is more than 8
 
 
 def test_walk_holds_pairs_over(spark):
@@ -48,12 +53,14 @@ def test_walk_holds_pairs_over(spark):
         for k in range(4):
             rows.append((s, 0, f"A{k}", "Z", 1.0, 0.0, s in (0, 1, 5) or k > 1, True, k + 1))
     ranking = spark.createDataFrame(rows, "segment_id int, cluster int, a string, b string, beta double, alpha double, passes boolean, passes_held boolean, pair_rank int")
-    got = discovery.walk(ranking, parts, Filters(top_k=2))
+    walked = discovery.walk(ranking, parts, Filters(top_k=2))
+    got = walked.selected
     own = {s: sorted((r.a, r.maintenance) for r in got.collect() if r.segment_id == s) for s in range(6)}
     assert own[0] == own[1] == [("A0", False), ("A1", False)] and own[2] == []
     assert own[3] == [("A0", True), ("A1", True)]  # held by the looser test; no new pair ranks high enough
     assert [r.segment_id for r in metrics.pair_overlap(got).orderBy("segment_id").collect()] == [1, 3, 4, 5]
-    assert metrics.pass_history(got).where("segment_id = 3 AND pair = 'A0|Z'").first().passes == 3
+    own = {(r.segment_id, r.pair): (r.passed, r.passes, r.held_over) for r in walked.history.collect()}
+    assert own[(3, "A0|Z")] == (True, 3, True) and own[(0, "A0|Z")] == (True, 1, False) and (2, "A0|Z") not in own
 
 
 def test_agreement_and_matching_of_labels(spark):
@@ -76,6 +83,12 @@ def test_frozen_labels(spark):
     out = clusters.freeze(spark.createDataFrame(rows, "segment_id int, refit_date date, ticker string, cluster int"), 0.6).collect()
     own = {s: {r.ticker: r.cluster for r in out if r.segment_id == s} for s in range(3)}
     assert own[0] == own[1] == base and own[2] != base
+    late = rows + [(1, days(3)[1], "new", 0)]
+    out = clusters.freeze(spark.createDataFrame(late, "segment_id int, refit_date date, ticker string, cluster int"), 0.6)
+    assert out.where("ticker = 'new'").count() == 0  # it has no label in the labelling that is held
+    parts = spark.createDataFrame([(i, days(9)[i], days(9)[i + 1]) for i in range(4)], "segment_id int, d0 date, d1 date")
+    with pytest.raises(KeyError, match=str(days(9)[3])):
+        clusters.at_refit(out, parts)
 
 
 @pytest.mark.parametrize("method", clusters.METHODS)
@@ -88,9 +101,40 @@ def test_methods_separate_clear_groups(method):
     assert own.shape == (18,)
     for k in range(3):
         block = own[6 * k : 6 * k + 6]
-        assert len(set(block[block >= 0])) <= 1 or method in ("c_optics",)
-    if method in ("a", "b", "fused", "c", "b_agglo"):
-        assert len(set(own)) == 3
+        assert len(set(block[block >= 0])) <= 1
+    assert len(set(own[own >= 0])) == 3
+
+
+def test_average_linkage_matches_a_plain_version_and_is_quick():
+    def plain(distance, threshold):
+        groups = [[i] for i in range(len(distance))]
+        while len(groups) > 1:
+            d, i, j = min((distance[np.ix_(groups[i], groups[j])].mean(), i, j) for i, j in itertools.combinations(range(len(groups)), 2))
+            if d > threshold:
+                break
+            groups[i] += groups.pop(j)
+        return {frozenset(g) for g in groups}
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 9, 30):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        for threshold in (0.3, 1.0, 2.5, 9.0):
+            own = clusters.average_linkage(d, threshold)
+            assert {frozenset(np.flatnonzero(own == k)) for k in set(own)} == plain(d, threshold)
+    x = rng.normal(size=(500, 3))
+    began = time.process_time()
+    clusters.average_linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9.0)
+    assert time.process_time() - began < 10
+
+
+def test_xi_areas_and_clusters_of_a_plot():
+    r = np.array([9.0, 2.0, 1.0, 1.0, 1.1, 5.0, 1.0, 0.9, 1.0, 9.0])
+    assert clusters.steep_areas(r, 0.3, 3, True) == [(0, 1), (5, 5)]
+    assert clusters.steep_areas(r, 0.3, 3, False) == [(4, 4), (8, 8)]
+    x = np.concatenate([np.random.default_rng(0).normal(c, 0.05, 8) for c in (0.0, 1.0, 5.0)] + [np.array([30.0])])
+    own = clusters.optics(np.abs(x[:, None] - x[None]), 3, 0.3)
+    assert [len(set(own[8 * k : 8 * k + 8])) for k in range(3)] == [1, 1, 1] and len(set(own[:24])) == 3 and own[24] == -1
 
 
 def test_metrics(spark):
@@ -136,6 +180,8 @@ def test_walk_forward_end_to_end(spark):
     short = walkforward.walk_forward(prices, factors, f=f, c=c, refit=42, end=cut)
     key = lambda w: {(r.segment_id, r.a, r.b) for r in w.result.selected.collect() if r.segment_id < 2}
     assert key(own) == key(short)  # what came later changes nothing
+    some = np.array([days(420)[350] >= r.d1 for r in own.segments.collect()])
+    assert some.any()
     neutral = walkforward.walk_forward(prices, factors, f=f, c=c, refit=42, neutralize=True, factor_zscores=False)
     assert neutral.labels.count() == own.labels.count()
 
