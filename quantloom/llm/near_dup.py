@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import sized, slices, text_of, written
@@ -44,7 +44,9 @@ from quantloom.llm.components import components, spread_join
 ROWS = 2
 MISS, SKETCH_MISS = 1e-4, 1e-6
 #: Classes of a block, and hashes of all sets of a block's side.
-BLOCK_U, BLOCK_V, BLOCK_HASHES = 128, 512, 2_000_000
+BLOCK_U, BLOCK_V, BLOCK_HASHES = 192, 384, 2_000_000
+#: Rows of blocks for which there is one task.
+TASK_ROWS = 8192
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -200,7 +202,7 @@ def block_survivors(frame: pd.DataFrame, percent: int, need: int, lanes: int) ->
     a, b = us["n"].to_numpy()[:, None], vs["n"].to_numpy()[None, :]
     good = (same >= need) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (us["component"].to_numpy()[:, None] != vs["component"].to_numpy()[None, :])
     out = pd.concat([us[good.any(axis=1)], vs[good.any(axis=0)]])
-    return out[["main", "ub", "vb", "u", "node", "component"]]
+    return out[["task", "main", "ub", "vb", "u", "node", "component"]]
 
 
 def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -229,6 +231,13 @@ def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def even_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """For each of so many shuffle partitions a number that repartition() puts into it."""
+    own = spark.range(0, 64 * tasks, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in own.collect()}  # a row for each partition
+    return [found.get(p, p) for p in range(tasks)]
+
+
 def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, fetch, percent: int, need: int, lanes: int, like: DataFrame) -> DataFrame:
     """Links between components within buckets, beyond those to the bucket's least member.
 
@@ -244,26 +253,33 @@ def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, fetch, percent
     outside = F.col("component") != F.col("main")
     sides = bundles.groupBy("main").agg(F.count(F.lit(1)).alias("nv"), F.count_if(outside).alias("nu"), F.sum("n").alias("hv"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("hu"))
     blocks = lambda count, hashes, most: F.ceil(F.greatest(F.col(count) / most, F.col(hashes) / BLOCK_HASHES)).cast("int")
-    sides = sides.select("main", blocks("nu", "hu", BLOCK_U).alias("ublocks"), blocks("nv", "hv", BLOCK_V).alias("vblocks"))
-    rows = spread_join(bundles, sides, "main")
+    sides = sides.select("main", "nu", "nv", blocks("nu", "hu", BLOCK_U).alias("ublocks"), blocks("nv", "hv", BLOCK_V).alias("vblocks"))
+    work = sides.agg(F.sum(F.col("nu") * F.col("vblocks") + F.col("nv") * F.col("ublocks"))).first()[0] or 0
+    conf = bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tasks = max(2 * bundles.sparkSession.sparkContext.defaultParallelism, int(conf), -(-work // TASK_ROWS))
+    rows = spread_join(bundles, sides.drop("nu", "nv"), "main")
     other = rows.where(outside).withColumn("u", F.lit(True)).withColumn("ub", F.pmod(F.xxhash64("node"), "ublocks").cast("int"))
     other = other.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
     every = rows.withColumn("u", F.lit(False)).withColumn("vb", F.pmod(F.xxhash64("node"), "vblocks").cast("int"))
     every = every.withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)))
-    names = ["main", "ub", "vb", "u", "node", "component"]
-    full = [*names, "n", *(f"s{i}" for i in range(lanes))]
-    keys = ["main", "ub", "vb"]
-    dealt = other.select(*full).unionByName(every.select(*full))
-    schema = "main long, ub int, vb int, u boolean, node long, component long"
-    left = written(dealt.groupBy(*keys).applyInPandas(lambda f: block_survivors(f, percent, need, lanes), schema), "survivors", like)
+    # Blocks of one bundle get consecutive tasks: few do not meet by chance, and rows that are small but take long to
+    # compare are not put together.
+    keys = even_keys(bundles.sparkSession, tasks)
+    place = F.pmod(F.xxhash64("main") + F.col("ub").cast("long") * F.col("vblocks") + F.col("vb"), F.lit(tasks))
+    full = [F.element_at(F.lit(keys), place.cast("int") + 1).alias("task"), "main", "ub", "vb", "u", "node", "component", "n", *(f"s{i}" for i in range(lanes))]
+    block = ["task", "main", "ub", "vb"]
+    dealt = other.select(*full).unionByName(every.select(*full)).repartition(tasks, "task")
+    schema = "task long, main long, ub int, vb int, u boolean, node long, component long"
+    left = written(dealt.groupBy(*block).applyInPandas(lambda f: block_survivors(f, percent, need, lanes), schema), "survivors")
     sets = fetch(left.select("node").distinct())
-    found = spread_join(left, sets, "node").groupBy(*keys).applyInPandas(lambda f: block_links(f, percent), "a long, b long")
+    whole = spread_join(left, sets, "node").repartition(tasks, "task")
+    found = whole.groupBy(*block).applyInPandas(lambda f: block_links(f, percent), "a long, b long")
     return written(found.distinct(), "across", like)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
-    """doc_id, row, n_shingles, component_id, kept: one row for each row of docs. row: a column of docs that numbers its
-    rows, if their order and place are to be known; else any numbers."""
+    """doc_id, row, n_shingles, component_id, kept: one row for each row of docs. row: a column of docs, long, that tells rows
+    of one id apart; else any numbers."""
     m = bands_for(percent)
     lanes = lanes_for(m)
     need = least_matches(percent, 2 * m * ROWS) + 8 * lanes - 2 * m * ROWS  # what is left over agrees always
@@ -308,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     named = spread_join(named, best, "component").select((F.col("f1").bitwiseXOR(F.lit(1))).alias("g1"), "f2", "n", "component_id", "first")
     out = signed.select("doc_id", "row", "n", (F.col("f1").bitwiseXOR(F.lit(1))).alias("g1"), "f2").join(named, ["g1", "f2", "n"], "left")
     judged = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    component, kept = F.when(judged, F.col("component_id")).otherwise(F.col("doc_id")), ~judged | (F.col("row") == F.col("first"))
+    component, kept = F.when(judged, F.col("component_id")).otherwise(F.col("doc_id")), ~judged | ((F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("first")))
     out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
     return sized(out, signed)
 

@@ -104,6 +104,12 @@ def test_bands_meet_the_stated_miss_rate():
         assert 1 - (1 - (1 - s) ** m) ** 2 <= near_dup.MISS
 
 
+def test_even_keys_fill_every_partition_once(spark):
+    keys = near_dup.even_keys(spark, 37)
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(37, "k")
+    assert df.groupBy(F.spark_partition_id()).count().count() == 37
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
