@@ -15,6 +15,7 @@ end token. Very long texts are read whole. An empty table gives an empty table a
 from __future__ import annotations
 
 import atexit
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +32,27 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _nr, a number of the row. Written, so that the numbers are the same wherever they are read."""
-    return written(docs.withColumn("_nr", F.monotonically_increasing_id()), "numbered")
+def thinned(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that stay. judge: doc_id, _h, kept for each row of (doc_id, text, _h), where _h is a hash of the text.
+    Rows are told apart by id and hash, so that no row has to be numbered and no text written for it; of rows with the same
+    of both, one stays if any does."""
+    own = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    by = judge(own.select("doc_id", "text", "_h")).groupBy("doc_id", "_h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    said = written(by.where("NOT kept OR n > 1"), "said").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
+    several = said.where("kept")
+    out = own.join(said.where("NOT kept"), same, "left_anti")
+    if not several.isEmpty():
+        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return out.select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    dropped = written(chunk_dedup.dedup(rows.select("_nr", "doc_id", "text")).where("NOT kept").select("_nr"), "dropped")
-    return rows.join(dropped, "_nr", "left_anti").select(*docs.columns)
+    return thinned(docs, lambda rows: chunk_dedup.dedup(rows).select("doc_id", "_h", "kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    dropped = written(near_dup.near_duplicates(rows, row="_nr").where("NOT kept").select(F.col("row").alias("_nr")), "dropped")
-    return rows.join(dropped, "_nr", "left_anti").select(*docs.columns)
+    return thinned(docs, lambda rows: near_dup.near_duplicates(rows, row="_h").select("doc_id", F.col("row").alias("_h"), "kept"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
