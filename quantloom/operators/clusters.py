@@ -154,6 +154,14 @@ def dbscan(distance: np.ndarray, radius: float, least: int) -> np.ndarray:
     return own
 
 
+def usual_reach(distance: np.ndarray, least: int) -> float:
+    """The outer fence (third quartile and 3 times the middle half) of the points' distances to their `least`-th nearest,
+    themselves included: all but what is far out for dense parts, whatever their number and size."""
+    core = np.sort(distance, axis=1)[:, min(least, len(distance)) - 1]
+    low, high = np.quantile(core, [0.25, 0.75])
+    return float(high + 3 * (high - low))
+
+
 def reachability(distance: np.ndarray, least: int) -> tuple[list[int], np.ndarray]:
     """The order in which density reaches the points, and each point's reachability in that order (Ankerst et al., 1999)."""
     n = len(distance)
@@ -273,7 +281,7 @@ def cluster(x: np.ndarray, factors: np.ndarray, control: np.ndarray, logs: np.nd
     if p.method == "c_optics":
         return optics(distance, p.min_points, p.optics_xi)
     if p.method == "c_dbscan":
-        return dbscan(distance, float(np.quantile(distance[np.triu_indices(len(distance), 1)], 0.25)), p.min_points)
+        return dbscan(distance, usual_reach(distance, p.min_points), p.min_points)
     raise ValueError(f"method must be one of {METHODS}")
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.rolling import rounded
-from quantloom.operators import calendar, clusters, context, discovery, features, fold, hedge, metrics, signals
+from quantloom.operators import calendar, clusters, context, costs, discovery, features, hedge, metrics, signals
 from quantloom.params import Filters, Params
 from quantloom.plans import walkforward
 from quantloom.sources import fixtures, panels
@@ -25,7 +25,9 @@ REFIT, BURN, BLACKOUT = 63, 252, 3
 #: The panel's residuals revert within days, so the half-life's lower bound is loosened.
 LOOSE = Filters(min_hl=0.05)
 #: What the richer simulation query switches on.
-FULL = Params(borrow_apr_bps=50.0, enable_adv_cap=True, enable_impact=True, earnings_blackout_days=BLACKOUT, month_end_forceclose=True, cooldown_days=5, min_adv_usd=1.0)
+FULL = Params(borrow_apr_bps=50.0, enable_adv_cap=True, enable_impact=True, earnings_blackout_days=BLACKOUT, month_end_forceclose=True, cooldown_days=5, min_adv_usd=2500.0)
+#: Exits at the crossing, entries without confirmation, no exit at earnings.
+PLAIN = Params(zero_cross_exit=True, no_entry_confirm=True, earnings_blackout_days=BLACKOUT, earnings_force_exit=False, cooldown_days=2)
 
 
 # Dates are compared as text, which both engines print alike.
@@ -53,8 +55,8 @@ def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
 
 
 def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, kept while a query looks at it several times: tickers by dates, a small table at any scale factor."""
-    return fixtures.panel(spark, sf_dir).persist()
+    """The panel: tickers by dates, made from the tables and written once a session."""
+    return fixtures.panel_table(spark, sf_dir)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +111,7 @@ _OLS = f"""{_ALIGN}, ols AS MATERIALIZED (
   SELECT *, CASE WHEN count(pa) OVER w = 63 THEN regr_slope(pa, pb) OVER w END AS beta,
             CASE WHEN count(pa) OVER w = 63 THEN regr_intercept(pa, pb) OVER w END AS alpha
   FROM al WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
-_SERIES = f"""{_OLS}, sp AS (
+_SERIES_STEPS = """sp AS (
   SELECT *, pa - (beta * pb + alpha) AS s, lag(beta) OVER (PARTITION BY a, b ORDER BY date) AS beta1 FROM ols
 ), sr AS (SELECT *, ra - beta1 * rb AS rp FROM sp
 ), ser AS MATERIALIZED (
@@ -117,6 +119,25 @@ _SERIES = f"""{_OLS}, sp AS (
          nullif(CASE WHEN count(rp) OVER w = 63 THEN stddev_samp(rp) OVER w END, 0) AS sigma
   FROM sr WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)
 ), zz AS MATERIALIZED (SELECT *, (s - mu) / sd AS z FROM ser)"""
+_SERIES = f"{_OLS}, {_SERIES_STEPS}"
+
+#: The filter as a recursion over a pair's rows, with its ring of squared gaps as a list; named like the regression.
+_KALMAN_STEPS = f"""kn AS MATERIALIZED (
+  SELECT *, pb / sc AS h FROM (SELECT a, b, date, pa, pb, row_number() OVER g AS rn, least(63, greatest(20, count(*) OVER (PARTITION BY a, b) // 4)) AS m,
+    CASE WHEN abs(avg(pb) OVER (g ROWS 29 PRECEDING)) < 1e-6 THEN 1.0 ELSE avg(pb) OVER (g ROWS 29 PRECEDING) END AS sc FROM al WINDOW g AS (PARTITION BY a, b ORDER BY date)) q
+), k0 AS (SELECT a, b, any_value(m) AS m, regr_slope(pa, h) AS s0, regr_intercept(pa, h) AS l0, sum(h * h) + 1e-8 AS xx, sum(h) AS x, count(*) + 1e-8 AS c FROM kn WHERE rn <= m GROUP BY a, b
+), k1 AS (SELECT kn.a, kn.b, var_pop(pa - (h * s0 + l0)) + 1e-8 AS v, list(power(pa - (h * s0 + l0), 2) ORDER BY rn) FILTER (rn > kn.m - 30) AS ring FROM kn JOIN k0 ON k0.a = kn.a AND k0.b = kn.b WHERE rn <= kn.m GROUP BY kn.a, kn.b
+), kal AS (
+  SELECT a, b, CAST(0 AS BIGINT) AS rn, s0 AS slope, l0 AS level, v * c / (xx * c - x * x) AS p11, -v * x / (xx * c - x * x) AS p12, -v * x / (xx * c - x * x) AS p21, v * xx / (xx * c - x * x) AS p22, ring,
+         CAST(NULL AS DATE) AS date, CAST(NULL AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS beta_std FROM k0 JOIN k1 USING (a, b)
+  UNION ALL
+  SELECT a, b, rn, slope + k1 * gap, level + k2 * gap, q11 - k1 * (h * q11 + p21), p12 - k1 * (h * p12 + q22), p21 - k2 * (h * q11 + p21), q22 - k2 * (h * p12 + q22), ring, date,
+         (slope + k1 * gap) / sc, sqrt(greatest(q11 - k1 * (h * q11 + p21), 0)) / sc
+  FROM (SELECT *, (q11 * h + p12) / total AS k1, (p21 * h + q22) / total AS k2
+    FROM (SELECT *, h * (q11 * h + p12) + (p21 * h + q22) + list_avg(ring) + 1e-8 AS total
+      FROM (SELECT f.a, f.b, f.rn, f.date, f.h, f.sc, slope, level, p11 + 1e-4 AS q11, p12, p21, p22 + 1e-4 AS q22, pa - (f.h * slope + level) AS gap, list_append(ring, power(pa - (f.h * slope + level), 2))[-30:] AS ring
+            FROM kal k JOIN kn f ON f.a = k.a AND f.b = k.b AND f.rn = k.rn + 1) q1) q2) q3)"""
+_KALMAN = f"""{_ALIGN}, {_KALMAN_STEPS}, ols AS MATERIALIZED (SELECT al.*, kal.beta, kal.level AS alpha, kal.beta_std FROM al JOIN kal ON kal.a = al.a AND kal.b = al.b AND kal.date = al.date)"""
 _SEGMENTS = f"""cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn FROM (SELECT DISTINCT date FROM panel)),
   seg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS segment_id, date AS d0,
                  coalesce(lead(date) OVER (ORDER BY date), (SELECT max(date) FROM cal)) AS d1
@@ -130,8 +151,12 @@ def _rd(c: str, digits: int = 6, name: str | None = None) -> str:
     return f"round({c}, {digits}) + 0.0 AS {name or c}"
 
 
+_SERIES_KALMAN = f"{_KALMAN}, {_SERIES_STEPS}"
+
+
 def _fold_sql(p: Params) -> str:
     """The simulation as a recursion over a segment's rows, written independently of the fold."""
+    series = _SERIES_KALMAN if p.use_kalman else _SERIES
     rich = p.earnings_blackout_days > 0
     bps = p.cost_bps / 1e4
     w0 = f"({p.target_spread_vol_bps / 1e4!r} / sigma)"
@@ -142,14 +167,20 @@ def _fold_sql(p: Params) -> str:
     c5 = "OVER (PARTITION BY segment_id, a, b ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
     low = f"coalesce(coalesce(ra, 0), 0.0)"
     floor = f" OR coalesce(adva, 0) < {p.min_adv_usd!r} OR coalesce(advb, 0) < {p.min_adv_usd!r}" if p.min_adv_usd > 0 else ""
+    if p.use_kalman:
+        floor += f" OR coalesce(CASE WHEN abs(beta1) > 1e-6 THEN std1 / abs(beta1) END > {p.kalman_beta_unc_cap!r}, FALSE)"
+    std = ", lag(beta_std) OVER (PARTITION BY a, b ORDER BY date) AS std1" if p.use_kalman else ""
+    left = "pos * z >= 0" if p.zero_cross_exit else f"abs(z) <= {p.z_exit!r}"
+    turned = lambda c: "TRUE" if p.no_entry_confirm else f"coalesce({c}, FALSE)"
+    force = "blk" if p.earnings_force_exit else "FALSE"
     extra = f", {_EARN}, {_REGIME}" if rich else ""
     ctx = "LEFT JOIN blk ba ON ba.ticker = zz.a AND ba.date = zz.date LEFT JOIN blk bb ON bb.ticker = zz.b AND bb.date = zz.date LEFT JOIN reg ON reg.date = zz.date" if rich else ""
     flags = "(ba.ticker IS NOT NULL OR bb.ticker IS NOT NULL) AS blk, coalesce(reg.scale, 1.0) AS rscale" if rich else "FALSE AS blk, 1.0 AS rscale"
     borrow = f"{p.borrow_apr_bps / 1e4 / 252!r} * size"
     close_pos = "pos <> 0" if p.month_end_forceclose else "FALSE"
-    return f"""{_SERIES}, {_SEGMENTS}{extra}, raw AS (
-  SELECT segment_id, a, b, zz.date, round(z, 9) AS z, s, beta1, rp, sigma, {w} AS w, {imp} AS imp, {low} AS x5, coalesce(rb, 0.0) AS y5, adva, advb, {flags}
-  FROM zz JOIN seg ON zz.date BETWEEN seg.d0 AND seg.d1 {ctx}
+    return f"""{series}, zk AS MATERIALIZED (SELECT *{std} FROM zz), {_SEGMENTS}{extra}, raw AS (
+  SELECT segment_id, a, b, zz.date, round(z, 9) AS z, s, beta1, rp, sigma, {w} AS w, {imp} AS imp, {low} AS x5, coalesce(rb, 0.0) AS y5, adva, advb, {flags}{', std1' if std else ''}
+  FROM zk AS zz JOIN seg ON zz.date BETWEEN seg.d0 AND seg.d1 {ctx}
 ), m5 AS (
   SELECT *, avg(x5) {c5} AS mx, avg(y5) {c5} AS my, avg(x5 * x5) {c5} AS mxx, avg(y5 * y5) {c5} AS myy, avg(x5 * y5) {c5} AS mxy, covar_pop(x5, y5) {c5} AS cv, stddev_pop(x5) {c5} AS sx, stddev_pop(y5) {c5} AS sy, count(*) {c5} AS n5
   FROM raw
@@ -175,8 +206,8 @@ def _fold_sql(p: Params) -> str:
       CASE WHEN enter <> 0 THEN {2 * bps!r} * ew + sqrt(ew) * imp ELSE 0 END + CASE WHEN out THEN {2 * bps!r} * size + sqrt(size) * imp ELSE 0 END + CASE WHEN hold THEN {borrow} ELSE 0 END AS c
     FROM (
       SELECT *, w * rscale AS ew, w * er AS size,
-        hold AND (abs(z) <= {p.z_exit!r} OR days2 >= {p.time_stop} OR abs(z) > {p.hard_stop!r} OR brk OR coalesce(abs(eb) > 1e-6 AND abs((beta1 - eb) / eb) > 0.30, FALSE) OR blk) AS out,
-        CASE WHEN free AND z >= {p.z_entry!r} AND coalesce(z < zprev, FALSE) THEN -1 WHEN free AND z <= -{p.z_entry!r} AND coalesce(z > zprev, FALSE) THEN 1 ELSE 0 END AS enter
+        hold AND ({left} OR days2 >= {p.time_stop} OR abs(z) > {p.hard_stop!r} OR brk OR coalesce(abs(eb) > 1e-6 AND abs((beta1 - eb) / eb) > 0.30, FALSE) OR {force}) AS out,
+        CASE WHEN free AND z >= {p.z_entry!r} AND {turned('z < zprev')} THEN -1 WHEN free AND z <= -{p.z_entry!r} AND {turned('z > zprev')} THEN 1 ELSE 0 END AS enter
       FROM (
         SELECT f.segment_id, f.a, f.b, f.rn, f.last, f.date, f.z, f.zprev, f.s, f.beta1, f.rp, f.w, f.imp, f.blk, f.rscale, f.brk, f.valid, t.pos, t.es, t.eb, t.er, t.lw,
           f.valid AND t.pos <> 0 AS hold, t.days + CASE WHEN f.valid AND t.pos <> 0 THEN 1 ELSE 0 END AS days2, t.since + CASE WHEN f.valid AND t.pos = 0 THEN 1 ELSE 0 END AS since2,
@@ -190,6 +221,8 @@ def _fold_sql(p: Params) -> str:
 
 _BASE = _fold_sql(Params())
 _RICH = _fold_sql(FULL)
+_CROSS = _fold_sql(PLAIN)
+_KAL_FOLD = _fold_sql(Params(use_kalman=True))
 
 # ---------------------------------------------------------------------------------------------- per ticker
 
@@ -262,7 +295,7 @@ def impact_borrow_cost(spark, sf_dir):
     p = Params(enable_impact=True, borrow_apr_bps=50.0)
     own = signals.impact_factor(features.vol_weight(series(spark, sf_dir), p), p).where("sigma IS NOT NULL")
     w = F.col("w")
-    return own.select("a", "b", "date", r(2 * p.cost_bps / 1e4 * w, 9, "explicit"), r(F.sqrt(w) * F.col("imp"), 7, "impact"), r(F.lit(p.borrow_apr_bps / 1e4 / 252) * w, 9, "borrow"))
+    return own.select("a", "b", "date", r(costs.explicit(w, p), 9, "explicit"), r(costs.impact(w, F.col("imp")), 7, "impact"), r(costs.borrow(w, p), 9, "borrow"))
 
 
 @query(
@@ -272,18 +305,59 @@ SELECT a, b, round(coalesce(arg_max(pa, date) FILTER (date < d), arg_min(pa, dat
        round(sum(pa) / coalesce(arg_max(pa, date) FILTER (date < d), arg_min(pa, date)), 4) + 0.0 AS total FROM al, s0 GROUP BY a, b""",
 )
 def price_anchor(spark, sf_dir):
-    own = aligned(spark, sf_dir)
-    start = calendar.calendar(prices(spark, sf_dir)).where("rn = 252").first()
-    start = str(start["date"]) if start else "1900-01-01"
-    raw = own.groupBy("a", "b").agg(F.sum("pa").alias("raw"), F.sum("pb").alias("raw_b"))
-    done = features.anchors(own, start).groupBy("a", "b").agg(F.sum("pa").alias("total"), F.sum("pb").alias("total_b"))
-    return raw.join(done, ["a", "b"]).select("a", "b", r(F.col("raw") / F.col("total"), 6, "na"), r(F.col("raw_b") / F.col("total_b"), 6, "nb"), r("total", 4))
+    start = calendar.calendar(prices(spark, sf_dir)).where("rn = 252").select(F.col("date").alias("d0"))
+    own = features.with_anchors(aligned(spark, sf_dir).crossJoin(F.broadcast(start)), ("a", "b"))  # one row on the right
+    return own.groupBy("a", "b").agg(r(F.first("na"), 6, "na"), r(F.first("nb"), 6, "nb"), r(F.sum("qa"), 4, "total"))
 
 
-@query("kalman_beta")
+@query("kalman_beta", f"{_KALMAN} SELECT a, b, date, {_rd('beta', 4)}, {_rd('alpha', 4)}, {_rd('beta_std', 4)} FROM ols", dates=('date',))
 def kalman_beta(spark, sf_dir):
     own = hedge.kalman(aligned(spark, sf_dir), Params().kalman_delta)
-    return own.select("a", "b", "date", r("beta"), r("alpha"), r("beta_std"))
+    return own.select("a", "b", "date", r("beta", 4), r("alpha", 4), r("beta_std", 4))
+
+
+_CAP = "DATE '1996-06-28'"
+
+
+@query("capped_panel", f"{_PANEL} SELECT ticker, count(*) AS days, max(date) AS last_date, {_rd('sum(ln(close))', 5, 'total')} FROM panel WHERE date <= {_CAP} GROUP BY ticker", dates=('last_date',))
+def capped_panel(spark, sf_dir):
+    own = features.ticker_features(features.capped(prices(spark, sf_dir), "1996-06-28"))
+    return own.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), F.max("date").alias("last_date"), r(F.sum("lp"), 5, "total"))
+
+
+_SPARSE = f"""WITH wk AS MATERIALIZED ({duck(fixtures.WEEKLY_SQL)}), kw AS (SELECT * FROM wk WHERE (ascii(right(ticker, 1)) * 7 + dayofyear(date) * 3 + year(date)) % 11 <> 0),
+  gr AS (SELECT t.ticker, d.date, close, volume FROM (SELECT DISTINCT ticker FROM kw) t CROSS JOIN (SELECT DISTINCT date FROM kw) d LEFT JOIN kw USING (ticker, date)),
+  fi AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS pad FROM gr),
+  dn AS (SELECT ticker, date, close, pad / lag(pad) OVER w - 1 AS ret, count(close * volume) OVER v AS n, avg(close * volume) OVER v AS av
+         FROM fi WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS 7 PRECEDING))"""
+
+
+@query("sparse_panel", f"{_SPARSE} SELECT ticker, date, {_rd('ret', 8)}, round(CASE WHEN n = 8 THEN av END, 4) + 0.0 AS adv FROM dn WHERE close IS NOT NULL", dates=('date',))
+def sparse_panel(spark, sf_dir):
+    """Tickers without rows on some days: windows are of the calendar, not of a ticker's rows."""
+    raw = fixtures.weekly(spark, sf_dir).where((F.ascii(F.substring("ticker", -1, 1)) * 7 + F.dayofyear("date") * 3 + F.year("date")) % 11 != 0)
+    return features.ticker_features(panels.prices(raw), adv_window=8).select("ticker", "date", r("ret", 8), r("adv", 4))
+
+
+@query(
+    "factor_sources",
+    f"""{_PANEL}, fac AS (SELECT *, CASE factor WHEN 'SPY' THEN 'etf' WHEN 'LOW' THEN 'ff' ELSE 'fred' END AS source FROM ({duck(fixtures.FACTORS_SQL, panel='panel')}) WHERE factor <> 'FF_RF')
+SELECT k.kind, factor, count(*) AS days, {_rd('sum(ret)', 8, 'total')} FROM fac, (VALUES ('etf_only'), ('ff_fred_first'), ('both')) k(kind)
+WHERE k.kind = 'both' OR (k.kind = 'etf_only') = (source = 'etf') GROUP BY ALL
+UNION ALL SELECT 'control', factor, count(*), {_rd('sum(ret)', 8, 'total')} FROM fac WHERE factor = 'SPY' GROUP BY factor
+UNION ALL SELECT 'control without a market', factor, count(*), {_rd('sum(ret)', 8, 'total')} FROM fac WHERE factor <> 'SPY' GROUP BY factor""",
+)
+def factor_sources(spark, sf_dir):
+    """The sets of factors that a run may name, and those that returns are controlled for."""
+    raw = fixtures.derived(fixtures.FACTORS_SQL, panel_of(spark, sf_dir)).withColumn("source", F.when(F.col("factor") == "SPY", "etf").when(F.col("factor") == "LOW", "ff").otherwise("fred"))
+    parts = [(k, panels.factor_returns(raw, k)) for k in panels.FACTOR_SOURCES]
+    every = panels.factor_returns(raw)
+    parts += [("control", panels.control_factors(every)), ("control without a market", panels.control_factors(every.where("factor != 'SPY'")))]
+    out = None
+    for kind, df in parts:
+        own = df.groupBy("factor").agg(F.count(F.lit(1)).alias("days"), r(F.sum("ret"), 8, "total")).select(F.lit(kind).alias("kind"), "factor", "days", "total")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # ---------------------------------------------------------------------------------------------- calendar and context
@@ -407,9 +481,16 @@ def perf_metrics(spark, sf_dir):
     return out.select(r("ann_mu"), r("ann_sd"), r("sharpe", 5), r("ann_mu_gross"), r("sharpe_gross", 5), r("max_drawdown"), "total_round_trips", r("avg_hold_days"), r("avg_hit_rate"))
 
 
-@query("trade_fold_kalman")
+@query("trade_fold_kalman", f"{_KAL_FOLD} SELECT segment_id, a || '|' || b AS pair, trips AS round_trips, {_rd('CAST(wins AS DOUBLE) / nullif(trips, 0)', 6, 'hit_rate')}, {_rd('CAST(held AS DOUBLE) / nullif(trips, 0)', 6, 'avg_hold_days')} FROM trd")
 def trade_fold_kalman(spark, sf_dir):
-    return trading(spark, sf_dir, Params(use_kalman=True)).stats
+    return trading(spark, sf_dir, Params(use_kalman=True)).stats.select("segment_id", "pair", "round_trips", r("hit_rate"), r("avg_hold_days"))
+
+
+@query("trade_fold_cross", f"{_CROSS} SELECT {_SIM_ROWS}", dates=('date',))
+def trade_fold_cross(spark, sf_dir):
+    """Exits where the spread crosses its mean, entries without confirmation, positions held through earnings."""
+    own = trading(spark, sf_dir, PLAIN).daily
+    return own.where("pos != 0 OR pnl != 0").select("segment_id", "a", "b", "date", r("pnl", 8), r("cost", 8), "pos")
 
 
 # ---------------------------------------------------------------------------------------------- selection
@@ -425,31 +506,57 @@ _FORM_STEPS = f"""{_LABELS}, {_CANDIDATES}, fw AS MATERIALIZED (
 ), fs AS MATERIALIZED (SELECT *, sxy / sxx AS rho, (sxy / sxx) / sqrt(greatest(syy - sxy / sxx * sxy, 0) / ((n - 2) * sxx)) AS adf FROM ag
 ), st AS MATERIALIZED (SELECT segment_id, cluster, a, b, n, beta, alpha, corr63, adf, CASE WHEN rho < 0 AND rho > -1 THEN -ln(2.0) / ln(1 + rho) END AS half_life FROM fs)"""
 _FORM = f"{_ALIGN}, {_SEGMENTS}, {_FORM_STEPS}"
-_JUDGED_STEPS = f"""{_FORM_STEPS}, jd AS (SELECT *, coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.70 AND adf <= -3.33613 - 6.1101 / n - 6.823 / (n * n), FALSE) AS passes FROM st),
-  rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, cluster ORDER BY round(corr63, 9) DESC NULLS LAST, a, b) AS corr_rank FROM jd) WHERE corr_rank <= 40),
-  tp AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment_id, cluster ORDER BY passes DESC, round(adf, 9) ASC NULLS LAST, a, b) AS INTEGER) AS pair_rank FROM rk) WHERE passes AND pair_rank <= 5)"""
+_JUDGED_STEPS = f"""{_FORM_STEPS}, jd AS (SELECT *, coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.70 AND adf <= -3.33613 - 6.1101 / n - 6.823 / (n * n), FALSE) AS passes,
+    coalesce(beta BETWEEN 0.25 AND 4.0 AND half_life BETWEEN 0.05 AND 30.0 AND corr63 >= 0.65 AND adf <= -3.04445 - 4.2412 / n - 2.720 / (n * n), FALSE) AS passes_held FROM st),
+  rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY segment_id, cluster ORDER BY passes DESC, round(adf, 9) ASC NULLS LAST, a, b) AS INTEGER) AS pair_rank
+         FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, cluster ORDER BY round(corr63, 9) DESC NULLS LAST, a, b) AS corr_rank FROM jd) WHERE corr_rank <= 40),
+  tp AS MATERIALIZED (SELECT * FROM rk WHERE passes AND pair_rank <= 5)"""
+#: The walk over segments as a recursion whose state is a list of pairs with their last three marks as bits.
+_WALK_STEPS = f"""{_JUDGED_STEPS}, ws AS MATERIALIZED (
+  SELECT segment_id, CAST(row_number() OVER (ORDER BY segment_id) AS INTEGER) AS ord, rws FROM (
+    SELECT segment_id, list({{'pair': a || '|' || b, 'rank': pair_rank, 'new': passes, 'old': passes_held}} ORDER BY pair_rank, a, b) AS rws FROM rk WHERE passes OR passes_held GROUP BY segment_id) q
+), wk AS (
+  SELECT 0 AS ord, CAST(-1 AS INTEGER) AS segment_id, CAST([] AS STRUCT(pair VARCHAR, bits INTEGER)[]) AS hist, CAST([] AS VARCHAR[]) AS held, CAST([] AS VARCHAR[]) AS fresh
+  UNION ALL
+  SELECT ord, segment_id, CASE WHEN len(held) + len(fresh) = 0 THEN hist ELSE list_transform(list_distinct(list_concat(list_transform(hist, lambda h: h.pair), held, fresh)),
+      lambda p: {{'pair': p, 'bits': CAST((coalesce(list_filter(hist, lambda h: h.pair = p)[1].bits, 0) * 2 + CASE WHEN list_contains(held, p) OR list_contains(fresh, p) THEN 1 ELSE 0 END) % 8 AS INTEGER)}}) END, held, fresh
+  FROM (SELECT ord, segment_id, hist, held, list_transform(list_slice(list_filter(rws, lambda x: x.new AND x.rank <= 5 AND NOT list_contains(held, x.pair)), 1,
+          greatest(CAST(floor(len(held) / 0.65::DOUBLE * 0.35::DOUBLE) AS INTEGER) + 1, 5)), lambda x: x.pair) AS fresh
+        FROM (SELECT s.ord, s.segment_id, hist, rws, list_transform(list_filter(rws, lambda x: x.old AND coalesce(bit_count(list_filter(hist, lambda h: h.pair = x.pair)[1].bits) >= 2, FALSE)), lambda x: x.pair) AS held
+              FROM wk JOIN ws s ON s.ord = wk.ord + 1) q1) q2
+), wp AS MATERIALIZED (
+  SELECT u.segment_id, u.maintenance, rk.a, rk.b, u.pair, rk.pair_rank, rk.cluster, rk.beta, rk.alpha
+  FROM (SELECT segment_id, unnest(held) AS pair, TRUE AS maintenance FROM wk UNION ALL SELECT segment_id, unnest(fresh), FALSE FROM wk) u JOIN rk ON rk.segment_id = u.segment_id AND rk.a || '|' || rk.b = u.pair)"""
+#: Labels held while they agree with the new ones: h names the refit date whose labels are held.
+_FROZEN = """aric AS (SELECT x.segment_id AS i, y.segment_id AS j, x.cluster AS p, y.cluster AS c, count(*) AS n FROM lab x JOIN lab y ON x.ticker = y.ticker AND x.segment_id < y.segment_id GROUP BY ALL),
+  arit AS (SELECT i, j, sum(n * (n - 1) / 2.0) AS bth, sum(n) AS t FROM aric GROUP BY i, j), arix AS (SELECT i, j, sum(n * (n - 1) / 2.0) AS x FROM (SELECT i, j, p, sum(n) AS n FROM aric GROUP BY ALL) GROUP BY i, j),
+  ariy AS (SELECT i, j, sum(n * (n - 1) / 2.0) AS y FROM (SELECT i, j, c, sum(n) AS n FROM aric GROUP BY ALL) GROUP BY i, j),
+  arij AS MATERIALIZED (SELECT i, j, coalesce((bth - x * y / (t * (t - 1) / 2.0)) / nullif((x + y) / 2.0 - x * y / (t * (t - 1) / 2.0), 0), 1.0) AS ari FROM arit JOIN arix USING (i, j) JOIN ariy USING (i, j)),
+  hl AS (SELECT 0 AS j, 0 AS h UNION ALL SELECT hl.j + 1, CASE WHEN ari < 0.6 THEN hl.j + 1 ELSE hl.h END FROM hl JOIN arij ON arij.i = hl.h AND arij.j = hl.j + 1),
+  frz AS MATERIALIZED (SELECT hl.j AS segment_id, seg.d0 AS refit_date, o.ticker, o.cluster FROM hl JOIN lab o ON o.segment_id = hl.h JOIN seg ON seg.segment_id = hl.j)"""
 _JUDGED = f"{_ALIGN}, {_SEGMENTS}, {_JUDGED_STEPS}"
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = LOOSE
     own = prices(spark, sf_dir)
-    labels = _labelled(spark, sf_dir)
-    pairs = discovery.candidates(labels)
-    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), f.formation)
-    return discovery.ranked(discovery.judged(discovery.formation_stats(rows, pairs), f), pairs, f)
+    pairs = discovery.candidates(_labelled(spark, sf_dir))
+    return discovery.ranking(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), pairs, LOOSE)
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few pairs chosen, kept: the queries below look at them several times."""
-    return discovery.top_pairs(_ranking(spark, sf_dir), LOOSE).persist()
+    """The few pairs chosen."""
+    return discovery.top_pairs(_ranking(spark, sf_dir), LOOSE)
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> discovery.Walk:
+    return discovery.walk(_ranking(spark, sf_dir), segment_table(spark, sf_dir), LOOSE)
 
 
 @query("formation_stats", f"{_FORM} SELECT segment_id, a, b, n, {_rd('beta', 5)}, {_rd('alpha', 5)}, {_rd('corr63', 6)}, {_rd('adf', 5)}, {_rd('half_life', 4)} FROM st")
 def formation_stats(spark, sf_dir):
     own = prices(spark, sf_dir)
     pairs = discovery.candidates(_labelled(spark, sf_dir))
-    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), 252)
+    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), calendar.calendar(own), segment_table(spark, sf_dir), 252, pairs)
     return discovery.formation_stats(rows, pairs).select("segment_id", "a", "b", "n", r("beta", 5), r("alpha", 5), r("corr63"), r("adf", 5), r("half_life", 4))
 
 
@@ -479,24 +586,27 @@ def segment_pair_stats(spark, sf_dir):
     return own.select("segment_id", "pair", "pair_rank", F.coalesce("round_trips", F.lit(0)).alias("round_trips"), r("hit_rate"), r("avg_hold_days"))
 
 
-_PICKED = "pk AS (SELECT *, (ascii(right(a, 1)) + ascii(right(b, 1))) % 3 = 0 AS maintenance FROM tp)"
-
-
 @query(
     "new_pair_cap",
-    f"""{_JUDGED}, {_PICKED}, cp AS (SELECT *, greatest(CAST(floor(sum(CAST(maintenance AS INTEGER)) OVER (PARTITION BY segment_id) / 0.65::DOUBLE * 0.35::DOUBLE) AS INTEGER) + 1, 2) AS cap,
-  row_number() OVER (PARTITION BY segment_id, maintenance ORDER BY pair_rank, a, b) AS rr FROM pk) SELECT segment_id, a, b, maintenance, CAST(cap AS INTEGER) AS cap FROM cp WHERE maintenance OR rr <= cap""",
+    f"""{_ALIGN}, {_SEGMENTS}, {_WALK_STEPS} SELECT segment_id, CAST(len(held) AS BIGINT) AS held_over, CAST(len(fresh) AS BIGINT) AS fresh, greatest(CAST(floor(len(held) / 0.65::DOUBLE * 0.35::DOUBLE) AS INTEGER) + 1, 5) AS cap
+FROM wk WHERE len(held) + len(fresh) > 0""",
 )
 def new_pair_cap(spark, sf_dir):
-    own = _top(spark, sf_dir)
-    own = own.withColumn("maintenance", (F.ascii(F.substring("a", -1, 1)) + F.ascii(F.substring("b", -1, 1))) % 3 == 0)
-    return discovery.new_pair_cap(own, 2).select("segment_id", "a", "b", "maintenance", "cap")
+    """How many pairs each segment holds over and takes anew, and how many new ones it may take."""
+    own = _walked(spark, sf_dir).selected.groupBy("segment_id").agg(F.count_if("maintenance").alias("held_over"), F.count_if(~F.col("maintenance")).alias("fresh")).toPandas()
+    rows = [(int(x.segment_id), int(x.held_over), int(x.fresh), discovery.most_new(int(x.held_over), LOOSE.top_k)) for x in own.itertuples()]  # a row for each segment
+    return spark.createDataFrame(rows, "segment_id int, held_over long, fresh long, cap int")
 
 
-@query("selection_diagnostics", f"{_JUDGED}, {_PICKED} SELECT count(*) AS pairs, count(DISTINCT a || '|' || b) AS unique_pairs, count(*) FILTER (maintenance) AS maintenance, count(DISTINCT segment_id) AS segments FROM pk")
+@query("selection_diagnostics", f"{_ALIGN}, {_SEGMENTS}, {_WALK_STEPS} SELECT count(*) AS pairs, count(DISTINCT pair) AS unique_pairs, count(*) FILTER (maintenance) AS maintenance, count(DISTINCT segment_id) AS segments FROM wp")
 def selection_diagnostics(spark, sf_dir):
-    own = _top(spark, sf_dir)
-    return metrics.diagnostics(own.withColumn("maintenance", (F.ascii(F.substring("a", -1, 1)) + F.ascii(F.substring("b", -1, 1))) % 3 == 0))
+    return metrics.diagnostics(_walked(spark, sf_dir).selected)
+
+
+@query("walk_selection", f"{_ALIGN}, {_SEGMENTS}, {_WALK_STEPS} SELECT segment_id, a, b, cluster, pair_rank, maintenance, {_rd('beta', 5)}, {_rd('alpha', 5)} FROM wp")
+def walk_selection(spark, sf_dir):
+    """The pairs of every segment: those held over and, under the cap, new ones."""
+    return _walked(spark, sf_dir).selected.select("segment_id", "a", "b", "cluster", "pair_rank", "maintenance", r("beta", 5), r("alpha", 5))
 
 
 _ORD = "od AS (SELECT segment_id, row_number() OVER (ORDER BY segment_id) AS ord FROM (SELECT DISTINCT segment_id FROM tp)), pp AS (SELECT DISTINCT segment_id, ord, a || '|' || b AS pair FROM tp JOIN od USING (segment_id))"
@@ -510,11 +620,12 @@ def pair_overlap(spark, sf_dir):
 
 @query(
     "maintenance_history",
-    f"""{_JUDGED}, {_ORD}, fo AS (SELECT pair, min(ord) AS f FROM pp GROUP BY pair), gr AS (SELECT fo.pair, od.ord, od.segment_id, (pp.pair IS NOT NULL) AS passed FROM fo JOIN od ON od.ord >= fo.f LEFT JOIN pp ON pp.pair = fo.pair AND pp.ord = od.ord)
+    f"""{_ALIGN}, {_SEGMENTS}, {_WALK_STEPS}, od AS (SELECT segment_id, row_number() OVER (ORDER BY segment_id) AS ord FROM (SELECT DISTINCT segment_id FROM wp)), pp AS (SELECT DISTINCT segment_id, ord, pair FROM wp JOIN od USING (segment_id)),
+  fo AS (SELECT pair, min(ord) AS f FROM pp GROUP BY pair), gr AS (SELECT fo.pair, od.ord, od.segment_id, (pp.pair IS NOT NULL) AS passed FROM fo JOIN od ON od.ord >= fo.f LEFT JOIN pp ON pp.pair = fo.pair AND pp.ord = od.ord)
 SELECT segment_id, pair, passed, CAST(sum(CAST(passed AS INTEGER)) OVER w AS BIGINT) AS passes, sum(CAST(passed AS INTEGER)) OVER w >= 2 AS held_over FROM gr WINDOW w AS (PARTITION BY pair ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
 def maintenance_history(spark, sf_dir):
-    return metrics.pass_history(_top(spark, sf_dir))
+    return _walked(spark, sf_dir).history
 
 
 @query(
@@ -555,36 +666,113 @@ def cluster_persistence(spark, sf_dir):
     return clusters.persistence(_labelled(spark, sf_dir)).select("segment_id", r("persistence"))
 
 
-def _clustered(method: str) -> Query:
+@query("labels_frozen", f"{_PANEL}, {_SEGMENTS}, {_LABELS}, {_FROZEN} SELECT * FROM frz", dates=('refit_date',))
+def labels_frozen(spark, sf_dir):
+    return clusters.freeze(_labelled(spark, sf_dir), clusters.ClusterParams().ari_threshold)
+
+
+_PLANTED = f"{_PANEL}, pl AS ({duck(fixtures.PLANTED_SQL, panel='panel')}), {_SEGMENTS}"
+
+
+def _clustered(method: str) -> None:
+    """Labels on a panel whose tickers move in four groups: any sound method finds just these, so SQL can name them. A
+    cluster is named after its first ticker."""
+
+    @query(f"cluster_labels_{method}", f"{_PLANTED} SELECT segment_id, d0 AS refit_date, ticker, first AS cluster FROM seg, (SELECT ticker, min(ticker) OVER (PARTITION BY grp) AS first FROM (SELECT DISTINCT ticker, grp FROM pl))", dates=("refit_date",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        panel = panel_of(spark, sf_dir)
-        own = panels.prices(panel)
-        factors = features.factor_zscore(panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel)))
-        control = factors.where(F.col("factor") == "SPY").select("date", "factor", F.col("z").alias("ret"))
+        raw = fixtures.derived(fixtures.PLANTED_SQL, panel_of(spark, sf_dir))
+        own, days = panels.prices(raw), calendar.calendar(prices(spark, sf_dir))
+        factors = features.factor_zscore(panels.factor_returns(fixtures.derived(fixtures.GROUP_FACTORS_SQL, raw)))
+        control = panels.control_factors(factors).select("date", "factor", F.col("z").alias("ret"))
         c = clusters.ClusterParams(method=method)
-        return clusters.freeze(clusters.rolling_labels(features.ticker_features(own), factors, calendar.calendar(own), segment_table(spark, sf_dir), c, control), c.ari_threshold)
-
-    return run
+        labels = clusters.freeze(clusters.rolling_labels(features.ticker_features(own), factors, days, segment_table(spark, sf_dir), c, control), c.ari_threshold)
+        return labels.withColumn("cluster", F.min("ticker").over(Window.partitionBy("segment_id", "cluster")))
 
 
 for _m in clusters.METHODS:
-    QUERIES[f"cluster_labels_{_m}"] = _clustered(_m)
+    _clustered(_m)
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> walkforward.WalkForward:
+    """The whole run, from labels by rule."""
     panel = panel_of(spark, sf_dir)
     factors = panels.factor_returns(fixtures.derived(fixtures.FACTORS_SQL, panel))
-    return walkforward.walk_forward(panels.prices(panel), factors, f=LOOSE, refit=REFIT)
+    return walkforward.walk_forward(panels.prices(panel), factors, f=LOOSE, refit=REFIT, labels=_labelled(spark, sf_dir))
+
 
+#: From labels that are held to the pairs of every segment, beside the simulation of all pairs.
+_RUN = f"{_BASE}, {_WALK_STEPS.replace(_LABELS, _LABELS + ', ' + _FROZEN).replace(_CANDIDATES, _CANDIDATES.replace('lab ', 'frz '))}"
+_RUN_STATS = "ts AS (SELECT wp.segment_id, wp.pair, wp.a, wp.b, wp.pair_rank, wp.maintenance, t.trips, t.wins, t.held FROM wp LEFT JOIN trd t ON t.segment_id = wp.segment_id AND t.a = wp.a AND t.b = wp.b)"
 
-@query("walk_forward_pairs")
+
+@query("walk_forward_pairs", f"{_RUN}, {_RUN_STATS} SELECT segment_id, pair, pair_rank, maintenance, trips AS round_trips, {_rd('CAST(wins AS DOUBLE) / nullif(trips, 0)', 6, 'hit_rate')}, {_rd('CAST(held AS DOUBLE) / nullif(trips, 0)', 6, 'avg_hold_days')} FROM ts")
 def walk_forward_pairs(spark, sf_dir):
-    return _walk(spark, sf_dir).result.segment_pairs
+    return _walk(spark, sf_dir).result.segment_pairs.select("segment_id", "pair", "pair_rank", "maintenance", "round_trips", r("hit_rate"), r("avg_hold_days"))
 
 
-@query("walk_forward_summary")
+@query(
+    "walk_forward_summary",
+    f"""{_RUN}, {_RUN_STATS}, prt AS (SELECT segment_id, date, sum(pnl) AS pnl, sum(pnl) + sum(cost) AS gross FROM done JOIN trd USING (segment_id, a, b) JOIN wp USING (segment_id, a, b) GROUP BY ALL),
+  eqt AS (SELECT *, sum(pnl) OVER w AS eq FROM prt WINDOW w AS (ORDER BY date, segment_id ROWS UNBOUNDED PRECEDING)), dwn AS (SELECT *, eq - max(eq) OVER (ORDER BY date, segment_id ROWS UNBOUNDED PRECEDING) AS dd FROM eqt),
+  perf AS (SELECT round(avg(pnl) * 252, 6) + 0.0 AS ann_mu, round(avg(pnl) * 252 / (stddev_samp(pnl) * sqrt(252)), 5) + 0.0 AS sharpe, round(avg(gross) * 252, 6) + 0.0 AS ann_mu_gross, round(min(dd), 6) + 0.0 AS max_drawdown, count(*) AS days FROM dwn),
+  tot2 AS (SELECT CAST(coalesce(sum(trips), 0) AS BIGINT) AS total_round_trips, round(avg(CAST(held AS DOUBLE) / nullif(trips, 0)), 6) AS avg_hold_days, round(avg(CAST(wins AS DOUBLE) / nullif(trips, 0)), 6) AS avg_hit_rate, count(*) AS pairs,
+           count(DISTINCT pair) AS unique_pairs, count(*) FILTER (maintenance) AS maintenance, count(DISTINCT segment_id) AS segments FROM ts),
+  od AS (SELECT segment_id, row_number() OVER (ORDER BY segment_id) AS ord FROM (SELECT DISTINCT segment_id FROM wp)), pp AS (SELECT ord, pair FROM wp JOIN od USING (segment_id)),
+  ovl AS (SELECT avg(v) AS overlap_rate FROM (SELECT y.ord, count(x.pair) / count(*) AS v FROM pp y LEFT JOIN pp x ON x.ord = y.ord - 1 AND x.pair = y.pair WHERE y.ord > 1 GROUP BY y.ord)),
+  ctp AS (SELECT y.segment_id, x.cluster AS p, y.cluster AS c, count(*) AS n FROM frz x JOIN frz y ON y.segment_id = x.segment_id + 1 AND x.ticker = y.ticker GROUP BY ALL),
+  kk AS (SELECT unnest([0, 1, 2, 3]) AS k), pms AS (SELECT a.k AS p0, b.k AS p1, c.k AS p2, d.k AS p3 FROM kk a, kk b, kk c, kk d WHERE a.k NOT IN (b.k, c.k, d.k) AND b.k NOT IN (c.k, d.k) AND c.k <> d.k),
+  scr AS (SELECT segment_id, p0, p1, p2, p3, sum(n) FILTER (c = CASE p WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS good, sum(n) AS t FROM ctp, pms GROUP BY ALL),
+  per AS (SELECT avg(v) AS cluster_persistence FROM (SELECT segment_id, max(coalesce(good, 0) / t) AS v FROM scr GROUP BY segment_id))
+SELECT perf.*, tot2.*, round(overlap_rate, 6) + 0.0 AS overlap_rate, round(cluster_persistence, 6) + 0.0 AS cluster_persistence, (SELECT count(*) FROM seg) AS planned_segments FROM perf, tot2, ovl, per""",
+)
 def walk_forward_summary(spark, sf_dir):
-    return _walk(spark, sf_dir).summary()
+    own = _walk(spark, sf_dir)
+    row = own.summary().select(
+        r("ann_mu"), r("sharpe", 5), r("ann_mu_gross"), r("max_drawdown"), "days", "total_round_trips", r("avg_hold_days"), r("avg_hit_rate"), "pairs", "unique_pairs", "maintenance", "segments",
+        r("overlap_rate"), r("cluster_persistence"), "planned_segments",
+    )
+    out = spark.createDataFrame(row.collect(), row.schema)  # one row
+    own.release()
+    return out
+
+
+# ---------------------------------------------------------------------------------------------- a universe that grows
+
+_WIDE = f"WITH panel AS MATERIALIZED ({duck(fixtures.WIDE_SQL)})"
+
+
+@query("wide_returns", f"""{_WIDE}, px AS (SELECT ticker, date, ln(close) AS lp, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM panel)
+SELECT ticker, count(*) AS days, {_rd('sum(lp)', 4, 'total')}, {_rd('sum(ret)', 6, 'ret')} FROM px GROUP BY ticker""")
+def wide_returns(spark, sf_dir):
+    """A panel with a ticker for each supplier: its universe grows with the tables."""
+    own = features.ticker_features(panels.prices(fixtures.panel_table(spark, sf_dir, fixtures.WIDE_SQL)))
+    return own.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), r(F.sum("lp"), 4, "total"), r(F.sum("ret"), 6, "ret"))
+
+
+_WIDE_LABELS = "lab AS (SELECT segment_id, ticker, CAST(CAST(right(ticker, 6) AS INTEGER) // 10 AS INTEGER) AS cluster FROM (SELECT DISTINCT ticker FROM panel), seg)"
+
+
+@query(
+    "wide_selection",
+    f"""{_WIDE}, px AS MATERIALIZED (SELECT ticker, date, ln(close) AS lp, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM panel),
+  cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn FROM (SELECT DISTINCT date FROM panel)),
+  seg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS segment_id, date AS d0, rn AS rn0 FROM cal WHERE rn >= {BURN} AND (rn - {BURN}) % {4 * REFIT} = 0),
+  {_WIDE_LABELS}, {_CANDIDATES}, nb AS (
+  SELECT c.segment_id, c.cluster, c.a, c.b, covar_pop(x.ret, y.ret) / nullif(stddev_pop(x.ret) * stddev_pop(y.ret), 0) AS corr
+  FROM cand c JOIN seg USING (segment_id) JOIN cal ON cal.rn BETWEEN seg.rn0 - 62 AND seg.rn0 JOIN px x ON x.ticker = c.a AND x.date = cal.date JOIN px y ON y.ticker = c.b AND y.date = cal.date GROUP BY ALL
+), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY segment_id, cluster ORDER BY round(corr, 9) DESC NULLS LAST, a, b) AS INTEGER) AS corr_rank FROM nb)
+SELECT segment_id, cluster, a, b, corr_rank FROM rk WHERE corr_rank <= 5""",
+)
+def wide_selection(spark, sf_dir):
+    """The most correlated pairs of every cluster and segment of the growing universe."""
+    own = panels.prices(fixtures.panel_table(spark, sf_dir, fixtures.WIDE_SQL))
+    days = calendar.calendar(own)
+    parts = calendar.segments(days, 4 * REFIT, BURN)
+    number = F.substring("ticker", -6, 6).cast("int")
+    labels = own.select("ticker").distinct().crossJoin(F.broadcast(parts)).select("segment_id", "ticker", F.floor(number / 10).cast("int").alias("cluster"))
+    pairs = discovery.candidates(labels)
+    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), days, parts, discovery.CORR_ROWS, pairs)
+    return discovery.most_correlated(rows, pairs, Filters(cluster_cap=5)).select("segment_id", "cluster", "a", "b", "corr_rank")
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,10 @@ and in DuckDB, so oracles start from equal inputs."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: A dense panel of cointegrated tickers: (ticker, date, close, volume).
@@ -24,6 +28,34 @@ select ks.k as ticker, fx.d as date,
 from ks cross join fx cross join st left join px on px.k = ks.k and px.d = fx.d
 """
 
+#: A dense panel with a ticker for each supplier, whose number grows with the scale factor: a common path, one for each ten
+#: tickers, and noise by rule; volumes are what the supplier shipped on the day.
+WIDE_SQL = """
+with fx as (select d, cast(row_number() over (order by d) as bigint) as di from (select distinct cast(l_shipdate as date) as d from {lineitem}) q),
+     ks as (select k, cast(row_number() over (order by k) as bigint) - 1 as ki from (select distinct l_suppkey as k from {lineitem}) q),
+     gs as (select distinct cast(floor(ki / 10) as bigint) as g from ks),
+     gp as (select g, d, sum(0.02 * (cast(((g + 3) * 7919 + di * di * 31 + di * (g + 3) * 613) % 1009 as double) / 1009.0 - 0.5)) over (partition by g order by d rows unbounded preceding) as f from gs cross join fx),
+     sh as (select l_suppkey as k, cast(l_shipdate as date) as d, sum(l_quantity) as v from {lineitem} group by 1, 2)
+select concat('S', lpad(cast(ki as string), 6, '0')) as ticker, fx.d as date,
+       exp(4.0 + (0.9 + 0.01 * (ki % 10)) * gp.f + 0.004 * (cast((ki * 7919 + di * di * 31 + di * ki * ki * 613) % 1009 as double) / 1009.0 - 0.5)) as close,
+       cast(coalesce(sh.v, 100.0) as double) as volume
+from ks cross join fx join gp on gp.g = cast(floor(ks.ki / 10) as bigint) and gp.d = fx.d left join sh on sh.k = ks.k and sh.d = fx.d
+"""
+
+#: The panel with a strong path added to each of four groups of its tickers.
+PLANTED_SQL = """
+with n as (select ticker, date, close, volume, cast(dense_rank() over (order by ticker) as bigint) as ki, cast(dense_rank() over (order by date) as bigint) as di from {panel}),
+     g as (select grp, di, sum(0.08 * (cast(((grp + 1) * 7919 + di * di * 31 + di * (grp + 1) * 613) % 1009 as double) / 1009.0 - 0.5)) over (partition by grp order by di rows unbounded preceding) as f
+           from (select distinct ki % 4 as grp, di from n) q)
+select n.ticker, n.date, exp(ln(n.close) + g.f) as close, n.volume, g.grp from n join g on g.grp = n.ki % 4 and g.di = n.di
+"""
+
+#: Daily changes of the mean log price of all tickers of the planted panel, as SPY, and of each group.
+GROUP_FACTORS_SQL = """
+with m as (select date, 'SPY' as factor, avg(ln(close)) as f from {panel} group by date union all select date, concat('G', cast(grp as string)), avg(ln(close)) from {panel} group by date, grp)
+select date, factor, f - lag(f) over (partition by factor order by date) as ret from m
+"""
+
 #: A sparse weekly panel by brand.
 WEEKLY_SQL = """
 select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as date, avg(l_extendedprice/l_quantity) as close, sum(l_quantity) as volume
@@ -66,8 +98,30 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PANEL_SQL, **tables(spark, sf_dir))
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def panel_table(spark: SparkSession, sf_dir: str, sql: str = PANEL_SQL) -> DataFrame:
+    """A panel made from the tables, written once a session to the folder that all executors share. With a local master
+    that is the machine's folder for temporary files, if none is named."""
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    if key not in _written:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/quantloom-panel-{uuid.uuid4().hex}"
+        spark.sql(sql, **tables(spark, sf_dir)).write.parquet(path)
+        atexit.register(_remove, spark, path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended before; nothing else depends on these files
+        pass
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

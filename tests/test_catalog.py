@@ -10,7 +10,7 @@ from quantloom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
-QUICK = ["log_returns", "weekly_panel", "factor_zscore", "pair_align", "refit_segments", "membership_point_in_time", "earnings_blackout", "regime_join", "trade_fold_full", "portfolio_daily", "top_pairs", "maintenance_history", "adjusted_rand", "cluster_persistence"]
+QUICK = ["log_returns", "weekly_panel", "factor_zscore", "pair_align", "refit_segments", "membership_point_in_time", "earnings_blackout", "regime_join", "trade_fold_full", "portfolio_daily", "top_pairs", "maintenance_history", "adjusted_rand", "cluster_persistence", "sparse_panel", "factor_sources", "walk_selection", "labels_frozen", "kalman_beta", "walk_forward_pairs", "walk_forward_summary", "wide_selection", *(f"cluster_labels_{m}" for m in ("fused", "c_optics", "c_dbscan"))]
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,8 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-def test_every_oracle_parses_and_names_a_query(duck):
-    assert set(catalog.oracle_sql()) <= set(catalog.queries())
+def test_every_query_has_an_oracle_that_parses(duck):
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
     for sql in catalog.oracle_sql().values():
         duck.execute(f"EXPLAIN {sql}")
 
@@ -44,6 +44,19 @@ def test_nothing_outside_the_text_subpackage_imports_it():
             assert not re.search(r"quantloom\.llm|corpus_pipeline", path.read_text()), path
 
 
+def test_a_text_subpackage_that_cannot_be_imported_leaves_the_engine_alone(monkeypatch):
+    import importlib.util
+    import sys
+
+    spec = importlib.util.spec_from_file_location("spark_entry_without_text", ROOT / "__spark_entry__.py")
+    entry = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(entry)
+    for name in ("quantloom.llm", "quantloom.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(catalog.queries()) and set(entry.oracle_sql()) == set(catalog.oracle_sql())
+
+
 def test_entry_and_stream(spark, tmp_path):
     import importlib.util
 
