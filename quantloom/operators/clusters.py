@@ -154,12 +154,20 @@ def dbscan(distance: np.ndarray, radius: float, least: int) -> np.ndarray:
     return own
 
 
-def usual_reach(distance: np.ndarray, least: int) -> float:
-    """The outer fence (third quartile and 3 times the middle half) of the points' distances to their `least`-th nearest,
-    themselves included: all but what is far out for dense parts, whatever their number and size."""
-    core = np.sort(distance, axis=1)[:, min(least, len(distance)) - 1]
-    low, high = np.quantile(core, [0.25, 0.75])
-    return float(high + 3 * (high - low))
+def parting_reach(distance: np.ndarray) -> float:
+    """A reach that joins what is dense and parts the rest: of the edges of the minimum spanning tree, from the median one
+    on, the geometric mean of the two between which they grow by the largest factor."""
+    n = len(distance)
+    inside, best, edges = np.zeros(n, dtype=bool), distance[0].astype(float).copy(), []
+    inside[0] = True
+    for _ in range(n - 1):
+        i = int(np.where(inside, np.inf, best).argmin())
+        edges.append(best[i])
+        inside[i] = True
+        best = np.minimum(best, distance[i])
+    e = np.maximum(np.sort(edges)[(n - 1) // 2 :], 1e-12)
+    k = int((e[1:] / e[:-1]).argmax()) if len(e) > 1 else 0
+    return float(np.sqrt(e[k] * e[min(k + 1, len(e) - 1)]))
 
 
 def reachability(distance: np.ndarray, least: int) -> tuple[list[int], np.ndarray]:
@@ -281,7 +289,7 @@ def cluster(x: np.ndarray, factors: np.ndarray, control: np.ndarray, logs: np.nd
     if p.method == "c_optics":
         return optics(distance, p.min_points, p.optics_xi)
     if p.method == "c_dbscan":
-        return dbscan(distance, usual_reach(distance, p.min_points), p.min_points)
+        return dbscan(distance, parting_reach(distance), p.min_points)
     raise ValueError(f"method must be one of {METHODS}")
 
 
