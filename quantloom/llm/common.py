@@ -9,11 +9,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Python code turns into objects at once. An Arrow batch itself is bounded in bytes by Spark.
-SLICE = 500
+#: Rows that Python code turns into objects at once; rows of an Arrow batch of a written step, which Spark bounds in bytes
+#: besides.
+SLICE, ARROW_ROWS = 500, 1000
 #: Bytes of input for which a coalesced step has one task.
 PART_BYTES = 4 << 20
 #: The white space of the contracts, as a Java class body: space and tab to carriage return.
@@ -37,6 +39,7 @@ def slices(frames: Iterator, rows: int = SLICE) -> Iterator:
         n = len(frame) if hasattr(frame, "iloc") else frame.num_rows
         for at in range(0, n, rows):
             yield frame.iloc[at : at + rows] if hasattr(frame, "iloc") else frame.slice(at, rows)
+        pa.default_memory_pool().release_unused()  # workers are kept for later stages
 
 
 def _shared_dir(spark: SparkSession) -> str:
@@ -82,10 +85,23 @@ def written(df: DataFrame, label: str = "part", like: DataFrame | None = None) -
 def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The written table and its path, for the caller to remove()."""
     path = f"{_shared_dir(df.sparkSession)}/quantloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most ARROW_ROWS rows in an Arrow batch for what runs inside; the session's own setting holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sized(df: DataFrame, like: DataFrame) -> DataFrame:
     """df in one task for each PART_BYTES of the written table `like`, but two for each core at least. Shuffled partitions
     are put behind one another, not together, so a task's memory stays that of one; and each file costs the executor a few

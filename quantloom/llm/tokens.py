@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_RANKS, DEFAULT_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Distinct pre-tokens whose ids a worker remembers.
-MEMORY = 800_000
+MEMORY = 600_000
 
 
 def ranks_path(name: str = DEFAULT_RANKS) -> str:
