@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -58,19 +59,36 @@ def sure_boundary(left: str, right: str) -> bool:
     return a in ("L", "N") and bool(b) and a != b
 
 
-@lru_cache(maxsize=1)
-def unsure() -> re.Pattern:
-    """Characters whose kind implementations may see differently."""
+def _class(wanted: str) -> str:
+    """The characters of this kind as the inside of a character class; of any kind for an empty string."""
     spans, start = [], None
     for cp in range(0x10001):
-        good = cp < 0x10000 and kind(chr(cp)) != ""
+        good = cp < 0x10000 and kind(chr(cp)) != "" and kind(chr(cp)) in (wanted or "LNSO")
         if good and start is None:
             start = cp
         elif not good and start is not None:
             spans.append((start, cp - 1))
             start = None
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans)
+
+
+@lru_cache(maxsize=1)
+def unsure() -> re.Pattern:
+    """Characters whose kind implementations may see differently."""
+    return re.compile(f"[^{_class('')}]")
+
+
+@lru_cache(maxsize=1)
+def sure_pattern() -> re.Pattern:
+    """The pattern for texts without unsure characters, its classes spelled out: the standard library's matcher looks
+    characters up in a table, and needs less than half the time."""
+    own = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[{_class('O')}]")
+    for name, inside in ((r"\p{L}", _class("L")), (r"\p{N}", _class("N"))):
+        own = own.replace(name, f"[{inside}]")
+    own = own.replace("]+|", "]++|")  # runs before an alternative's end are never given back
+    white = _class("S")
     kind.cache_clear()
-    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
+    return re.compile(own.replace(r"\S", f"[^{white}]").replace(r"\s", f"[{white}]"))
 
 
 def byte_letters() -> dict[int, str]:
@@ -96,14 +114,14 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         parts = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([p.id for p in parts], dtype="<u4").tobytes()
+        ids = struct.pack(f"<{len(parts)}I", *[p.id for p in parts])
         if len(self) < MEMORY:
             self[word] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        odd, split, get = unsure().search, pattern().findall, self.__getitem__
+        odd, split, get = unsure().search, sure_pattern().findall, self.__getitem__
         whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [whole(t) if odd(t) or any(s in t for s in self.special) else b"".join(map(get, split(t))) for t in texts]
 

@@ -124,3 +124,15 @@ def test_a_row_repeated_very_often_is_ranked_in_many_buckets(make_docs, monkeypa
     assert len(got) == len(places) == 6000
     used = {q for q, _ in places}
     assert all(sum(n for (s, _), n in places.items() if s == q) <= 1024 for q in list(used)[:20]) and len(used) <= 1.05 * sum(places.values()) / 1024 + 1
+
+
+def test_spelled_out_pattern_splits_as_the_pattern_does(real_docs):
+    """On texts of sure characters, whatever their order; every such character is tried beside each kind."""
+    rng = np.random.default_rng(5)
+    sure = np.array([c for c in map(chr, range(0x10000)) if tokens.kind(c)])
+    common = np.array([*" \n\t\r　\xa0'slltremvdA9é!-²٣日"])
+    texts = ["".join(np.where(rng.random(n) < 0.8, rng.choice(common, n), rng.choice(sure, n))) for n in rng.integers(0, 40, 4000)]
+    texts += ["".join(x) for c in ("a", "7", "!", " ", "\n", "'") for x in (sure, sum(([s, c] for s in sure.tolist()), []))]
+    texts += [r.text for r in real_docs.collect() if r.text]
+    for t in texts:
+        assert tokens.unsure().search(t) or tokens.sure_pattern().findall(t) == tokens.pattern().findall(t)
