@@ -206,8 +206,9 @@ def steep_areas(r: np.ndarray, xi: float, least: int, down: bool) -> list[tuple[
 
 def optics(distance: np.ndarray, least: int, xi: float) -> np.ndarray:
     """Clusters of the reachability plot by the xi method: between a steep fall and a later steep rise of which neither is
-    passed by what lies between, trimmed to equal height at both ends. Of clusters within clusters the innermost count;
-    points in none are -1."""
+    passed by what lies between, trimmed to equal height at both ends. Of clusters within clusters those count that stand
+    out most: a dent by little more than xi in the floor of a deep valley does not break the valley up. Points in none
+    are -1."""
     order, reach = reachability(distance, least)
     n = len(order)
     r = np.append(reach, np.inf)
@@ -227,8 +228,13 @@ def optics(distance: np.ndarray, least: int, xi: float) -> np.ndarray:
                 end = min(k for k in range(up, top + 1) if r[k + 1] >= r[first] or k == top)
             if end - start + 1 >= least:
                 found.append((start, end))
+
+    def contrast(start: int, end: int) -> float:  # the lower wall over the highest inside; all points have no wall
+        wall = min(r[start], r[end + 1])
+        return wall / max(r[start + 1 : end + 1].max(), 1e-12) if np.isfinite(wall) else 0.0
+
     own, k = np.full(n, -1), 0
-    for start, end in sorted(found, key=lambda c: (c[1] - c[0], c)):
+    for start, end in sorted(found, key=lambda c: (-contrast(*c), c[1] - c[0], c)):
         if (own[start : end + 1] < 0).all():
             own[start : end + 1] = k
             k += 1

@@ -137,6 +137,17 @@ def test_xi_areas_and_clusters_of_a_plot():
     assert [len(set(own[8 * k : 8 * k + 8])) for k in range(3)] == [1, 1, 1] and len(set(own[:24])) == 3 and own[24] == -1
 
 
+@pytest.mark.parametrize("at", [0, 5, 8, 13])
+def test_a_dent_in_a_deep_valley_does_not_break_it_up(at):
+    # Two groups far apart, eight points each; three points of one are nearer to each other than to the rest, by a tenth.
+    near = np.full((16, 16), 1.5)
+    near[:8, :8] = near[8:, 8:] = 0.38
+    near[at : at + 3, at : at + 3] = 0.34
+    np.fill_diagonal(near, 0.0)
+    own = clusters.optics(near, 3, 0.05)
+    assert (own >= 0).all() and [len(set(own[:8])), len(set(own[8:])), len(set(own))] == [1, 1, 2]
+
+
 def test_metrics(spark):
     rows = [(0, days(4)[0], -1.0, 0.5), (0, days(4)[1], 2.0, 0.0), (1, days(4)[1], -3.0, 0.1), (1, days(4)[2], 1.0, 0.0)]
     daily = spark.createDataFrame([(s, "A", "B", d, p, c, 1) for s, d, p, c in rows], "segment_id int, a string, b string, date date, pnl double, cost double, pos int")
