@@ -31,11 +31,11 @@ def ticker_features(prices: DataFrame, adv_window: int = ADV_WINDOW) -> DataFram
     """Adds lp (log price, null unless positive), ret (change from the last known close) and adv (mean dollar volume of the
     last adv_window days of the calendar of all tickers, null unless it is known on each)."""
     w = by("ticker")
-    last = F.last("close", ignorenulls=True).over(w.rowsBetween(-(2**31), -1))
-    filled = F.coalesce("close", last)
-    own = prices.join(calendar.calendar(prices), "date")
-    own = own.withColumn("lp", F.when(F.col("close") > 0, F.log("close"))).withColumn("ret", F.try_divide(filled, F.nullif(last, F.lit(0.0))) - 1)
-    own = own.withColumn("dollars", F.col("close") * F.col("volume"))
+    # The frame is unbounded: one with a bound, however far, is gone through anew for each row.
+    last = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = prices.join(F.broadcast(calendar.calendar(prices)), "date").withColumn("last", last)  # a bounded list of dates
+    own = own.withColumn("lp", F.when(F.col("close") > 0, F.log("close"))).withColumn("ret", F.try_divide(F.coalesce("close", "last"), F.nullif("last", F.lit(0.0))) - 1)
+    own = own.drop("last").withColumn("dollars", F.col("close") * F.col("volume"))
     over = over_days("ticker", adv_window)
     return own.withColumn("adv", gated(F.avg("dollars"), over, adv_window, "dollars")).drop("dollars", "rn")
 

@@ -58,6 +58,16 @@ def test_gaps_bridge_returns_and_leave_the_pair_calendar(spark):
     assert sorted(r.date for r in aligned) == [days(4)[0], days(4)[2]]
 
 
+def test_the_last_known_close_is_found_in_one_pass(spark):
+    """Over a long gap, and without a frame of bounded length, which costs the square of a ticker's rows."""
+    own = features.ticker_features(panel(spark, {"A": [10.0] + [None] * 98 + [12.0], "B": [None] * 99 + [5.0]}))
+    frames = own.select("ret")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in frames and "-2147483648" not in frames
+    got = {(r.ticker, r.date): r.ret for r in own.collect()}
+    assert got["A", days(100)[98]] == 0.0 and got["A", days(100)[99]] == pytest.approx(0.2)
+    assert got["A", days(100)[0]] is None and got["B", days(100)[99]] is None
+
+
 def test_absent_days_of_the_calendar_count_as_missing(spark):
     """A ticker without rows on some days: its dollar volume needs every day of the calendar, its returns bridge the gap."""
     rows = [(d, "A", 10.0 + i, 2.0) for i, d in enumerate(days(8)) if i != 3] + [(d, "B", 5.0, 1.0) for d in days(8)]
