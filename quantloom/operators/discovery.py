@@ -53,6 +53,24 @@ def formation_rows(aligned: DataFrame, days: DataFrame, segments: DataFrame, for
     return aligned.join(dates.join(pairs.select("segment_id", "a", "b").distinct(), "segment_id"), ["a", "b", "date"])
 
 
+def cluster_rows(features: DataFrame, labels: DataFrame, days: DataFrame, segments: DataFrame, formation: int) -> DataFrame:
+    """segment_id, cluster, a, b, date, age, ra, rb of every two tickers of one cluster on the dates of each segment's
+    formation window on which both have a price. For universes that grow: series are cut to the windows before they are
+    paired, and dealt out by (segment, cluster) once; what is unfolded there into pairs is aggregated where it is."""
+    end = segments.join(days.select(F.col("date").alias("d0"), F.col("rn").alias("rn0")), "d0").select("segment_id", "rn0")
+    span = end.select("segment_id", F.explode(F.sequence(F.greatest(F.col("rn0") - formation + 1, F.lit(0)), "rn0")).alias("rn"), "rn0")
+    dates = span.join(days, "rn").select("segment_id", "date", (F.col("rn0") - F.col("rn")).alias("age"))  # a bounded list
+    # By ticker alone, as the series lie: its clusters by segment.
+    by_ticker = labels.where("cluster IS NOT NULL").groupBy("ticker").agg(F.map_from_entries(F.collect_set(F.struct("segment_id", "cluster"))).alias("clusters"))
+    own = features.where("lp IS NOT NULL").select("ticker", "date", "ret").join(F.broadcast(dates), "date").join(by_ticker, "ticker")
+    own = own.select("segment_id", F.col("clusters")[F.col("segment_id")].alias("cluster"), "date", "age", "ticker", "ret").where("cluster IS NOT NULL")
+    spread = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days_of = own.repartition(spread, "segment_id", "cluster").groupBy("segment_id", "cluster", "date", "age").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("all"))
+    left = days_of.select("segment_id", "cluster", "date", "age", "all", F.posexplode("all").alias("i", "x"))
+    both = left.select("segment_id", "cluster", "date", "age", "x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+    return both.select("segment_id", "cluster", F.col("x.ticker").alias("a"), F.col("y.ticker").alias("b"), "date", "age", F.col("x.ret").alias("ra"), F.col("y.ret").alias("rb"))
+
+
 def _correlation() -> Column:
     """Of the returns of the last CORR_ROWS calendar rows, null where a side is constant."""
     recent = F.col("age") < CORR_ROWS
@@ -60,11 +78,12 @@ def _correlation() -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def most_correlated(rows: DataFrame, pairs: DataFrame, f: Filters) -> DataFrame:
+def most_correlated(rows: DataFrame, pairs: DataFrame | None, f: Filters) -> DataFrame:
     """Of the pairs (segment_id, cluster, a, b) the cluster_cap most correlated of each cluster: one aggregate of the last
-    CORR_ROWS rows, before anything longer is looked at."""
-    corr = rows.where(F.col("age") < CORR_ROWS).groupBy("segment_id", "a", "b").agg(_correlation().alias("corr63"))
-    own = pairs.join(corr, ["segment_id", "a", "b"])
+    CORR_ROWS rows, before anything longer is looked at. Without pairs, rows have a cluster (cluster_rows)."""
+    keys = ["segment_id", "a", "b"] if pairs is not None else ["segment_id", "cluster", "a", "b"]
+    corr = rows.where(F.col("age") < CORR_ROWS).groupBy(*keys).agg(_correlation().alias("corr63"))
+    own = pairs.join(corr, keys) if pairs is not None else corr
     by_corr = Window.partitionBy("segment_id", "cluster").orderBy(F.desc_nulls_last(F.round("corr63", 9)), "a", "b")
     return own.withColumn("corr_rank", F.row_number().over(by_corr)).where(F.col("corr_rank") <= f.cluster_cap).drop("corr63")
 

@@ -770,9 +770,8 @@ def wide_selection(spark, sf_dir):
     parts = calendar.segments(days, 4 * REFIT, BURN)
     number = F.substring("ticker", -6, 6).cast("int")
     labels = own.select("ticker").distinct().crossJoin(F.broadcast(parts)).select("segment_id", "ticker", F.floor(number / 10).cast("int").alias("cluster"))
-    pairs = discovery.candidates(labels)
-    rows = discovery.formation_rows(features.align(features.ticker_features(own), pairs), days, parts, discovery.CORR_ROWS, pairs)
-    return discovery.most_correlated(rows, pairs, Filters(cluster_cap=5)).select("segment_id", "cluster", "a", "b", "corr_rank")
+    rows = discovery.cluster_rows(features.ticker_features(own), labels, days, parts, discovery.CORR_ROWS)
+    return discovery.most_correlated(rows, None, Filters(cluster_cap=5)).select("segment_id", "cluster", "a", "b", "corr_rank")
 
 
 def queries() -> dict[str, Query]:

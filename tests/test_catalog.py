@@ -32,6 +32,11 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_wide_selection_shuffles_tickers_not_pairs(spark):
+    plan = catalog.queries()["wide_selection"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*\b[ab]#", plan)
+
+
 def test_every_query_has_an_oracle_that_parses(duck):
     assert set(catalog.oracle_sql()) == set(catalog.queries())
     for sql in catalog.oracle_sql().values():

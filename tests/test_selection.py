@@ -35,6 +35,25 @@ def test_formation_statistics_match_numpy(spark):
     assert r.half_life is None if rho <= -1 else r.half_life == pytest.approx(-np.log(2) / np.log(1 + rho), rel=1e-5)
 
 
+def test_pairs_by_cluster_equal_pairs_by_list(spark):
+    """With missing prices, tickers that change or have no cluster, and windows that overlap."""
+    n = 120
+    closes = {f"T{i}": list(walk(i, n)) for i in range(7)}
+    closes["T1"][60:80], closes["T2"][100] = [None] * 20, -1.0
+    own = features.ticker_features(panel(spark, closes))
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days(n))], "date date, rn long")
+    parts = spark.createDataFrame([(s, days(n)[i], days(n)[i + 1]) for s, i in enumerate((40, 90, 110))], "segment_id int, d0 date, d1 date")
+    labels = [(s, f"T{i}", None if i == 6 and s else (i + s) % 2) for s in range(3) for i in range(7) if (s, i) != (1, 3)]
+    labels = spark.createDataFrame(labels, "segment_id int, ticker string, cluster int")
+    pairs = discovery.candidates(labels)
+    old = discovery.formation_rows(features.align(own, pairs), cal, parts, discovery.CORR_ROWS, pairs)
+    new = discovery.cluster_rows(own, labels, cal, parts, discovery.CORR_ROWS)
+    key = lambda rows: sorted(map(tuple, rows.select("segment_id", "a", "b", "date", "age", "ra", "rb").collect()), key=str)
+    assert key(new) == key(old) and new.count() > 500
+    best = lambda rows, p: sorted(map(tuple, discovery.most_correlated(rows, p, Filters(cluster_cap=3)).select("segment_id", "cluster", "a", "b", "corr_rank").collect()))
+    assert best(new, None) == best(old, pairs)
+
+
 def test_cap_on_new_pairs(spark):
     """Pairs held over, and of the new ones at most so many, in the walk itself."""
     for held, most in ((0, 3), (1, 3), (13, 8), (26, 15)):
